@@ -3,7 +3,7 @@
 A document's ids and an end id are cut into pieces of at most LIMIT tokens only where they are longer. Only the histogram
 of piece lengths, at most LIMIT counts, reaches the driver. There, patterns of up to four coarse lengths that
 fill a sequence are fitted to the histogram by non-negative least squares and rounded down; their slots take
-exact lengths from the histogram, and what is left, and the room left in patterns, is packed best-fit, longest
+exact lengths from the histogram, the last slot the longest that fits, and what is left, and the room left in patterns, is packed best-fit, longest
 first. All of this works on lengths with repeat counts, so its size is bounded by LIMIT, not by the corpus.
 Pieces of one length are interchangeable: each gets a rank among its length, counted in salted groups so that a
 very common length doesn't meet in one task, and the plan maps ranks to sequences.
@@ -15,7 +15,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -125,32 +125,48 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[
     def coarse(n: int) -> int:
         return -(-n // grain)
 
-    bins: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left, reverse=True):
-        bins[coarse(n)].append(n)
     shapes = patterns(slots)
     a = np.zeros((slots, len(shapes)))
     for j, shape in enumerate(shapes):
         for x in shape:
             a[x - 1, j] += 1
-    want = np.array([sum(left[n] for n in bins.get(x, ())) for x in range(1, slots + 1)], dtype=float)
+    want = np.zeros(slots)
+    for n, c in left.items():
+        want[coarse(n) - 1] += c
     repeats = np.floor(nnls(a, want) + 1e-9).astype(int) if want.sum() else np.zeros(len(shapes), int)
+    stock = sorted(left)  # lengths that are left
+
+    def longest(most: int, low: int, need: dict[int, int]) -> int | None:
+        """The longest length in (low, most] that is left beyond what need takes."""
+        for at in range(bisect_right(stock, most) - 1, -1, -1):
+            if stock[at] <= low:
+                return None
+            if left[stock[at]] > need.get(stock[at], 0):
+                return stock[at]
+        return None
+
     for j in np.argsort(-repeats, kind="stable"):
-        shape, times = shapes[j], int(repeats[j])
+        shape, times = shapes[j][::-1], int(repeats[j])
         while times > 0:
             need: dict[int, int] = {}
-            for x in shape:
-                n = next((n for n in bins.get(x, ()) if left[n] > need.get(n, 0)), None)
+            room = limit
+            for k, x in enumerate(shape):
+                last = k == len(shape) - 1 and k > 0  # the last slot takes what fits the room best
+                n = longest(room if last else min(room, x * grain), max(0, (x - 1 - last) * grain), need)
                 if n is None:
                     break
                 need[n] = need.get(n, 0) + 1
-            if sum(need.values()) < len(shape) or sum(n * c for n, c in need.items()) > limit:
-                break
-            many = min(times, *(left[n] // c for n, c in need.items()))
-            for n, c in need.items():
-                left[n] -= many * c
-            times -= many
-            open_kinds[limit - sum(n * c for n, c in need.items())].append([many, sorted(need.items(), reverse=True)])
+                room -= n
+            else:
+                many = min(times, *(left[n] // c for n, c in need.items()))
+                for n, c in need.items():
+                    left[n] -= many * c
+                    if not left[n]:
+                        stock.remove(n)
+                times -= many
+                open_kinds[room].append([many, sorted(need.items(), reverse=True)])
+                continue
+            break
     rooms = sorted(r for r in open_kinds if open_kinds[r])
 
     def put(room: int, kind: list) -> None:
