@@ -46,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = shared.stored(spark, rows.select("doc_id", "n", "ph", "alive", "sha"), "hashed")
     once, again = rows.where(F.col("alive").isNull()), rows.where("alive")
     groups = again.groupBy("n", "sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = shared.stored(spark, groups, "groups")  # both sides of the join are then exchanges, which AQE can split
     joined = again.join(groups.withColumnRenamed("n", "gn").withColumnRenamed("sha", "gsha"), (F.col("n") == F.col("gn")) & (F.col("sha") == F.col("gsha")), "left")
     joined = joined.select("doc_id", F.when(F.col("gn").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "sha")
     both = joined.unionByName(once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"))

@@ -119,9 +119,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        low = stored(spark, low, "low")  # both join sides are then exchanges, which AQE can split
         large = both.join(low, both.a == low.n).where(both.b > both.a).select(both.b.alias("a"), low.m.alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = stored(spark, large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        low = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "low")
         kept = large.join(low, large.a == low.n)
         small = kept.select(large.b.alias("a"), low.m.alias("b")).union(low.select("n", "m")).where(F.col("a") != F.col("b")).distinct()
         small = stored(spark, small, "small")
