@@ -14,6 +14,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -28,8 +29,9 @@ LIMIT = 4096
 END_ID = 1
 #: Coarse lengths a pattern is made of.
 GRAIN = 128
-CACHE_CHUNKS = 300_000
-FIELDS = "length int, crc long, start long, piece int"
+KNOWN_WORDS = 400_000
+#: Texts whose fresh words are tokenised together.
+TOGETHER = 64
 
 
 def default_tokenizer() -> str:
@@ -38,28 +40,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds(dict):
-    """Ids, as little-endian bytes, of chunks between plain spaces.
+#: Texts of Latin letters and ASCII only: composed already, and cut below as the tokenizer cuts them.
+PLAIN = re.compile("[\\x20-\\x7e\\n\\r\\tÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
-    The vocabulary drops white space and merges nothing across it, so a text's ids are those of
-    its chunks in turn; each distinct chunk is tokenised once.
+
+class KnownIds:
+    """Ids of texts as little-endian bytes, put together from those of their words.
+
+    The vocabulary drops white space and merges nothing across words, so a plain text's ids are those of its words in
+    turn. Words are kept while they are few; fresh ones are tokenised many to a call, and as each ends in a
+    token with the end-of-word mark, the call's ids are cut there. Other texts are tokenised as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, filter(None, chunks)))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            else:
+                self.known.update(zip(part, self._each(part), strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            part = texts[at : at + TOGETHER]
+            words = [WORD.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in part]
+            self._learn(list(set().union(*filter(None, words)).difference(self.known)))
+            known = self.known.__getitem__
+            out += [self._each([t])[0] if w is None else b"".join([*map(known, w)]) for t, w in zip(part, words, strict=True)]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,8 +97,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
     end, kept = np.array([end_id], "<u4").tobytes(), {}
     kind = pa.list_(pa.struct([("length", pa.int32()), ("crc", pa.int64()), ("start", pa.int64()), ("piece", pa.int32())]))
 
-    def one(text: str) -> list[dict]:
-        ids, out, step = kept["ids"].of(text) + end, [], 4 * limit
+    def cut_up(ids: bytes) -> list[dict]:
+        out, step = [], 4 * limit
         for k, at in enumerate(range(0, len(ids), step)):
             part = ids[at : at + step]
             out.append({"length": len(part) // 4, "crc": zlib.crc32(part), "start": at // 4, "piece": k})
@@ -78,10 +106,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
 
     def run(texts: pa.Array) -> pa.Array:
         if "ids" not in kept:
-            kept["ids"] = ChunkIds(path)
-        return pa.array([one(t.as_py() or "") for t in texts], kind)
+            kept["ids"] = KnownIds(path)
+        return pa.array([cut_up(ids + end) for ids in kept["ids"].of([t or "" for t in texts.to_pylist()])], kind)
 
-    cut = F.arrow_udf(run, f"array<struct<length:int,crc:long,start:long,piece:int>>")(F.coalesce(F.col(text_col), F.lit("")))
+    cut = F.arrow_udf(run, "array<struct<length:int,crc:long,start:long,piece:int>>")(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(cut).alias("p")).select("doc_id", "p.piece", "p.start", "p.length", "p.crc")
 
 
