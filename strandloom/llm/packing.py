@@ -14,6 +14,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -29,9 +30,9 @@ LIMIT = 4096
 END_ID = 1
 #: Coarse lengths a pattern is made of.
 GRAIN = 128
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 #: Texts whose fresh words are tokenised together.
-TOGETHER = 64
+TOGETHER = 16
 
 
 def default_tokenizer() -> str:
@@ -42,7 +43,7 @@ def default_tokenizer() -> str:
 
 #: Texts of Latin letters and ASCII only: composed already, and cut below as the tokenizer cuts them.
 PLAIN = re.compile("[\\x20-\\x7e\\n\\r\\tÀ-ÖØ-öø-ÿ]*")
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
 class KnownIds:
@@ -56,6 +57,7 @@ class KnownIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
