@@ -12,9 +12,8 @@ def kmers(seq: Column, k: int, stride: int = 1) -> Column:
     """Array of the k-mers of a stripped sequence; empty where it is shorter than k; a remainder is dropped."""
     if k < 1 or stride < 1:
         raise ValueError("k and stride must be at least 1")
-    s = F.trim(seq)
-    starts = F.sequence(F.lit(1), F.length(s) - F.lit(k - 1), F.lit(stride))
-    return F.when(F.length(s) >= k, F.transform(starts, lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    # one pass over the sequence: each match captures k characters ahead and moves on by the stride
+    return F.regexp_extract_all(F.trim(seq), F.lit(f"(?s)(?=(.{{{k}}})).{{1,{stride}}}"), F.lit(1))
 
 
 def rejoin(parts: Column, k: int, stride: int = 1) -> Column:

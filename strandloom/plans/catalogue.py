@@ -1,4 +1,522 @@
-"""Query catalogue."""
+"""Query catalogue: every operator over whole tables, with DuckDB SQL for what SQL can express."""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from strandloom.functions import rng, tokens as tk
+from strandloom.functions.vectors import dot, euclidean, sigmoid
+from strandloom.operators import evaluate, examples, model, sampling, tables, vectors, vocab
+
+from . import inputs as i
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- tokens -------------------------------------------------------------------
+
+
+@query(f"WITH {i.sql_kmers()} SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
+def kmer_count(s, d):
+    return i.kmers(s, d).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {i.sql_kmers(6, 4)} SELECT doc_id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, min(kmer) AS least FROM k GROUP BY doc_id")
+def kmer_stride(s, d):
+    return i.kmers(s, d, 6, 4).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("n_distinct"), F.min("kmer").alias("least"))
+
+
+@query(f"WITH {i.SQL_DNA} SELECT doc_id, CASE WHEN len(seq) < 8 THEN '' ELSE substr(seq, 1, 8 + (len(seq) - 8) // 2 * 2) END AS seq FROM d")
+def kmer_rejoin(s, d):
+    return i.dna(s, d).select("doc_id", tk.rejoin(tk.kmers(F.col("seq"), i.K, i.STRIDE), i.K, i.STRIDE).alias("seq"))
+
+
+@query(f"WITH {i.SQL_DNA} SELECT doc_id, {i.sql_rc('seq')} AS rc FROM d")
+def revcomp(s, d):
+    return i.dna(s, d).select("doc_id", tk.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {i.sql_kmers()} SELECT least(kmer, {i.sql_rc('kmer')}) AS canon, count(*) AS n FROM k GROUP BY 1")
+def canonical_count(s, d):
+    return i.kmers(s, d).groupBy(tk.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {i.SQL_KMER_COUNTS}, g AS (SELECT canon, count(*) AS members FROM cc GROUP BY canon) SELECT members, canon = {i.sql_rc('canon')} AS palindrome, count(*) AS n FROM g GROUP BY 1, 2")
+def rc_class_sizes(s, d):
+    classes = i.kmer_counts(s, d).groupBy(tk.canonical(F.col("token")).alias("canon")).agg(F.count(F.lit(1)).alias("members"))
+    return classes.groupBy("members", (F.col("canon") == tk.reverse_complement(F.col("canon"))).alias("palindrome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT token, count FROM c")
+def whitespace_token_count(s, d):
+    return i.word_counts(s, d)
+
+
+@query(rf"WITH {i.SQL_LINES} SELECT doc_id, line_no, CAST(len(list_filter(regexp_split_to_array(line, '[ \t\r\n\f]+'), lambda x: x <> '')) AS INT) AS n_tokens FROM l WHERE len(list_filter(regexp_split_to_array(line, '[ \t\r\n\f]+'), lambda x: x <> '')) >= 2")
+def short_sentence_filter(s, d):
+    return i.lines(s, d).withColumn("n_tokens", F.size(tk.words(F.col("line")))).where("n_tokens >= 2").select("doc_id", "line_no", "n_tokens")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE NOT regexp_matches(source, 'src1') GROUP BY source")
+def skip_filter(s, d):
+    return i.table(s, d, "documents").where(~F.col("source").rlike("src1")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- dictionaries -------------------------------------------------------------
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT token, CAST(row_number() OVER (ORDER BY token) AS INT) AS id, count FROM c WHERE token <> 'UNK'")
+def vocab_ids(s, d):
+    return vocab.dense_ids(i.word_counts(s, d).where(F.col("token") != vocab.UNK), [F.col("token")]).select("token", "id", "count")
+
+
+@query(f"WITH {i.SQL_KMER_COUNTS} SELECT token, canon, CAST(dense_rank() OVER (ORDER BY canon) AS INT) AS id, count FROM cc")
+def vocab_rc_ids(s, d):
+    return vocab.build(i.kmer_counts(s, d), reverse_complement=True)
+
+
+@query(f"WITH {i.SQL_EVENTS}, f AS (SELECT event_type AS token, min(event_id) AS first, count(*) AS count FROM events GROUP BY 1) SELECT token, token AS canon, CAST(dense_rank() OVER (ORDER BY first, token) AS INT) AS id, count FROM f")
+def vocab_first_seen(s, d):
+    seen = i.table(s, d, "events").groupBy(F.col("event_type").alias("token")).agg(F.min("event_id").alias("first"), F.count(F.lit(1)).alias("count"))
+    return vocab.build(seen, by="first")
+
+
+@query(f"WITH {i.SQL_KMER_COUNTS}, m AS (SELECT token, canon, count, sum(count) OVER (PARTITION BY canon) AS total FROM cc) SELECT token, canon, CAST(dense_rank() OVER (ORDER BY total DESC, canon) AS INT) AS id, count FROM m")
+def vocab_by_count(s, d):
+    return vocab.build(i.kmer_counts(s, d), by="count", reverse_complement=True)
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT CASE WHEN count >= {i.MIN_FREQUENCY} THEN token ELSE 'UNK' END AS token, CAST(sum(count) AS BIGINT) AS count FROM c WHERE token <> 'UNK' GROUP BY 1")
+def vocab_prune(s, d):
+    return vocab.prune(i.word_counts(s, d), i.MIN_FREQUENCY)
+
+
+@query(f"WITH {i.SQL_KMER_COUNTS}, m AS (SELECT token, count, sum(count) OVER (PARTITION BY canon) AS size FROM cc) SELECT CASE WHEN size >= {i.MIN_FREQUENCY} THEN token ELSE 'UNK' END AS token, CAST(sum(count) AS BIGINT) AS count FROM m GROUP BY 1")
+def vocab_prune_class(s, d):
+    return vocab.prune(i.kmer_counts(s, d), i.MIN_FREQUENCY, "class")
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT count(*) FILTER (WHERE count < {i.MIN_FREQUENCY}) AS n_dropped, CAST(coalesce(sum(count) FILTER (WHERE count < {i.MIN_FREQUENCY}), 0) AS BIGINT) AS mass FROM c")
+def vocab_dropped(s, d):
+    return vocab.dropped(i.word_counts(s, d), i.MIN_FREQUENCY)
+
+
+@query("WITH v AS (SELECT event_type AS token, count(*) AS count FROM events GROUP BY 1), m AS (SELECT min(token) AS token FROM v) SELECT token, token AS canon, CAST(dense_rank() OVER (ORDER BY token) AS INT) AS id, count FROM v WHERE token <> (SELECT token FROM m)")
+def vocab_remove_compact(s, d):
+    words = i.event_vocab(s, d)
+    return vocab.compact(vocab.remove(words, [words.agg(F.min("token")).first()[0]]))
+
+
+SQL_HALVES = f"WITH {i.SQL_WORDS}, a AS (SELECT token, count(*) AS count FROM t WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT token, count(*) AS count FROM t WHERE doc_id % 2 = 1 GROUP BY 1)"
+
+
+def _halves(s, d):
+    words = i.word_tokens(s, d)
+    return [vocab.count_tokens(words.where(F.col("doc_id") % 2 == r)) for r in (0, 1)]
+
+
+@query(f"{SQL_HALVES} SELECT token, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY token")
+def vocab_merge(s, d):
+    return vocab.merge(*_halves(s, d))
+
+
+@query(f"{SQL_HALVES} SELECT a.token, a.count AS count_a, b.count AS count_b FROM a LEFT JOIN b ON a.token = b.token WHERE a.count IS DISTINCT FROM b.count")
+def vocab_diff(s, d):
+    return vocab.difference(*_halves(s, d))
+
+
+@query(f"{SQL_HALVES} SELECT coalesce(a.token, b.token) AS token, a.count AS count_a, b.count AS count_b FROM a FULL JOIN b ON a.token = b.token WHERE a.count IS DISTINCT FROM b.count")
+def vocab_diff_full(s, d):
+    return vocab.difference(*_halves(s, d), how="full")
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT count(*) AS n_tokens, CAST(sum(count) AS BIGINT) AS total, count(*) + 1 AS vocab_size FROM c WHERE token <> 'UNK'")
+def vocab_totals(s, d):
+    return i.word_counts(s, d).where(F.col("token") != vocab.UNK).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("count").alias("total"), (F.count(F.lit(1)) + 1).alias("vocab_size"))
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT token, count, round(count / (SELECT sum(count) FROM c), 9) AS prob FROM c")
+def unigram_prob(s, d):
+    return vocab.probabilities(i.word_counts(s, d)).select("token", "count", F.round("prob", 9).alias("prob"))
+
+
+SQL_KEPT = f"WITH {i.SQL_WORD_COUNTS}, p AS (SELECT token, CAST(dense_rank() OVER (ORDER BY token) AS INT) AS id, count FROM c WHERE count >= {i.MIN_FREQUENCY} AND token <> 'UNK')"
+
+
+def _kept(s, d):
+    kept = i.word_counts(s, d).where(f"count >= {i.MIN_FREQUENCY}")
+    return vocab.build(kept)
+
+
+@query(f"{SQL_KEPT} SELECT t.doc_id, coalesce(p.id, 0) AS id, count(*) AS n FROM t LEFT JOIN p ON t.token = p.token GROUP BY 1, 2")
+def encode_ids(s, d):
+    return vocab.look_up(i.word_tokens(s, d), _kept(s, d)).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {i.SQL_KMER_COUNTS}, v AS (SELECT token, dense_rank() OVER (ORDER BY canon) AS id FROM cc), r AS (SELECT id, min(token) AS token FROM v GROUP BY id) SELECT CAST(r.id AS INT) AS id, r.token, {i.sql_rc('r.token')} AS rc, count(*) AS n FROM k JOIN v ON k.kmer = v.token JOIN r ON v.id = r.id GROUP BY 1, 2, 3")
+def decode_ids(s, d):
+    words = vocab.build(i.kmer_counts(s, d), reverse_complement=True)
+    counted = vocab.look_up(i.kmers(s, d), words, "kmer").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return vocab.decode(counted, words).select("id", "token", tk.reverse_complement(F.col("token")).alias("rc"), "n")
+
+
+@query(f"{SQL_KEPT} SELECT t.token, count(*) AS n FROM t LEFT JOIN p ON t.token = p.token WHERE p.token IS NULL GROUP BY 1")
+def oov_report(s, d):
+    return vocab.unknown_tokens(i.word_tokens(s, d), _kept(s, d))
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS}, p AS (SELECT token, count FROM c ORDER BY count DESC, token LIMIT 99) SELECT token, count FROM p UNION ALL SELECT 'UNK', CAST(coalesce(sum(count), 0) AS BIGINT) FROM c WHERE token NOT IN (SELECT token FROM p)")
+def topn_vocab_unk(s, d):
+    return vocab.top_with_rest(i.word_counts(s, d), 100)
+
+
+@query("WITH c AS (SELECT CAST(l_quantity AS BIGINT) AS id, count(*) AS count FROM lineitem GROUP BY 1) SELECT r.id, coalesce(c.count, 0) AS count FROM (SELECT unnest(range((SELECT max(id) + 1 FROM c))) AS id) r LEFT JOIN c ON r.id = c.id")
+def dense_counter(s, d):
+    return vocab.dense_counts(i.table(s, d, "lineitem"), "l_quantity")
+
+
+# --- sampling -----------------------------------------------------------------
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS}, n AS (SELECT doc_id, line_no, token, row_number() OVER (PARTITION BY doc_id, line_no, token) AS k FROM t), j AS (SELECT n.*, c.count / (SELECT sum(count) FROM c) AS prob FROM n JOIN c ON n.token = c.token) SELECT token, count(*) AS kept FROM j WHERE {i.sql_draw('discard', 'doc_id', 'line_no', 'token', 'k')} / 4294967296.0 >= 1 - least(1.0, sqrt(0.001 / prob)) GROUP BY token")
+def discard_sample(s, d):
+    words = i.word_tokens(s, d).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "line_no", "token").orderBy("token")))
+    known = vocab.probabilities(i.word_counts(s, d)).select(F.col("token").alias("t"), "prob")
+    rows = words.join(known, F.col("token") == F.col("t"))
+    kept = sampling.down_sample(rows, F.col("prob"), 0.001, i.SEED, F.col("doc_id"), F.col("line_no"), F.col("token"), F.col("k"))
+    return kept.groupBy("token").agg(F.count(F.lit(1)).alias("kept"))
+
+
+_SUMS = [0, *accumulate(i.KERNEL)]
+_OFFSETS = [*range(-5, 0), *range(1, 6)]
+SQL_CONTEXT = (
+    f"WITH {i.SQL_EVENTS}, b AS (SELECT *, {i.sql_draw('context', 'sent', 'pos')} AS r, CAST({_SUMS}[greatest(0, 5 - pos) + 1] AS BIGINT) AS lo, CAST({_SUMS}[least(10, 5 + length - pos - 1) + 1] AS BIGINT) AS hi FROM e WHERE length >= 2), "
+    f"o AS (SELECT *, lo + r % greatest(hi - lo, 1) AS target FROM b), g AS (SELECT sent, pos, length, token, CAST(CASE {' '.join(f'WHEN target < {_SUMS[k + 1]} THEN {o}' for k, o in enumerate(_OFFSETS))} END AS INT) AS \"offset\" FROM o), "
+    'x AS (SELECT g.*, e.token AS context FROM g JOIN e ON g.sent = e.sent AND e.pos = g.pos + g."offset")'
+)
+
+
+@query(f'{SQL_CONTEXT} SELECT sent, pos, token, "offset", context FROM x')
+def context_choice(s, d):
+    return examples.with_context(i.event_tokens(s, d), i.KERNEL, i.SEED).select("sent", "pos", "token", "offset", "context")
+
+
+@query(f"WITH {i.SQL_EVENTS} SELECT sent, pos, CAST(least(pos, 5) + least(length - 1 - pos, 5) AS INT) AS n_contexts FROM e")
+def legal_contexts(s, d):
+    return examples.legal_contexts(i.event_tokens(s, d), 5).select("sent", "pos", "n_contexts")
+
+
+SQL_SPANS = f"{i.SQL_EVENT_VOCAB}, s AS (SELECT token, id, sum(count) OVER (ORDER BY token) - count AS lo, sum(count) OVER (ORDER BY token) AS hi FROM v), w AS (SELECT sum(count) AS total FROM v)"
+
+
+@query(f"WITH {SQL_SPANS}, r AS (SELECT event_id, {i.sql_draw('sample', 'event_id')} % (SELECT total FROM w) AS r FROM events) SELECT event_id, token AS outcome FROM r JOIN s ON r.r >= s.lo AND r.r < s.hi")
+def categorical_sample(s, d):
+    rows = i.table(s, d, "events").select("event_id")
+    return sampling.draw_outcomes(rows, i.event_vocab(s, d).select("token", "count"), "sample", i.SEED, F.col("event_id")).select("event_id", "outcome")
+
+
+SQL_SIGNAL = f"{SQL_CONTEXT}, {i.SQL_EVENT_VOCAB}, sg AS (SELECT x.sent, x.pos, a.id AS query, b.id AS context FROM x JOIN v a ON x.token = a.token JOIN v b ON x.context = b.token WHERE {i.sql_draw('discard', 'x.sent', 'x.pos')} / 4294967296.0 >= 1 - least(1.0, sqrt(0.03 / (a.count / (SELECT sum(count) FROM v)))))"
+
+
+def _signal(s, d):
+    return examples.signal(i.event_tokens(s, d), i.event_vocab(s, d), i.KERNEL, 0.03, i.SEED)
+
+
+@query(f"{SQL_SIGNAL} SELECT sent, pos, query, context FROM sg")
+def signal_examples(s, d):
+    return _signal(s, d)
+
+
+@query(f"{SQL_SIGNAL}, {SQL_SPANS.removeprefix(i.SQL_EVENT_VOCAB + ', ')}, n AS (SELECT sent, pos, query, unnest(range(1, 4)) AS draw FROM sg), z AS (SELECT *, {i.sql_draw('noise', 'sent', 'pos', 'draw')} % (SELECT total FROM w) AS r FROM n) SELECT z.sent, z.pos, CAST(z.draw AS INT) AS draw, z.query, s.id AS context FROM z JOIN s ON z.r >= s.lo AND z.r < s.hi")
+def noise_examples(s, d):
+    return examples.noise(_signal(s, d), i.event_vocab(s, d), 3, i.SEED)
+
+
+SQL_NUMBERED = f"{SQL_SIGNAL}, nb AS (SELECT row_number() OVER (ORDER BY sent, pos) - 1 AS rn, query, context FROM sg)"
+
+
+@query(f"{SQL_NUMBERED}, tot AS (SELECT count(*) AS n FROM nb) SELECT CAST(rn // 1000 AS INT) AS macrobatch_id, CAST(rn % 1000 AS INT) AS row_in_batch, query, context FROM nb UNION ALL SELECT CAST(q // 1000 AS INT), CAST(q % 1000 AS INT), 0, 0 FROM (SELECT unnest(range(n, (n + 999) // 1000 * 1000)) AS q FROM tot)")
+def macrobatches(s, d):
+    return examples.macrobatches(_signal(s, d), 1000, ["sent", "pos"])
+
+
+@query(f"{SQL_NUMBERED} SELECT CAST(rn // 128 AS INT) AS batch_id, CAST(rn % 128 AS INT) AS row_in_batch, query, context FROM nb WHERE rn // 128 < (SELECT count(*) // 128 FROM nb)")
+def minibatches(s, d):
+    return examples.minibatches(_signal(s, d), 128, ["sent", "pos"], "drop")
+
+
+@query(f"{SQL_NUMBERED}, tot AS (SELECT count(*) AS n FROM nb) SELECT CAST(rn // 128 AS INT) AS batch_id, CAST(rn % 128 AS INT) AS row_in_batch, query, context FROM nb UNION ALL SELECT CAST(q // 128 AS INT), CAST(q % 128 AS INT), 0, 0 FROM (SELECT unnest(range(n, (n + 127) // 128 * 128)) AS q FROM tot)")
+def minibatches_padded(s, d):
+    return examples.minibatches(_signal(s, d), 128, ["sent", "pos"], "pad")
+
+
+@query(f"WITH {i.SQL_EVENTS}, o AS (SELECT sent, pos, token, unnest([-2, -1, 1, 2]) AS o FROM e WHERE pos >= 2 AND pos < length - 2), h AS (SELECT *, row_number() OVER (PARTITION BY sent, pos ORDER BY {i.sql_draw('skip', 'sent', 'pos', 'o')}, o) AS r FROM o) SELECT h.sent, h.pos, h.token, CAST(h.o AS INT) AS \"offset\", e.token AS context FROM h JOIN e ON h.sent = e.sent AND e.pos = h.pos + h.o WHERE r <= 2")
+def skipgram_windows(s, d):
+    return examples.skip_grams(i.event_tokens(s, d), 2, 2, i.SEED)
+
+
+@query(f"SELECT doc_id, {i.sql_draw('split', 'doc_id')} / 4294967296.0 < 0.75 AS is_train FROM documents")
+def train_valid_split(s, d):
+    return sampling.split(i.table(s, d, "documents").select("doc_id"), 0.75, i.SEED, F.col("doc_id"))
+
+
+@query(f"SELECT source, CASE row_number() OVER (ORDER BY {i.sql_draw('holdout', 'source')}, source) WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END AS part FROM (SELECT DISTINCT source FROM documents)")
+def holdout_groups(s, d):
+    return sampling.hold_out_groups(i.table(s, d, "documents"), "source", i.SEED)
+
+
+@query(f"SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY {i.sql_draw('choose', 'source')}, source LIMIT 5")
+def choose_groups(s, d):
+    return sampling.choose(i.table(s, d, "documents").select("source").distinct(), "source", 5, i.SEED)
+
+
+# --- vectors ------------------------------------------------------------------
+
+SQL_PAIRS = f"WITH {i.SQL_VECTORS}, p AS (SELECT id AS query, id + unnest([1, 2, 3]) AS context FROM x), sc AS (SELECT query, context, context = query + 1 AS is_signal, list_dot_product(a.v, b.v) AS dot FROM p JOIN x a ON p.query = a.id JOIN x b ON p.context = b.id)"
+
+
+def _pairs(s, d):
+    v = i.vectors(s, d)
+    pairs = v.select(F.col("id").alias("query"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("o")).select("query", (F.col("query") + F.col("o")).alias("context"), (F.col("o") == 1).alias("is_signal"))
+    return vectors.scores(pairs, v.select("id", F.col("v").alias("w")), v.select("id", F.col("v").alias("c")))
+
+
+@query(f"{SQL_PAIRS} SELECT query, context, round(dot, 6) AS dot FROM sc")
+def row_dot(s, d):
+    return _pairs(s, d).select("query", "context", F.round("dot", 6).alias("dot"))
+
+
+@query(f"{SQL_PAIRS} SELECT query, context, round(1 / (1 + exp(-dot)), 6) AS score FROM sc")
+def sigmoid_scores(s, d):
+    return _pairs(s, d).select("query", "context", F.round("score", 6).alias("score"))
+
+
+SQL_LOSS = "-sum(CASE WHEN is_signal THEN ln(1 / (1 + exp(-dot))) ELSE ln(1 - 1 / (1 + exp(-dot))) END)"
+
+
+@query(f"{SQL_PAIRS} SELECT round({SQL_LOSS} / count(*) FILTER (WHERE is_signal), 6) AS loss FROM sc")
+def nce_loss(s, d):
+    return vectors.contrastive_loss(_pairs(s, d)).select(F.round("loss", 6).alias("loss"))
+
+
+@query(f"{SQL_PAIRS} SELECT round({SQL_LOSS}, 4) AS loss FROM sc")
+def nce_loss_unscaled(s, d):
+    return vectors.contrastive_loss(_pairs(s, d), scale=False).select(F.round("loss", 4).alias("loss"))
+
+
+SQL_NEAR = f"WITH {i.SQL_VECTORS}, p AS (SELECT a.id AS query, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM x a, x b WHERE a.id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS INT) AS rank FROM p)"
+
+
+def _near(s, d, k=5):
+    v = i.vectors(s, d)
+    return vectors.nearest(v, v.where(F.col("id") % 20 == 0), k)
+
+
+@query(f"{SQL_NEAR} SELECT query, neighbour, rank, similarity FROM r WHERE rank <= 5")
+def knn_cosine(s, d):
+    return _near(s, d).select("query", "neighbour", "rank", "similarity")
+
+
+@query(f"{SQL_NEAR} SELECT query, neighbour, round(1 - sqrt(greatest(0, 2 * (1 - similarity))) / 2, 6) AS score FROM r WHERE rank <= 5")
+def knn_score(s, d):
+    return _near(s, d).select("query", "neighbour", "score")
+
+
+@query()
+def lsh_neighbours(s, d):
+    v = i.vectors(s, d)
+    return vectors.lsh_neighbours(v, v.where(F.col("id") % 20 == 0), 5)
+
+
+@query(f"{SQL_PAIRS} SELECT query, arg_max(context, (round(dot, 6), -context)) AS best FROM sc GROUP BY query")
+def argmax_context(s, d):
+    return _pairs(s, d).groupBy("query").agg(F.max_by("context", F.struct(F.round("dot", 6), -F.col("context"))).alias("best"))
+
+
+SQL_DIMS = "y AS (SELECT id, label, CAST(unnest(range(len(v))) AS INT) AS dim, unnest(v) AS x FROM x)"
+
+
+@query(f"WITH {i.SQL_VECTORS}, {SQL_DIMS} SELECT label, dim, round(avg(x), 6) AS value FROM y GROUP BY label, dim")
+def mean_pool(s, d):
+    return vectors.mean_pool(i.vectors(s, d), "label", "v").select("label", "dim", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {i.SQL_VECTORS}, {SQL_DIMS} SELECT dim, round(avg(x), 6) AS value FROM y GROUP BY dim")
+def center_of_mass(s, d):
+    return vectors.center(i.vectors(s, d), "v").select("dim", F.round("value", 6).alias("value"))
+
+
+SQL_DISTANCE = f"WITH {i.SQL_VECTORS}, {SQL_DIMS}, m AS (SELECT dim, avg(x) AS value FROM y GROUP BY dim), z AS (SELECT id, sqrt(sum((x - value) * (x - value))) AS distance FROM y JOIN m USING (dim) GROUP BY id)"
+
+
+@query(f"{SQL_DISTANCE} SELECT id, round(distance, 6) AS distance FROM z")
+def dist_to_center(s, d):
+    return vectors.distance_to_center(i.vectors(s, d), "id", "v").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("WITH m AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS total FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n, round(count(*) / (any_value(total) * any_value((hi - lo) / 50)), 9) AS density FROM events, m WHERE value IS NOT NULL GROUP BY 1")
+def density_hist(s, d):
+    return vectors.density_histogram(i.table(s, d, "events"), "value", 50).select("bin", "n", F.round("density", 9).alias("density"))
+
+
+@query(f"WITH {i.SQL_WORDS} SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2")
+def bag_of_tokens(s, d):
+    return i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH b AS (SELECT user_id, event_type AS token, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT user_id, token, n, unnest(range(16)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / 4294967296.0 AS u, {i.sql_draw('proj-v', 'token', 'dim')} / 4294967296.0 AS v FROM f) SELECT user_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(16.0), 6) AS value FROM z GROUP BY 1, 2")
+def random_projection(s, d):
+    bag = i.table(s, d, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return vectors.random_projection(bag, "user_id", "token", "n", 16, i.SEED).select("user_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query()
+def pca3(s, d):
+    return vectors.principal_components(i.vectors(s, d), "id", "v", 3)
+
+
+# --- labels, classifiers ------------------------------------------------------
+
+SQL_LABELS = f"WITH {i.sql_kmers(6, 2)}, lc AS (SELECT kmer, lang, count(*) AS n FROM k GROUP BY 1, 2)"
+
+
+def _label_counts(s, d):
+    return evaluate.label_counts(i.kmers(s, d, 6, 2), "kmer", "lang")
+
+
+@query(f"{SQL_LABELS} SELECT kmer, lang, n FROM lc")
+def kmer_label_counts(s, d):
+    return _label_counts(s, d)
+
+
+SQL_MERGED = f"{SQL_LABELS}, dk AS (SELECT DISTINCT doc_id, kmer FROM k), mg AS (SELECT dk.doc_id, lc.lang, CAST(sum(lc.n) AS BIGINT) AS n FROM dk JOIN lc USING (kmer) GROUP BY 1, 2), tl AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS INT) AS rank FROM mg)"
+
+
+def _merged(s, d):
+    pairs = i.kmers(s, d, 6, 2).select("doc_id", "kmer").distinct()
+    return evaluate.merge_label_counts(pairs, _label_counts(s, d), "doc_id", "kmer", "lang")
+
+
+@query(f"{SQL_MERGED} SELECT doc_id, lang, n FROM mg")
+def merge_label_counts(s, d):
+    return _merged(s, d)
+
+
+@query(f"{SQL_MERGED} SELECT doc_id, lang, n, rank FROM tl WHERE rank <= 2")
+def topk_labels(s, d):
+    return evaluate.top_labels(_merged(s, d), "doc_id", "lang", 2)
+
+
+@query(f"{SQL_MERGED} SELECT count(*) AS n, count(tl.doc_id) AS n_hit, round(count(tl.doc_id) / count(*), 6) AS accuracy FROM documents LEFT JOIN tl ON documents.doc_id = tl.doc_id AND documents.lang = tl.lang AND tl.rank <= 2")
+def topk_accuracy(s, d):
+    truth = i.table(s, d, "documents").select("doc_id", "lang")
+    return evaluate.top_accuracy(evaluate.top_labels(_merged(s, d), "doc_id", "lang", 2), truth, "doc_id", "lang").withColumn("accuracy", F.round("accuracy", 6))
+
+
+def _scored_labels(s, d):
+    docs = i.table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return i.table(s, d, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").alias("label"), (F.col("n") / (F.col("n") + 1000.0)).alias("score"))
+
+
+SQL_METRICS = "WITH sl AS (SELECT quality AS label, len(coalesce(text, '')) / (len(coalesce(text, '')) + 1000.0) AS s FROM labels JOIN documents USING (doc_id)), g AS (SELECT s, CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS q FROM sl GROUP BY s), r AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM g), z AS (SELECT CAST(coalesce(sum(p) FILTER (WHERE s >= 0.5), 0) AS BIGINT) AS tp, CAST(coalesce(sum(q) FILTER (WHERE s >= 0.5), 0) AS BIGINT) AS fp, CAST(coalesce(sum(p) FILTER (WHERE s < 0.5), 0) AS BIGINT) AS fn, CAST(coalesce(sum(q) FILTER (WHERE s < 0.5), 0) AS BIGINT) AS tn, sum(q * (tp - p / 2)) AS area, sum(p * tp / (tp + fp)) AS ap FROM r), m AS (SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(area / ((tp + fn) * (fp + tn)), 6) AS auroc, round(ap / (tp + fn), 6) AS average_precision FROM z)"
+
+
+def _metrics(s, d):
+    m = evaluate.binary_metrics(_scored_labels(s, d))
+    return m.select("tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("accuracy", "f1", "auroc", "average_precision")))
+
+
+@query(f"{SQL_METRICS} SELECT * FROM m")
+def clf_metrics(s, d):
+    return _metrics(s, d)
+
+
+@query(f"{SQL_METRICS}, w AS (SELECT 'length' AS model, accuracy, f1, auroc, average_precision FROM m) SELECT model, metric, value FROM w UNPIVOT (value FOR metric IN (accuracy, f1, auroc, average_precision))")
+def metrics_tidy(s, d):
+    return evaluate.tidy(_metrics(s, d).withColumn("model", F.lit("length")), ["model"], ["accuracy", "f1", "auroc", "average_precision"])
+
+
+@query(f"{SQL_NEAR}, v AS (SELECT query, x.label, count(*) AS n FROM r JOIN x ON r.neighbour = x.id WHERE rank <= 10 GROUP BY 1, 2) SELECT query, arg_max(label, (n, -label)) AS predicted FROM v GROUP BY query")
+def clf_knn(s, d):
+    v = i.vectors(s, d)
+    return evaluate.nearest_class(v, v.where(F.col("id") % 20 == 0), 10, "label")
+
+
+def _classified(name: str):
+    def run(s, d):
+        from pyspark.ml.functions import array_to_vector
+
+        rows = sampling.split(i.vectors(s, d), 0.75, i.SEED, F.col("id"))
+        data = rows.select("id", "is_train", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+        fitted = evaluate.classifier(name).fit(data.where("is_train"))
+        guess = F.col("prediction") if name != "ridge" else (F.col("prediction") >= 0.5).cast("double")
+        return fitted.transform(data.where("not is_train")).select("id", F.col("label").cast("int").alias("label"), guess.cast("int").alias("predicted"))
+
+    run.__name__ = f"clf_{name}"
+    return query()(run)
+
+
+for _name in ("ridge", "forest", "svm", "svm_l1", "sgd_l2", "sgd_l1", "sgd_elastic", "bernoulli_nb", "l1_pipeline"):
+    _classified(_name)
+
+
+# --- logs, intervals, training ------------------------------------------------
+
+
+@query("WITH a AS (SELECT user_id, event_id, CAST(event_id % 50 AS INT) AS macrobatch, round(abs(value), 3) AS v FROM events), j AS (SELECT *, CASE WHEN abs(macrobatch - lag(macrobatch, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id)) > 1 THEN 1 ELSE 0 END AS j FROM a) SELECT user_id, event_id, macrobatch, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS epoch FROM j")
+def log_scrape_epochs(s, d):
+    logged = i.table(s, d, "events").select("user_id", "event_id", F.concat(F.lit("running macrobatch "), (F.col("event_id") % 50).cast("string"), F.lit(", macrobatch average loss: 1.25")).alias("line"))
+    return tables.epochs(tables.parse_log(logged), "user_id", "event_id", "macrobatch").select("user_id", "event_id", "macrobatch", "epoch")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, l_quantity + 1 AS width, l_extendedprice / (l_quantity + 1) AS height FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 + 1")
+def interval_join(s, d):
+    peaks, atlas = i.table(s, d, "lineitem"), i.table(s, d, "orders")
+    both = peaks.join(atlas, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_linenumber") == F.col("o_orderkey") % 7 + 1))
+    return both.select("l_orderkey", "l_linenumber", "o_custkey", (F.col("l_quantity") + 1).alias("width"), (F.col("l_extendedprice") / (F.col("l_quantity") + 1)).alias("height"))
+
+
+@query("SELECT l_returnflag, CAST(least(floor(l_discount * 100 * l_quantity / (400 / 200.0)), 199) AS INT) AS bin, count(*) AS n FROM (SELECT l_returnflag, round(l_discount * 100) / 100 AS l_discount, l_quantity FROM lineitem) WHERE l_discount * 100 * l_quantity BETWEEN 0 AND 400 GROUP BY 1, 2")
+def width_corrected_hist(s, d):
+    rows = i.table(s, d, "lineitem").select("l_returnflag", (F.round(F.col("l_discount") * 100) / 100 * 100 * F.col("l_quantity")).alias("h"))
+    return tables.width_bins(rows, "l_returnflag", "h", 0.0, 400.0, 200)
+
+
+@query("SELECT l_returnflag, round(exp(sum(ln(l_quantity)) FILTER (WHERE l_quantity > 0) / count(*)), 6) AS mean FROM lineitem GROUP BY 1")
+def geo_mean(s, d):
+    return i.table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(tables.geometric_mean(F.col("l_quantity")), 6).alias("mean"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND source IS NOT NULL)")
+def chrom_antijoin(s, d):
+    docs = i.table(s, d, "documents").select("doc_id", "lang", "source")
+    return docs.join(docs.where("lang = 'de'").select("source").distinct(), "source", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")
+def gene_filter(s, d):
+    return i.table(s, d, "part").where(F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")).select("p_partkey", "p_name")
+
+
+@query()
+def embed_train(s, d):
+    words = i.event_vocab(s, d)
+    sig = _signal(s, d).select("sent", "pos", F.lit(0).alias("draw"), "query", "context", F.lit(True).alias("is_signal"))
+    noi = examples.noise(_signal(s, d), words, 3, i.SEED).withColumn("is_signal", F.lit(False))
+    rows = sig.unionByName(noi).withColumn("ord", F.xxhash64("sent", "pos"))
+    size = words.agg(F.max("id")).first()[0] + 1
+    trained, _ = model.train(rows, size, dims=8, epochs=2, batch=1000, copies=1)
+    return trained.select("id", F.posexplode("w").alias("dim", "w"))
