@@ -52,14 +52,20 @@ class Sizer:
         dictionary.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def features(self, data: bytes) -> list[float]:
+    def base(self, data: bytes) -> list[float]:
         step = -(-len(data) // max(1, -(-len(data) // BLOCK_BYTES))) or 1
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
         good = sum(len(self.good.compress(b)) for b in blocks) - 5 * len(blocks)
         bad = sum(len(self.bad.compress(b)) for b in blocks) - 5 * len(blocks)
         size = len(data) + 20
-        base = [10 * (bad - good) / size, good / size, bad / size, min(good, bad) / size, 10 * (bad - good) / (bad + good + 20)]
-        return [1.0, *base, *(x * x for x in base), *(base[0] * x for x in base[1:])]
+        return [10 * (bad - good) / size, good / size, bad / size, 10 * (bad - good) / (bad + good + 20)]
+
+
+def _expanded(base: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squares and products beside the sizes, which are kept to the range that calibration saw: a text that a dictionary
+    holds goes to the end of that range, not to where a square would turn."""
+    base = np.clip(base, low, high)
+    return np.hstack([np.ones((len(base), 1)), base, base * base, base[:, :1] * base[:, 1:]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 100) -> np.ndarray:
@@ -93,7 +99,9 @@ def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     good, bad = _dictionary(learn[1]), _dictionary(learn[0])
     rest = [(v, t) for v in by for i, t in by[v] if not fold(i)]
     sizer = Sizer(good, bad)
-    x = np.array([sizer.features(t) for _, t in rest])
+    base = np.array([sizer.base(t) for _, t in rest])
+    low, high = base.min(0), base.max(0)
+    x = _expanded(base, low, high)
     y = np.array([v for v, _ in rest], dtype=float)
     if len(set(y)) < 2:
         return None
@@ -105,7 +113,7 @@ def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     w = w / dev
     w[0] -= mean @ w
     w[0] += math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))  # the sample is balanced, the labels aren't
-    return {"good": good, "bad": bad, "w": w}
+    return {"good": good, "bad": bad, "w": w, "low": low, "high": high}
 
 
 def score_column(spark, model: dict | None, text_col: str = "text"):
@@ -117,7 +125,9 @@ def score_column(spark, model: dict | None, text_col: str = "text"):
 
     def run(texts: pa.Array) -> pa.Array:
         sizer = kept.get("sizer") or kept.setdefault("sizer", Sizer(model["good"], model["bad"]))
-        out = [float(np.dot(model["w"], sizer.features(x.as_py() or b""))) for x in texts.cast(pa.binary())]
-        return pa.array(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30))))
+        base = np.array([sizer.base(x.as_py() or b"") for x in texts.cast(pa.binary())]).reshape(len(texts), -1)
+        if not len(base):
+            return pa.array([], pa.float64())
+        return pa.array(1 / (1 + np.exp(-np.clip(_expanded(base, model["low"], model["high"]) @ model["w"], -30, 30))))
 
     return F.arrow_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
