@@ -136,7 +136,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base.add(label)
         blocks = [{"label": ALIASES.get(n, n), "first": s, "end": e, "containment": c} for n, s, e, c in join.blocks(words)]
         score = max([1.0 if base else 0.0, *(b["containment"] for b in blocks)])
-        labels = base | {b["label"] for b in blocks}
+        best: dict[int, float] = {}
+        for b in blocks:
+            best[b["first"]] = max(b["containment"], best.get(b["first"], 0.0))
+        labels = base | {b["label"] for b in blocks if b["containment"] == best[b["first"]]}  # a block is named by what it holds most of
         return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "blocks": blocks}
 
     def run(texts: pa.Array) -> pa.Array:
