@@ -58,11 +58,13 @@ def train(spark, docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "g", "n"])
 
     rows = texts.select("lang", "text").mapInArrow(counted, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toPandas()
+    if rows.empty:
+        return {"langs": [], "logs": np.zeros((BUCKETS, 0), np.float32)}
     langs = sorted(rows["lang"].unique())
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
     table[rows["g"].to_numpy(), np.searchsorted(langs, rows["lang"].to_numpy(dtype=object))] += rows["n"].to_numpy()
     used = max(1, rows["g"].nunique())
-    logs = np.log(table / (table.sum(axis=0) - SMOOTHING * (BUCKETS - used))) if langs else table
+    logs = np.log(table / (table.sum(axis=0) - SMOOTHING * (BUCKETS - used)))
     return {"langs": langs, "logs": logs.astype(np.float32)}
 
 
