@@ -51,7 +51,7 @@ def revcomp(s, d):
 
 @query(f"WITH {i.sql_kmers()} SELECT least(kmer, {i.sql_rc('kmer')}) AS canon, count(*) AS n FROM k GROUP BY 1")
 def canonical_count(s, d):
-    return i.kmers(s, d).groupBy(tk.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
+    return i.kmer_counts(s, d).groupBy(tk.canonical(F.col("token")).alias("canon")).agg(F.sum("count").alias("n"))  # classes of counted k-mers, not of each occurrence
 
 
 @query(f"WITH {i.SQL_KMER_COUNTS}, g AS (SELECT canon, count(*) AS members FROM cc GROUP BY canon) SELECT members, canon = {i.sql_rc('canon')} AS palindrome, count(*) AS n FROM g GROUP BY 1, 2")
