@@ -19,7 +19,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from . import shared
 from .simhash import shingles_of, words_of
@@ -27,6 +27,7 @@ from .simhash import shingles_of, words_of
 BLOCKS, BITS = 6, 42
 WIDTH = 5
 SIMILARITY = 0.8
+#: Members of a bucket up to which it gives all its pairs.
 PAIRS = 8
 
 
@@ -44,42 +45,83 @@ def sketch(words: list[bytes]) -> list[int]:
     return (set_ @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
 
 
-def _pairs(batches):
-    """mapInArrow over rows sorted by variant: candidate pairs (a, b) with a < b."""
+def _pairs(limit: int):
+    """mapInArrow over rows sorted by variant: candidate pairs (a, b) with a < b; wide where a is a large bucket's first."""
 
-    def one(v, d):
+    def one(v, d, going):
         new = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
         size = np.diff(np.r_[new, len(v)])
         at = np.arange(len(v)) - np.repeat(new, size)
-        small = np.repeat(size, size) <= PAIRS
+        small = np.repeat(size <= limit, size)
+        if going is not None:
+            small &= v != going
         a, b = [], []
-        for back in range(1, PAIRS):  # the one before in any bucket, all before in small ones
+        for back in range(1, max(limit, 2)):  # the one before in any bucket, all before in small ones
             rows = np.flatnonzero((at >= back) & (small if back > 1 else True))
             a.append(d[rows - back])
             b.append(d[rows])
         rows = np.flatnonzero(~small & (at > 0))
+        wide = np.repeat([0, 1], [sum(map(len, a)), len(rows)])
         a.append(d[np.repeat(new, size)[rows]])
         b.append(d[rows])
         a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    v, d = np.empty(0, np.int64), np.empty(0, np.int64)
-    for got in batches:
-        v, d = np.r_[v, got.column(0).to_numpy(zero_copy_only=False)], np.r_[d, got.column(1).to_numpy(zero_copy_only=False)]
-        cut = int(np.searchsorted(v, v[-1], "left"))
-        if len(v) - cut > 100_000:  # a very large bucket goes on piecewise, with its first member kept
-            yield one(v, d)
-            v, d = np.r_[v[cut : cut + 1], v[-1:]], np.r_[d[cut : cut + 1], d[-1:]]
-            continue
-        if cut:
-            yield one(v[:cut], d[:cut])
-            v, d = v[cut:], d[cut:]
-    if len(v):
-        yield one(v, d)
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+        pairs = np.unique(np.stack([a, b, wide], axis=1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "wide"])
+
+    def run(batches):
+        v, d, going = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for got in batches:
+            v, d = np.r_[v, got.column(0).to_numpy(zero_copy_only=False)], np.r_[d, got.column(1).to_numpy(zero_copy_only=False)]
+            cut = int(np.searchsorted(v, v[-1], "left"))
+            if len(v) - cut > 100_000:  # a very large bucket goes on piecewise, with its first member kept
+                yield one(v, d, going)
+                going = v[-1]
+                v, d = np.r_[v[cut : cut + 1], v[-1:]], np.r_[d[cut : cut + 1], d[-1:]]
+                continue
+            if cut:
+                yield one(v[:cut], d[:cut], going)
+                v, d = v[cut:], d[cut:]
+        if len(v):
+            yield one(v, d, going)
+
+    return run
+
+
+def _across(spark: SparkSession, stars: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b) to verify among members of large buckets that verified links leave in several components; None if there are none.
+
+    Any two shingle sets of the similarity share one of the n - ceil(similarity * n) + 1 rarest of each.
+    """
+    known = stars.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    known = known.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    known = shared.stored(spark, known, "stars")
+    open_ = shared.stored(spark, known.where("ra != rb").select("a").distinct(), "open")
+    if open_.isEmpty():
+        return None
+    members = known.join(open_, "a", "left_semi")
+    members = shared.stored(spark, members.select(F.col("a").alias("d"), F.col("ra").alias("root")).union(members.select("b", "rb")).distinct(), "members")
+
+    def listed(s: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_py() or bytes(8), np.int64) for x in s], pa.list_(pa.int64()))  # no shingle: zero for all such sets
+
+    rows = sets.join(members, "d").select("d", "root", F.arrow_udf(listed, "array<long>")("s").alias("hs"))
+    rows = shared.stored(spark, rows.select("d", "root", F.size("hs").alias("n"), F.explode("hs").alias("h")), "shingles")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    often = shared.stored(spark, often.select("h", "c", F.col("r0") != F.col("r1")), "often").toDF("h", "c", "mixed")
+    ranked = rows.join(often, "h").withColumn("pos", F.row_number().over(W.partitionBy("d").orderBy("c", "h")))
+    prefix = ranked.where(F.col("mixed") & (F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1))
+    prefix = shared.stored(spark, prefix.select("h", "d", "root", "n", "pos"), "prefix")
+    groups = prefix.select("h", "root").distinct()
+    two = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "h").where("ra < rb")
+    left = prefix.toDF("h", "a", "ra", "na", "pa")
+    right = prefix.toDF("h", "b", "rb", "nb", "pb")
+    both = two.join(left, ["h", "ra"]).join(right, ["h", "rb"])
+    need = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9)
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    return both.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (reach >= need)).select("a", "b").distinct()
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, limit: int = PAIRS) -> DataFrame:
     """(node, root) for the documents that have a near copy: root is the smallest id of the component."""
     spark = docs.sparkSession
     shared.bound_batches(spark)
@@ -109,13 +151,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches_kept = shared.stored(spark, sketches, "sketches")
     spread = sketches_kept.select("d", "k", "fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).bitwiseOR(F.shiftleft(F.col("k").cast("long"), BITS)).alias("v"), "d")
     with shared.arrow_rows(spark, 50_000):
-        pairs = shared.stored(spark, spread.repartition("v").sortWithinPartitions("v", "d").mapInArrow(_pairs, "a long, b long").distinct(), "pairs")
+        found = spread.repartition("v").sortWithinPartitions("v", "d").mapInArrow(_pairs(limit), "a long, b long, wide boolean")
+        pairs = shared.stored(spark, found.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
     ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
     sets = shared.stored(spark, shared.by_ids(base, ids, "left_semi", "d").select("d", F.arrow_udf(hashed, "binary")("t").alias("s")).dropDuplicates(["d"]), "sets")
-    left = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
-    edges = both.where(F.arrow_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b")
-    return shared.components(spark, edges)
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        left = candidates.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
+        return both.where(F.arrow_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b")
+
+    roots = shared.stored(spark, shared.components(spark, verified(pairs.select("a", "b"))), "roots")
+    rest = _across(spark, pairs.where("wide").select("a", "b"), roots, sets, similarity)
+    if rest is None:
+        return roots
+    return shared.components(spark, roots.toDF("a", "b").union(verified(rest)))
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -133,6 +133,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {want[i] for i in sets}
 
 
+@pytest.mark.parametrize("limit", [1, 8])
+def test_large_buckets_lose_no_link(spark, limit):
+    """Members of large buckets that are not near the first nor the one before still meet."""
+    rng = random.Random(4)
+    base = prose(200, rng).split()
+    rows = [(i, " ".join(base)) if i < 3 else (i, edited(" ".join(base), rng.randint(2, 6), rng)) for i in range(120)]
+    rows += [(200 + i, t) for i, t in enumerate([" ".join(rng.sample(base, len(base))) for _ in range(30)])]  # equal sketches, no common shingles
+    rows += [(300 + i, edited(rows[125 + i % 9][1], 1, rng)) for i in range(40)]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = closure([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    got = {r.node: r.root for r in near.near_components(table(spark, rows), limit=limit).collect()}
+    assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_near_duplicates_of_odd_rows(docs, empty):
     assert near.without_near_duplicates(empty).count() == 0
     kept = near.without_near_duplicates(docs)
