@@ -116,9 +116,9 @@ def _across(spark: SparkSession, stars: DataFrame, roots: DataFrame, sets: DataF
     left = prefix.toDF("h", "a", "ra", "na", "pa")
     right = prefix.toDF("h", "b", "rb", "nb", "pb")
     both = two.join(left, ["h", "ra"]).join(right, ["h", "rb"])
-    need = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9)
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    return both.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (reach >= need)).select("a", "b").distinct()
+    spare = F.col("na") + F.col("nb") - F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9) + 1
+    fits = (F.col("pa") <= spare - F.col("nb")) & (F.col("pb") <= spare - F.col("na"))  # the rarest common shingle of a similar pair
+    return both.where(fits & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, limit: int = PAIRS) -> DataFrame:
