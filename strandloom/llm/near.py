@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import shared
 from .simhash import shingles_of, words_of
 
-BLOCKS, BITS = 6, 42
+BLOCKS, BITS = 12, 42
+#: 128-bit hashes of a mark that give a bit for each of BLOCKS * BITS.
+DIGESTS = -(-BLOCKS * BITS // 128)
 WIDTH = 5
 SIMILARITY = 0.8
 #: Members of a bucket up to which it gives all its pairs.
@@ -36,11 +38,11 @@ def sketch(words: list[bytes]) -> list[int]:
     marks = [w if k == 1 else w + b" %d" % k for w, c in Counter(words).items() for k in range(1, isqrt(c) + 1)]
     if not marks:
         return [0] * BLOCKS
-    bits = np.zeros(256, np.int64)
+    bits = np.zeros(128 * DIGESTS, np.int64)
     for at in range(0, len(marks), 1 << 13):
         part = marks[at : at + (1 << 13)]
-        raw = b"".join([xxhash.xxh3_128_digest(m, 1) + xxhash.xxh3_128_digest(m, 2) for m in part])
-        bits += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+        raw = b"".join([xxhash.xxh3_128_digest(m, k) for m in part for k in range(1, DIGESTS + 1)])
+        bits += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16 * DIGESTS), axis=1).sum(axis=0, dtype=np.int64)
     set_ = (2 * bits[: BLOCKS * BITS] > len(marks)).reshape(BLOCKS, BITS)
     return (set_ @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
 
