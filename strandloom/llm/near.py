@@ -113,11 +113,15 @@ def _across(spark: SparkSession, stars: DataFrame, roots: DataFrame, sets: DataF
     ranked = rows.join(often, "h").withColumn("pos", F.row_number().over(W.partitionBy("d").orderBy("c", "h")))
     prefix = ranked.where(F.col("mixed") & (F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1))
     prefix = shared.stored(spark, prefix.select("h", "d", "root", "n", "pos"), "prefix")
-    groups = prefix.select("h", "root").distinct()
-    two = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "h").where("ra < rb")
-    left = prefix.toDF("h", "a", "ra", "na", "pa")
-    right = prefix.toDF("h", "b", "rb", "nb", "pb")
-    both = two.join(left, ["h", "ra"]).join(right, ["h", "rb"])
+    k = similarity / (1 + similarity)
+    prefix = prefix.withColumn("s", (1 - k) * F.col("n") - F.col("pos") + 1 + 1e-6)  # it can go with partners of at most s / k shingles
+    groups = shared.stored(spark, prefix.groupBy("h", "root").agg(F.max("s").alias("s"), F.min("n").alias("n")), "groups")
+    ga, gb = groups.toDF("h", "ra", "gsa", "gna"), groups.toDF("h", "rb", "gsb", "gnb")
+    two = ga.join(gb, "h").where((F.col("ra") < F.col("rb")) & (F.col("gsa") >= k * F.col("gnb")) & (F.col("gsb") >= k * F.col("gna")))
+    left = prefix.toDF("h", "a", "ra", "na", "pa", "sa")
+    right = prefix.toDF("h", "b", "rb", "nb", "pb", "sb")
+    two = two.join(left, ["h", "ra"]).where((F.col("sa") >= k * F.col("gnb")) & (F.col("gsb") >= k * F.col("na")))
+    both = two.join(right, ["h", "rb"])
     spare = F.col("na") + F.col("nb") - F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9) + 1
     fits = (F.col("pa") <= spare - F.col("nb")) & (F.col("pb") <= spare - F.col("na"))  # the rarest common shingle of a similar pair
     return both.where(fits & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
