@@ -1,14 +1,18 @@
-"""Near-duplicate removal for word-shingle similarity, by SimHash and meet-in-the-middle ball hashing.
+"""Near-duplicate removal for word-shingle similarity: SimHash balls first, then an exact join on rare shingles.
 
 Similarity 0.8 of five-word shingles moves a 64-bit SimHash of them by some ten bits, far outside a
 ball of 3 bits. So documents get BLOCKS independent SimHashes of BITS bits over their words (the k-th occurrence
-of a word counts where k is a square, which damps frequent words); similar documents are within 2 bits in
-at least one. In every block each emits all variants within half of 2, one bit, and meets the others there. Buckets of at most
-PAIRS members give all pairs; larger ones link each member to the bucket's first and to the one before, which keeps the
-work linear in a large group of copies. Every link is verified by the exact Jaccard similarity of five-word shingle sets.
+of a word counts where k is a square, which damps frequent words). In every block each emits all variants within half of
+2, one bit, and meets the others there. Buckets of at most PAIRS members give all pairs; each member of larger ones is
+linked to the least of their first members, which keeps the work linear in a large group of copies.
+
+Balls join most scattered edits but lose copies with a passage cut off or added, which move many bits. So all documents
+that the balls leave in different components then go through a prefix, length and position join on their rarest
+shingles, which finds every pair of the similarity. Every link is verified by the exact Jaccard similarity of
+five-word shingle sets.
 
 Defined results: null text is empty; texts without words equal each other; of each component the row with the smallest id stays; rows
-with a null id stay; repeated ids stand or fall together; an empty table gives an empty result.
+with a null id stay; repeated ids stand or fall together, and of their texts the one with the least xxhash64 is compared; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import shared
 from .simhash import shingles_of, words_of
@@ -58,8 +62,8 @@ def _pairs(limit: int):
         if going is not None:
             small &= v != going
         a, b = [], []
-        for back in range(1, max(limit, 2)):  # the one before in any bucket, all before in small ones
-            rows = np.flatnonzero((at >= back) & (small if back > 1 else True))
+        for back in range(1, max(limit, 2)):
+            rows = np.flatnonzero((at >= back) & small)
             a.append(d[rows - back])
             b.append(d[rows])
         rows = np.flatnonzero(~small & (at > 0))
@@ -89,30 +93,124 @@ def _pairs(limit: int):
     return run
 
 
-def _across(spark: SparkSession, stars: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(a, b) to verify among members of large buckets that verified links leave in several components; None if there are none.
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by their significance, which shuffles compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _ids(d: np.ndarray) -> bytes:
+    return _planes(np.diff(d, prepend=0))
+
+
+def _spread_shingles(hashes):
+    """mapInArrow over (id, text): the ids and 32 further bits of all shingles of one value of ten bits, k; docs: ids and sizes, in one row of a batch."""
+
+    def run(batches):
+        for got in batches:
+            if not got.num_rows:
+                continue
+            d = got.column(0).to_numpy(zero_copy_only=False)
+            first = np.argsort(d, kind="stable")
+            d, texts = d[first], got.column(1).cast(pa.binary())
+            sets = [hashes(texts[int(i)].as_py() or b"") for i in first]
+            sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]  # texts without words equal each other
+            n = np.array([len(s) for s in sets])
+            h, of = np.concatenate(sets), np.repeat(d, n)
+            k = (h >> np.uint64(54)).astype(np.uint16)
+            order = np.argsort(k, kind="stable")
+            k, low, of = k[order], (h[order] >> np.uint64(22)).astype(np.uint32), of[order]
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist()
+            ends = [*at[1:], len(k)]
+            docs = [d.tobytes() + n.astype(np.int64).tobytes()] + [None] * (len(at) - 1)
+            turn = int(d[0]) % len(at)  # not always the same task's
+            docs = docs[-turn:] + docs[:-turn]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[at].astype(np.int32)), pa.array([_ids(of[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([low[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array(docs, pa.binary())],
+                names=["k", "ids", "low", "docs"],
+            )
+
+    return run
+
+
+def _common_shingles(table: pa.Table) -> pa.Table:
+    """applyInArrow for one k: shingles of several documents with their counts, by ranges of the mixed id; k is -1 for sizes of documents."""
+    rows: list[tuple] = []
+
+    def put(k, d, low, c):
+        q = ((d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)  # 256 ranges
+        order = np.lexsort((d, q))
+        q, d, c = q[order], d[order], c[order].astype(np.uint32)
+        at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]).tolist() if len(q) else []
+        for i, j in zip(at, [*at[1:], len(q)], strict=True) if at else ():
+            rows.append((int(q[i]), k, _ids(d[i:j]), None if low is None else low[order][i:j].tobytes(), _planes(c[i:j])))
+
+    d = np.concatenate([np.cumsum(_numbers(x.as_py(), np.int64)) for x in table.column("ids")])
+    low = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("low")])
+    order = np.argsort(low, kind="stable")
+    low, d = low[order], d[order]
+    new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    size = np.diff(np.r_[new, len(low)])
+    c = np.repeat(size, size)
+    put(table.column("k")[0].as_py(), d[c > 1], low[c > 1], c[c > 1])
+    for x in table.column("docs"):
+        if x.is_valid:
+            ids, n = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+            put(-1, ids, None, n)
+    q, k, ids, low, c = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.table({"q": pa.array(q, pa.int32()), "k": pa.array(k, pa.int32()), "ids": pa.array(ids, pa.binary()), "low": pa.array(low, pa.binary()), "c": pa.array(c, pa.binary())})
+
+
+def _prefixes(similarity: float):
+    """applyInArrow for one range of ids: (h, d, n, pos) of the common ones among a document's first n - ceil(similarity * n) + 1 shingles, rarest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, sizes, d, h, c = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, ids, low, counts in zip(*(table.column(x).to_pylist() for x in ("k", "ids", "low", "c")), strict=True):
+            ids, counts = np.cumsum(_numbers(ids, np.int64)), _numbers(counts, np.uint32).astype(np.int64)
+            if k < 0:
+                docs.append(ids)
+                sizes.append(counts)
+            else:
+                d.append(ids)
+                h.append(np.frombuffer(low, np.uint32).astype(np.int64) | k << 32)
+                c.append(counts)
+        docs, sizes, d, h, c = map(np.concatenate, (docs, sizes, d, h, c))
+        order = np.lexsort((sizes, docs))
+        docs, sizes = docs[order], sizes[order]
+        last = np.r_[docs[1:] != docs[:-1], True]  # of equal rows, one
+        docs, sizes = docs[last], sizes[last]
+        order = np.lexsort((h, c, d))
+        d, h = d[order], h[order]
+        once = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])][: len(d)]
+        d, h = d[once], h[once]
+        of = np.searchsorted(docs, d)
+        many = np.bincount(of, minlength=len(docs))
+        n = sizes[of]
+        pos = n - many[of] + np.arange(len(d)) - (np.cumsum(many) - many)[of] + 1  # shingles of no other document come first
+        kept = pos <= n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+        return pa.table({"h": h[kept], "d": d[kept], "n": n[kept], "pos": pos[kept]})
 
-    Any two shingle sets of the similarity share one of the n - ceil(similarity * n) + 1 rarest of each.
+    return run
+
+
+def _across(spark: SparkSession, base: DataFrame, roots: DataFrame, hashes, similarity: float) -> DataFrame:
+    """(a, b) to verify among all documents that verified links leave in different components.
+
+    Any two shingle sets of the similarity share one of the n - ceil(similarity * n) + 1 rarest of each. Rare is by
+    counts over the whole table. Shingles travel packed, by the bits of their hash and then by document.
     """
-    known = stars.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    known = known.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    known = shared.stored(spark, known, "stars")
-    open_ = shared.stored(spark, known.where("ra != rb").select("a").distinct(), "open")
-    if open_.isEmpty():
-        return None
-    members = known.join(open_, "a", "left_semi")
-    members = shared.stored(spark, members.select(F.col("a").alias("d"), F.col("ra").alias("root")).union(members.select("b", "rb")).distinct(), "members")
-
-    def listed(s: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(x.as_py() or bytes(8), np.int64) for x in s], pa.list_(pa.int64()))  # no shingle: zero for all such sets
-
-    rows = sets.join(members, "d").select("d", "root", F.arrow_udf(listed, "array<long>")("s").alias("hs"))
-    rows = shared.stored(spark, rows.select("d", "root", F.size("hs").alias("n"), F.explode("hs").alias("h")), "shingles")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    often = shared.stored(spark, often.select("h", "c", F.col("r0") != F.col("r1")), "often").toDF("h", "c", "mixed")
-    ranked = rows.join(often, "h").withColumn("pos", F.row_number().over(W.partitionBy("d").orderBy("c", "h")))
-    prefix = ranked.where(F.col("mixed") & (F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1))
-    prefix = shared.stored(spark, prefix.select("h", "d", "root", "n", "pos"), "prefix")
+    packed = base.mapInArrow(_spread_shingles(hashes), "k int, ids binary, low binary, docs binary")
+    common = packed.groupBy("k").applyInArrow(_common_shingles, "q int, k int, ids binary, low binary, c binary")
+    prefix = common.groupBy("q").applyInArrow(_prefixes(similarity), "h long, d long, n long, pos long")
+    prefix = shared.stored(spark, prefix, "rare")
+    prefix = shared.stored(spark, prefix.join(roots.withColumnRenamed("node", "d"), "d", "left").select("h", "d", F.coalesce("root", "d").alias("root"), "n", "pos"), "rooted")
+    mixed = shared.stored(spark, prefix.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h"), "mixed")
+    prefix = shared.stored(spark, prefix.join(mixed, "h"), "prefix")
     k = similarity / (1 + similarity)
     prefix = prefix.withColumn("s", (1 - k) * F.col("n") - F.col("pos") + 1 + 1e-6)  # it can go with partners of at most s / k shingles
     groups = shared.stored(spark, prefix.groupBy("h", "root").agg(F.max("s").alias("s"), F.min("n").alias("n")), "groups")
@@ -135,12 +233,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sketched(texts: pa.Array) -> pa.Array:
         return pa.array([sketch(words_of(t.as_py() or b"")) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
+    def hashes(text: bytes) -> np.ndarray:
+        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles_of(words_of(text), WIDTH)), np.uint64))
+
     def hashed(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.cast(pa.binary()):
-            h = np.fromiter(map(xxhash.xxh64_intdigest, shingles_of(words_of(t.as_py() or b""), WIDTH)), np.uint64)
-            out.append(np.unique(h).tobytes())
-        return pa.array(out, pa.binary())
+        return pa.array([hashes(t.as_py() or b"").tobytes() for t in texts.cast(pa.binary())], pa.binary())
 
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -152,6 +249,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.array(out, pa.float64())
 
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    again = base.groupBy("d").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("t")).alias("x")).where("c > 1").select("d", "x")
+    again = shared.stored(spark, again, "again")
+    if not again.isEmpty():
+        base = base.join(again, "d", "left").where("x is null or xxhash64(t) = x").select("d", "t")
     sketches = base.select("d", F.posexplode(F.arrow_udf(sketched, "array<long>")("t")).alias("k", "fp"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(BITS)))
     sketches_kept = shared.stored(spark, sketches, "sketches")
@@ -159,17 +260,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with shared.arrow_rows(spark, 50_000):
         found = spread.repartition("v").sortWithinPartitions("v", "d").mapInArrow(_pairs(limit), "a long, b long, wide boolean")
         pairs = shared.stored(spark, found.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
-    ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    sets = shared.stored(spark, shared.by_ids(base, ids, "left_semi", "d").select("d", F.arrow_udf(hashed, "binary")("t").alias("s")).dropDuplicates(["d"]), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
+        ids = candidates.select(F.col("a").alias("d")).union(candidates.select("b")).distinct()
+        sets = shared.stored(spark, shared.by_ids(base, shared.stored(spark, ids, "ids"), "left_semi", "d").select("d", F.arrow_udf(hashed, "binary")("t").alias("s")).dropDuplicates(["d"]), "sets")
         left = candidates.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
         both = left.join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
         return both.where(F.arrow_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b")
 
-    roots = shared.stored(spark, shared.components(spark, verified(pairs.select("a", "b"))), "roots")
-    rest = _across(spark, pairs.where("wide").select("a", "b"), roots, sets, similarity)
-    if rest is None:
+    # a member of large buckets goes with the least first of them; what that leaves apart meets on rare shingles
+    least = pairs.where("wide").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    roots = shared.stored(spark, shared.components(spark, verified(pairs.where("not wide").select("a", "b").union(least).distinct())), "roots")
+    rest = shared.stored(spark, _across(spark, base, roots, hashes, similarity), "rest")
+    if rest.isEmpty():
         return roots
     return shared.components(spark, roots.toDF("a", "b").union(verified(rest)))
 

@@ -148,6 +148,26 @@ def test_large_buckets_lose_no_link(spark, limit):
     assert {i: got.get(i, i) for i in sets} == want
 
 
+def test_cut_and_extended_copies_are_near_duplicates(spark):
+    """One contiguous passage less or more moves many bits of a sketch, so that buckets miss such copies."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = prose(rng.randint(80, 300), rng).split()
+        n = len(words)
+        rows.append((4 * i, " ".join(words)))
+        rows.append((4 * i + 1, " ".join(words[: int(0.83 * n) + 1])))
+        rows.append((4 * i + 2, " ".join(words) + " " + prose(int(0.22 * n), rng)))
+        rows.append((4 * i + 3, " ".join(words[: int(0.6 * n)])))
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = closure(pairs, sets)
+    assert len(pairs) >= 120
+    got = {r.node: r.root for r in near.near_components(table(spark, rows).repartition(5)).collect()}
+    assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_near_duplicates_of_odd_rows(docs, empty):
     assert near.without_near_duplicates(empty).count() == 0
     kept = near.without_near_duplicates(docs)
