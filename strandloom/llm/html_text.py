@@ -2,8 +2,9 @@
 
 The standard library's parser feeds events; each block of text between block-level tags is a line, with the tags that
 occurred in and before it. Text-to-tag ratios per line are smoothed by a Gaussian, and a threshold at the ratios'
-deviation splits lines into content and rest. The content lines vote, by their length, for the innermost article, main or body that
-holds them; the region with most votes gives all its lines, so that a short paragraph of the article isn't lost.
+deviation splits lines into content and rest. Each content line counts for the innermost article, main or body that
+holds them; every such region gives all its lines, so that a short paragraph of an article isn't lost, and so does each main or
+article around one: its heading may be all that stands beside an inner article.
 Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are never content, told by tag, role, or a class or id word.
 
@@ -44,7 +45,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # tag, inside something skipped, region
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.tags = 0
+        self.regions: list[tuple[str, int]] = [("", 0)]  # tag, region around it
         self.at = (False, 0)
 
     def end_line(self):
@@ -89,8 +91,8 @@ class Lines(HTMLParser):
                 break
         skipped, region = self.at
         if tag in REGIONS:
-            self.regions += 1
-            region = self.regions
+            self.regions.append((tag, region))
+            region = len(self.regions) - 1
         self.at = (skipped or self._skips(tag, attrs), region)
         self.stack.append((tag, *self.at))
 
@@ -130,7 +132,7 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the page's content region in page order, joined by blank lines."""
+    """Blocks of the page's content regions in page order, joined by blank lines."""
     if not html:
         return ""
     parser = Lines()
@@ -143,14 +145,14 @@ def main_text(html: str | None) -> str:
     ratios = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    votes: dict[int, int] = {}
-    for (text, _, region, skipped), r in zip(lines, ratios, strict=True):
-        if not skipped and r >= min(threshold, max(ratios)):
-            votes[region] = votes.get(region, 0) + len(text)
-    if not votes:
-        return ""
-    best = max(votes, key=lambda k: (votes[k], -k))
-    return "\n\n".join(text for text, _, region, skipped in lines if region == best and not skipped)
+    kept = {region for (_, _, region, skipped), r in zip(lines, ratios, strict=True) if not skipped and r >= min(threshold, max(ratios))}
+    for region in list(kept):
+        outer = parser.regions[region][1]
+        while outer:
+            if parser.regions[outer][0] != "body":
+                kept.add(outer)
+            outer = parser.regions[outer][1]
+    return "\n\n".join(text for text, _, region, skipped in lines if region in kept and not skipped)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -432,6 +432,16 @@ def test_html_extraction(spark):
     assert got[1].text == text and got[1].n_chars == len(text) and got[2].text == "" and got[2].n_chars == 0
 
 
+def test_html_keeps_every_content_region():
+    p = [prose(40) for _ in range(12)]
+    beside = f"<body><nav><a>Menu</a></nav><p>{p[0]}</p><main><h1>Head</h1><p>{p[1]}</p><article><p>{p[2]}</p><p>{p[3]}</p></article><p>{p[4]}</p></main><footer>f</footer></body>"
+    assert html_text.main_text(beside).split("\n\n") == [p[0], "Head", *p[1:5]]
+    blog = "<body><nav><a>Menu</a></nav>" + "".join(f"<article><h2>Part {k}</h2>" + "".join(f"<p>{x}</p>" for x in p[4 * k : 4 * k + 2 + k]) + "</article>" for k in range(3)) + "<footer>f</footer></body>"
+    assert html_text.main_text(blog).split("\n\n") == ["Part 0", *p[:2], "Part 1", *p[4:7], "Part 2", *p[8:12]]
+    heading = f"<body><main><h1>Head</h1><div><div><div><div><article><p>{p[0]}</p><p>{p[1]}</p></article></div></div></div></div></main></body>"
+    assert html_text.main_text(heading).split("\n\n") == ["Head", *p[:2]]
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
