@@ -7,6 +7,9 @@ prefix (a meeting block holds one of the template's first n - need + 1 words), l
 ``need`` distinct words) and position (what follows the first common word, on either side, can still reach ``need``).
 The templates are a fixed list, so sending them to every task is bounded.
 
+All templates that meet a block name it. Only of near-identical ones (gpl-2 and gpl-3, the cc-by family) the less contained one is left
+out: where another is contained more and the block holds fewer than half of the words that the former has beyond the latter.
+
 Base labels are phrases whose words stand consecutively. Defined results: null text is empty text and gives a row
 with no labels and score 0; repeated rows give repeated results; other columns are ignored.
 """
@@ -87,6 +90,7 @@ class Join:
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
         self.order = {w: i for i, w in enumerate(sorted({w for t in templates.values() for w in t.encode().split()}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix = [], {}
+        self.own = {name: set(text.encode().split()) for name, text in templates.items()}
         for k, (name, text) in enumerate(templates.items()):
             words = sorted(set(text.encode().split()), key=self.order.__getitem__)
             need = math.ceil(threshold * len(words) - 1e-9)
@@ -116,6 +120,24 @@ class Join:
                     if common >= need:
                         yield name, s, min(s + BLOCK, len(words)), common / len(own)
 
+    def named(self, words: list[bytes], meets: list[tuple]) -> set[str]:
+        """Templates that name their blocks: all that meet one but those whose words are there for a better held one."""
+        by: dict[int, list] = {}
+        for m in meets:
+            by.setdefault(m[1], []).append(m)
+        out = set()
+        for s, group in by.items():
+            distinct = set(words[s : group[0][2]]) if len(group) > 1 else set()
+            for name, _, _, c in group:
+                for better in (n for n, _, _, x in group if x > c):
+                    beyond = self.own[name] - self.own[better]
+                    present = len(beyond & distinct)
+                    if not present or 2 * present < len(beyond):
+                        break
+                else:
+                    out.add(name)
+        return out
+
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each row: words, base phrase places, labels, best containment, and the meeting blocks."""
@@ -134,12 +156,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if found := phrase_places(joined, phrase):
                 places += found
                 base.add(label)
-        blocks = [{"label": ALIASES.get(n, n), "first": s, "end": e, "containment": c} for n, s, e, c in join.blocks(words)]
+        meets = list(join.blocks(words))
+        blocks = [{"label": ALIASES.get(n, n), "first": s, "end": e, "containment": c} for n, s, e, c in meets]
         score = max([1.0 if base else 0.0, *(b["containment"] for b in blocks)])
-        best: dict[int, float] = {}
-        for b in blocks:
-            best[b["first"]] = max(b["containment"], best.get(b["first"], 0.0))
-        labels = base | {b["label"] for b in blocks if b["containment"] == best[b["first"]]}  # a block is named by what it holds most of
+        labels = base | {ALIASES.get(n, n) for n in join.named(words, meets)}
         return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "blocks": blocks}
 
     def run(texts: pa.Array) -> pa.Array:

@@ -194,6 +194,27 @@ def test_license_base_and_blocks(spark, empty):
     assert license_join.license_scan(empty).count() == 0
 
 
+def test_license_block_with_two_licenses(spark):
+    t = {k: v.split() for k, v in license_join.TEMPLATES.items()}
+
+    def reworded(name, word):
+        assert word in t[name]
+        return [x if x != word else "zzz" for x in t[name]]
+
+    texts = {
+        "bsd,mit": t["mit"] + reworded("bsd", "redistribution"),
+        "apache-2,bsd": reworded("apache-2", "compliance") + t["bsd"] + prose(100).split(),
+        "gpl-2,gpl-3": t["gpl-3"] + reworded("gpl-2", "terms"),
+        "gpl-3": t["gpl-3"],
+        "gpl-2": t["gpl-2"],
+        "lgpl": t["lgpl"],
+        "cc-by-4": t["cc-by-4"],
+        "isc,mit": t["mit"] + reworded("isc", "fee"),
+    }
+    got = {r.doc_id: r.labels for r in license_join.license_scan(table(spark, [(i, " ".join(x)) for i, x in enumerate(texts.values())])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
 def test_license_filters_lose_nothing():
     rng = random.Random(3)
     templates = {f"t{k}": " ".join(rng.sample(VOCAB[:60], rng.randint(6, 20))) for k in range(12)}
