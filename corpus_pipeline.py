@@ -20,8 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lost = exact.exact_groups(docs).where("not kept").select("doc_id")
-    return shared.by_ids(docs, shared.stored(spark, lost, "copies"), "left_anti")
+    return exact.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

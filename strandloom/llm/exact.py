@@ -54,6 +54,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out if digests else out.drop("text_sha256")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: the one with the smallest id, of rows that share id and text the least one.
+
+    Rows are told by id and hash of the normalised text, so other texts of a repeated id stay.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_d"), F.xxhash64(F.col("doc_id").isNull(), "_sha").alias("_x")]
+    rows = exact_groups(docs, digests=True).where("group_size > 1").select("doc_id", "kept", F.col("text_sha256").alias("_sha"))
+    rows = shared.stored(spark, rows.select(*key, "kept").groupBy("_d", "_x").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("c")), "copies")
+    keyed = docs.select("*", F.sha2(normalised(), 256).alias("_sha")).select(*columns, *key)
+    out = shared.by_ids(keyed, rows.where("not kept").select("_d", "_x"), "left_anti", ["_d", "_x"])
+    again = rows.where("kept and c > 1").select("_d", "_x")
+    if not again.isEmpty():
+        one = shared.by_ids(out, again, "left_semi", ["_d", "_x"]).groupBy("_d", "_x").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+        return shared.by_ids(out, again, "left_anti", ["_d", "_x"]).select(*columns).union(one)
+    return out.select(*columns)
+
+
 #: For each row of documents: its group, told by the normalised text itself.
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),

@@ -96,7 +96,7 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
     return texts.join(F.broadcast(picked), "doc_id")
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join of wide docs on a narrow id table: broadcast where a count shows that it is small."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, key, how)

@@ -483,6 +483,14 @@ def test_exact_groups_equal_brute_force(docs, corpus, empty, digests):
     assert exact.exact_groups(empty, digests=digests).count() == 0
 
 
+def test_without_copies_tells_rows_by_id_and_text(spark):
+    rows = [(1, "a b"), (2, "a  b"), (2, "other"), (3, "twice"), (3, "twice"), (4, "c"), (None, "a b"), (None, "only null"), (None, "only\tnull"), (None, "alone"), (0, "only zero"), (None, "d"), (None, None), (5, "")]
+    got = exact.without_copies(table(spark, rows).repartition(4))
+    assert got.columns == table(spark, []).columns
+    want = [(1, "a b"), (2, "other"), (3, "twice"), (4, "c"), (None, "only\tnull"), (None, "alone"), (0, "only zero"), (None, "d"), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 # --- pipeline -------------------------------------------------------------------
 
 
