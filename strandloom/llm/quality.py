@@ -31,13 +31,17 @@ MODULUS, HELD = 4, 2
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Pieces of all texts in turn, at places drawn by a fixed generator."""
+    """A piece of every text, at a place drawn by a fixed generator; as long, up to PIECE_BYTES, as all have room; where room is left, further pieces in turn."""
+    size, high = 1, PIECE_BYTES
+    while size < high:
+        middle = (size + high + 1) // 2
+        size, high = (middle, high) if sum(min(len(t), middle) for t in texts) <= DICTIONARY_BYTES else (size, middle - 1)
     rng, parts = np.random.default_rng(7), []
-    for k in range(DICTIONARY_BYTES // PIECE_BYTES):
+    for k in range(max(len(texts), DICTIONARY_BYTES // PIECE_BYTES)):
         data = texts[k % len(texts)]
-        at = int(rng.integers(0, max(1, len(data) - PIECE_BYTES + 1)))
-        parts.append(data[at : at + PIECE_BYTES])
-    return b"".join(parts)
+        at = int(rng.integers(0, max(1, len(data) - size + 1)))
+        parts.append(data[at : at + size])
+    return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
 class Sizer:
@@ -95,7 +99,8 @@ def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     if min(len(by[0]), len(by[1])) < 4:
         return None
     fold = lambda i: zlib.crc32(f"half {i}".encode()) & 1
-    learn = {v: [t for i, t in by[v] if fold(i)] or [by[v][0][1]] for v in by}
+    turn = {v: sorted(by[v], key=lambda r: (zlib.crc32(f"turn {r[0]}".encode()), r[0])) for v in by}  # ids may go with time or source
+    learn = {v: [t for i, t in turn[v] if fold(i)] or [by[v][0][1]] for v in by}
     good, bad = _dictionary(learn[1]), _dictionary(learn[0])
     rest = [(v, t) for v in by for i, t in by[v] if not fold(i)]
     sizer = Sizer(good, bad)

@@ -319,6 +319,16 @@ def test_quality_held_out(spark, docs, empty):
     assert quality.train(spark, empty, labels) is None
 
 
+@pytest.mark.parametrize(("count", "words"), [(3, 400), (100, 300), (900, 60), (900, 5)])
+def test_quality_dictionary_holds_every_text(count, words):
+    rng = random.Random(count)
+    texts = [f"{k:05d}-".encode() * words for k in range(count)]
+    rng.shuffle(texts)
+    held = quality._dictionary(texts)
+    assert len(held) <= quality.DICTIONARY_BYTES and all(t[:6] in held for t in texts)
+    assert len(held) >= 0.9 * min(quality.DICTIONARY_BYTES, sum(min(len(t), quality.PIECE_BYTES) for t in texts))
+
+
 def test_language_held_out_and_mixture(spark, docs, empty):
     kinds = {"aa": "bcdaei", "bb": "mnopou", "cc": "xyzqae"}
     rng = random.Random(2)
