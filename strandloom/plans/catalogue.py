@@ -383,6 +383,11 @@ def random_projection(s, d):
     return vectors.random_projection(bag, "user_id", "token", "n", 16, i.SEED).select("user_id", "dim", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {i.SQL_WORDS}, b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT doc_id, token, n, unnest(range(100)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / 4294967296.0 AS u, {i.sql_draw('proj-v', 'token', 'dim')} / 4294967296.0 AS v FROM f) SELECT doc_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(100.0), 6) AS value FROM z GROUP BY 1, 2")
+def random_projection_words(s, d):
+    return vectors.random_projection(bag_of_tokens(s, d), "doc_id", "token", "n", 100, i.SEED).select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
 @query()
 def pca3(s, d):
     return vectors.principal_components(i.vectors(s, d), "id", "v", 3)
