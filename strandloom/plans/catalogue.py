@@ -520,8 +520,8 @@ def gene_filter(s, d):
 def embed_train(s, d):
     words = i.event_vocab(s, d)
     sig = _signal(s, d).select("sent", "pos", F.lit(0).alias("draw"), "query", "context", F.lit(True).alias("is_signal"))
-    noi = examples.noise(_signal(s, d), words, 3, i.SEED).withColumn("is_signal", F.lit(False))
+    noi = examples.noise(_signal(s, d), words, 15, i.SEED).withColumn("is_signal", F.lit(False))
     rows = sig.unionByName(noi).withColumn("ord", F.xxhash64("sent", "pos"))
     size = words.agg(F.max("id")).first()[0] + 1
-    trained, _ = model.train(rows, size, dims=8, epochs=2, batch=1000, copies=1)
+    trained, _ = model.train(rows, size, copies=8)
     return trained.select("id", F.posexplode("w").alias("dim", "w"))
