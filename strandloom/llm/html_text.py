@@ -1,33 +1,34 @@
 """Main text of web pages from streamed parser events and text-to-tag ratios.
 
 The standard library's parser feeds events; each block of text between block-level tags is a line, with the tags that
-occurred in and before it. Text-to-tag ratios per line are smoothed by a Gaussian, and a threshold at the ratios'
-deviation splits lines into content and rest. Each content line counts for the innermost article, main or body that
-holds them; every such region gives all its lines, so that a short paragraph of an article isn't lost, and so does each main or
-article around one: its heading may be all that stands beside an inner article.
-Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are never content, told by tag, role, or a class or id word.
-
-Defined results: null and empty html give an empty text; broken markup is parsed as far as events go; repeated rows
-give repeated results; other columns are ignored.
+occurred in and before it. Text-to-tag ratios per line are smoothed by a Gaussian, and a threshold at the smoothed ratios'
+deviation splits lines into content and rest: a line over it selects the region that holds it. Regions are every article and main and,
+outside of those, every element that holds lines itself, such as the div around paragraphs. A selected region gives
+all its lines, so that a short paragraph between long ones isn't lost; so does each main or article around one: its heading may
+be all that stands beside an inner article. Lists, tables and quotations belong to the region around them where that holds other lines too.
+Structure can only veto: lines inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+count as ratio 0 and are never given, told by tag, role, or a class or id word.
+
+Defined results: null and empty html give an empty text; broken markup is parsed as far as events go, and what the parser can't read as a
+declaration is a comment up to the next ``>``; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import shared
-
 # Tags by the part that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("nav footer aside form script style noscript template svg math iframe object button select textarea head title dialog menu canvas audio video".split())
-REGIONS = frozenset("article main body".split())
+#: Blocks whose lines belong to the element around them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr address details summary".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing social comment comments disqus replies reply respond related recommended widget pagination pager toolbar".split())
 #: An open p ends where one of these begins.
@@ -43,12 +44,19 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, inside something skipped, region
+        self.open: Counter = Counter()
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions: list[tuple[str, int]] = [("", 0)]  # tag, region around it
         self.at = (False, 0)
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # such sections, like CDATA, mean nothing in HTML
+
+    def parse_starttag(self, i):
+        return super().parse_starttag(i) if self.rawdata.rfind(">") > i else -1  # a tag that never ends is not searched again and again
+
     def end_line(self):
         text = BLANK.sub(" ", "".join(self.parts)).strip()
         if text:
@@ -60,7 +68,7 @@ class Lines(HTMLParser):
         if tag in SKIPPED:
             return True
         if tag == "header":
-            return not any(t in ("article", "main", "section") for t, _, _ in self.stack)
+            return not (self.open["article"] or self.open["main"] or self.open["section"])
         if tag in ("html", "body", "article", "main"):
             return False
         for key, value in attrs:
@@ -71,6 +79,7 @@ class Lines(HTMLParser):
         return False
 
     def _pop(self, k: int):
+        self.open.subtract(tag for tag, _, _ in self.stack[k:])
         del self.stack[k:]
         self.at = self.stack[-1][1:] if self.stack else (False, 0)
 
@@ -83,32 +92,33 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         ends = SAME_ENDS.get(tag) or ({"p"} if tag in ENDS_P else ())
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in ends:
-                self._pop(k)
-                break
-            if self.stack[k][0] not in INLINE:
-                break
+        if any(self.open[x] for x in ends):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in ends:
+                    self._pop(k)
+                    break
+                if self.stack[k][0] not in INLINE:
+                    break
         skipped, region = self.at
-        if tag in REGIONS:
+        if tag not in INLINE and tag not in PARTS:
             self.regions.append((tag, region))
             region = len(self.regions) - 1
         self.at = (skipped or self._skips(tag, attrs), region)
         self.stack.append((tag, *self.at))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.tags += 1
-        if tag not in INLINE:
-            self.end_line()
-        elif tag == "br":
-            self.parts.append(" ")
-        if tag not in VOID and tag not in ("svg", "path"):
+        if tag not in ("svg", "path"):  # elsewhere the slash means nothing
             self.handle_starttag(tag, attrs)
+        else:
+            self.tags += 1
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._pop(k)
@@ -131,7 +141,15 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
+def content_lines(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> list[bool]:
+    """Whether the smoothed ratio of each line is at or over the ratios' deviation."""
+    ratios = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines], sigma)
+    mean = sum(ratios) / len(ratios)
+    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    return [r >= min(threshold, max(ratios)) for r in ratios]
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the page's content regions in page order, joined by blank lines."""
     if not html:
         return ""
@@ -139,25 +157,25 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines, regions = parser.lines, parser.regions
     if not lines:
         return ""
-    ratios = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines])
-    mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    kept = {region for (_, _, region, skipped), r in zip(lines, ratios, strict=True) if not skipped and r >= min(threshold, max(ratios))}
+    holder = list(range(len(regions)))  # the article or main around a region, or else itself
+    for r, (tag, outer) in enumerate(regions):
+        if tag not in ("article", "main") and outer and regions[holder[outer]][0] in ("article", "main"):
+            holder[r] = holder[outer]
+    kept = {holder[region] for (_, _, region, skipped), content in zip(lines, content_lines(lines, sigma), strict=True) if content and not skipped}
     for region in list(kept):
-        outer = parser.regions[region][1]
+        outer = regions[region][1]
         while outer:
-            if parser.regions[outer][0] != "body":
+            if regions[outer][0] in ("article", "main"):
                 kept.add(outer)
-            outer = parser.regions[outer][1]
-    return "\n\n".join(text for text, _, region, skipped in lines if region in kept and not skipped)
+            outer = regions[outer][1]
+    return "\n\n".join(text for text, _, region, skipped in lines if holder[region] in kept and not skipped)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with the columns text and n_chars in place of any of those names."""
-    shared.bound_batches(pages.sparkSession, 500)
 
     def run(htmls: pa.Array) -> pa.Array:
         return pa.array([main_text(h.as_py()) for h in htmls], pa.string())
