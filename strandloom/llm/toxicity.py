@@ -1,20 +1,25 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
 Features are the words of a text and their beginnings of 4 to 7 letters, each counted once. Features are
-screened by their chi-square statistic over the labelled sample, computed on the executors. The
-logistic loss with an L1 term gets, for every labelled text that mentions a
-group, the squared change of its score when the group terms are swapped for others; this pulls the weights of
-group terms together, so a neutral mention doesn't raise a score.
-
-Training takes at most PER_CLASS labelled rows of each class (a documented bound); scoring reads every whole
-text. Defined results: null and empty texts get the score of a text without features; repeated rows give
-repeated results; without labels of both classes every score is 0.5; other columns are ignored.
+screened by their chi-square statistic over the labelled sample, computed on the executors; the MAX_FEATURES best are fitted. The
+logistic loss with an L1 term gets, for every sentence of the labelled sample that holds group terms, the squared change of its score when
+these are swapped for others of their kind, SWAPS times. This pulls the weights of such terms together, so a neutral mention doesn't raise a score.
+
+Group terms are a fixed list and, as corpora have names of their own, what the sample itself writes as names: words inside a sentence that are
+capitalised in at least NAME_SHARE of their places, in NAME_ROWS documents or more of label 0, and that are neutral:
+their share of documents differs at most NAME_RATIO-fold between the labels, so that insults are no names.
+
+Training takes at most PER_CLASS labelled rows of each class (a documented bound); slope and shift are calibrated on one of FOLDS rows with weights fitted on
+the others. Scoring reads every whole text. Defined results: null and empty texts get the score of a text without features; repeated rows give
+repeated results, and equal texts equal scores; of a document id with both labels the greater counts; without labels of both classes every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,9 @@ MAX_FEATURES = 20_000
 MIN_ROWS = 4
 L1 = 2e-4
 COUNTERFACTUAL = 1.0
+SWAPS = 3
+FOLDS = 5
+NAME_SHARE, NAME_ROWS, NAME_RATIO = 0.75, 5, 3.0
 MODULUS, HELD = 3, 1
 
 #: Neutral terms that name groups; terms of one line are swapped for each other.
@@ -37,50 +45,70 @@ IDENTITY_TERMS = [
     ["black", "white", "asian", "african", "european", "latino", "arab", "indigenous", "immigrant", "immigrants", "refugee", "refugees"],
     ["deaf", "blind", "disabled", "autistic", "elderly", "young", "old"],
 ]
-SWAP = {w: [x for x in line if x != w] for line in IDENTITY_TERMS for w in line}
 WORD = re.compile(r"[^\W\d_]+")
+INSIDE = re.compile(r"(?:(?<=[^\W\d_] )|(?<=, ))([^\W\d_]+)")
+SENTENCE = re.compile(r"[.!?\n]+")
+
+
+def kinds_of(names: list[str]) -> dict[str, list[str]]:
+    """For each group term, the others of its kind; names are a kind of their own."""
+    known = {w for line in IDENTITY_TERMS for w in line}
+    return {w: [x for x in line if x != w] for line in [*IDENTITY_TERMS, sorted(set(names) - known)] for w in line if len(line) > 1}
 
 
-def features_of_word(word: str) -> list[str]:
+def features_of_word(word: str, terms) -> list[str]:
     """The word itself and its beginnings, marked so as not to equal whole words; group terms have no beginnings."""
-    if word in SWAP:
+    if word in terms:
         return [word]
     return [word, *("^" + word[:n] for n in range(4, min(7, len(word)) + 1))]
 
 
-def features(text: str) -> set[str]:
-    return {f for w in set(WORD.findall(text.lower())) for f in features_of_word(w)}
+def features(text: str, terms) -> set[str]:
+    return {f for w in set(WORD.findall(text.lower())) for f in features_of_word(w, terms)}
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n: int, steps: int = 400) -> np.ndarray:
-    """Weights (the last is the intercept) by accelerated proximal gradient steps with L1."""
+def swaps(text: str, kinds: dict[str, list[str]]):
+    """(terms that go, terms that come) for each sentence with group terms, SWAPS times; partners by a hash of sentence and turn."""
+    for sentence in SENTENCE.split(text.lower()):
+        own = sorted(kinds.keys() & set(WORD.findall(sentence)))
+        for turn in range(SWAPS if own else 0):
+            partners = {kinds[w][zlib.crc32(f"{turn} {w} {sentence}".encode()) % len(kinds[w])] for w in own}
+            yield sorted(set(own) - partners), sorted(partners - set(own))
+
+
+def _fit(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[list[int], list[int], int]], n: int, strength: float = COUNTERFACTUAL, steps: int = 400) -> np.ndarray:
+    """Weights (the last is the intercept) by accelerated proximal gradient steps with L1; changes are (features that go, that come, times)."""
     flat = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    minus = np.concatenate([np.empty(0, np.int64), *(a for a, _ in changes)]).astype(np.int64)
-    plus = np.concatenate([np.empty(0, np.int64), *(b for _, b in changes)]).astype(np.int64)
-    minus_of = np.repeat(np.arange(len(changes)), [len(a) for a, _ in changes])
-    plus_of = np.repeat(np.arange(len(changes)), [len(b) for _, b in changes])
+    at = np.array([i for go, come, _ in changes for i in (*go, *come)], dtype=np.int64)
+    sign = np.array([s for go, come, _ in changes for s in (-1.0,) * len(go) + (1.0,) * len(come)])
+    change = np.repeat(np.arange(len(changes)), [len(go) + len(come) for go, come, _ in changes]).astype(np.int64)
+    times = np.array([c for *_, c in changes], dtype=float)
+    times *= 2 * strength / max(1.0, times.sum())
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    m = max(1, len(changes))
+
+    def pulled(w):
+        """Gradient of the counterfactual term."""
+        d = np.bincount(change, sign * w[at], len(changes)) * times
+        return np.bincount(at, sign * d[change], n + 1)
 
     def gradient(w):
         z = np.bincount(owner, w[flat], len(rows)) + w[n]
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(flat, r[owner], n + 1)
         g[n] = r.sum()
-        if len(changes):
-            d = (np.bincount(plus_of, w[plus], len(changes)) - np.bincount(minus_of, w[minus], len(changes))) * (2 * COUNTERFACTUAL / m)
-            g += np.bincount(plus, d[plus_of], n + 1) - np.bincount(minus, d[minus_of], n + 1)
-        return g
+        return g + pulled(w) if len(at) else g
 
-    v, bound = np.random.default_rng(3).normal(size=n + 1), 1.0  # the largest curvature, by power steps
-    for _ in range(20):
+    v, bound = np.random.default_rng(3).normal(size=n + 1), 1.0  # the largest curvature of both terms, by power steps
+    for _ in range(50):
         z = np.bincount(owner, v[flat], len(rows)) + v[n]
         u = np.bincount(flat, (weight * z / 4)[owner], n + 1)
         u[n] = (weight * z / 4).sum()
+        if len(at):
+            u = u + pulled(v)
         bound = np.linalg.norm(u)
         v = u / max(bound, 1e-12)
-    step = 1 / (1.2 * bound + 4 * COUNTERFACTUAL * bool(changes))
+    step = 1 / (1.2 * max(bound, 1e-12))
     w = prev = np.zeros(n + 1)
     t = 1.0
     for _ in range(steps):
@@ -92,53 +120,86 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray,
     return w
 
 
-def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
+def _names(sample: DataFrame, n0: int, n1: int) -> list[str]:
+    """Neutral names of the sample; counted on the executors."""
+
+    def counted(batches):
+        for b in batches:
+            seen: dict = {}
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own: dict = {}
+                for word in INSIDE.findall(text):
+                    places = own.setdefault(word.lower(), [0, 0])
+                    places[0] += 1
+                    places[1] += word[:1].isupper() and word[1:].islower()
+                for word, (places, upper) in own.items():
+                    total = seen.setdefault(word, [0, 0, 0, 0])
+                    total[0] += places
+                    total[1] += upper
+                    total[2 + label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4))], names=["f", "places", "upper", "r0", "r1"])
+
+    rows = sample.select("label", "text").mapInArrow(counted, "f string, places long, upper long, r0 long, r1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("places", "upper", "r0", "r1")))
+    share0, share1 = (F.col("r0") + 1) / float(n0 + 1), (F.col("r1") + 1) / float(n1 + 1)
+    rows = rows.where((F.col("upper") >= NAME_SHARE * F.col("places")) & (F.col("r0") >= NAME_ROWS) & (share1 <= NAME_RATIO * share0) & (share0 <= NAME_RATIO * share1))
+    return sorted(r["f"] for r in rows.select("f").collect())
+
+
+def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, strength: float = COUNTERFACTUAL) -> dict | None:
     """Weights by feature, and the intercept; None without labels of both classes."""
     sample = shared.stored(spark, shared.labelled_sample(spark, docs, labels, "toxic", MODULUS, HELD, per_class), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
-    shared.bound_batches(spark)
+    n0, n1 = sizes[0], sizes[1]
+    kinds = kinds_of(_names(sample, n0, n1))
 
     def counted(batches):
         for b in batches:
             seen: dict = {}
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in features(text):
+                for f in features(text, kinds):
                     seen.setdefault(f, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "n0", "n1"])
 
-    n0, n1 = sizes[0], sizes[1]
     table = sample.select("label", "text").mapInArrow(counted, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_ROWS)
     a, b = F.col("n1"), F.col("n0")
     chi = F.pow(a * F.lit(float(n0)) - b * F.lit(float(n1)), 2.0) / ((a + b) * (F.lit(float(n0 + n1)) - a - b) + 1)
-    kept = table.withColumn("chi", F.when(F.col("f").isin(list(SWAP)), float("inf")).otherwise(chi)).orderBy(F.desc("chi"), "f").limit(MAX_FEATURES)
-    names = [r["f"] for r in kept.select("f").collect()]
-    index = {f: i for i, f in enumerate(names)}
+    kept = table.withColumn("chi", F.when(F.col("f").isin(sorted(kinds)), float("inf")).otherwise(chi)).orderBy(F.desc("chi"), "f").limit(MAX_FEATURES)
+    index = {f: i for i, f in enumerate(r["f"] for r in kept.select("f").collect())}
 
     def encoded(batches):
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                words = set(WORD.findall(text.lower()))
-                own = sorted({index[f] for w in words for f in features_of_word(w) if f in index})
-                groups = sorted(words & SWAP.keys())
-                minus = [index[w] for w in groups if w in index]
-                plus = [index[x] for w in groups for x in SWAP[w][len(own) % len(SWAP[w]) :][:1] if x in index]
-                out.append((own, minus, plus, bool(groups)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), *(pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in range(3)), pa.array([o[3] for o in out])], names=["label", "own", "minus", "plus", "mentions"])
-
-    got = sample.select("label", "text").mapInArrow(encoded, "label int, own array<bigint>, minus array<bigint>, plus array<bigint>, mentions boolean").collect()
-    got.sort(key=lambda r: (r["label"], r["own"]))
-    rows = [np.array(r["own"], dtype=np.int64) for r in got]
-    changes = [(np.array(r["minus"], dtype=np.int64), np.array(r["plus"], dtype=np.int64)) for r in got if r["mentions"]]
-    w = _fit(rows, np.array([r["label"] for r in got], dtype=float), changes, len(names))
-    weights = {f: float(w[i]) for f, i in index.items() if w[i]}
-    z = np.array([sum(w[r]) for r in rows]) + w[-1]
-    y = np.array([r["label"] for r in got], dtype=float)
+            own = [sorted({index[f] for f in features(text, kinds) if f in index}) for text in b.column(2).to_pylist()]
+            rest = [zlib.crc32(f"fit {i}".encode()) % FOLDS == 0 for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(rest)], names=["label", "own", "rest"])
+
+    def changed(batches):
+        for b in batches:
+            pairs: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                pairs.update((tuple(index[w] for w in go if w in index), tuple(index[w] for w in come if w in index)) for go, come in swaps(text, kinds))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)] + [pa.array(list(pairs.values()), pa.int64())], names=["go", "come", "n"])
+
+    got = sample.select("doc_id", "label", "text").mapInArrow(encoded, "label int, own array<bigint>, rest boolean").collect()
+    got.sort(key=lambda r: (r["label"], r["own"], r["rest"]))
+    pairs = sample.select("text").mapInArrow(changed, "go array<bigint>, come array<bigint>, n long").groupBy("go", "come").agg(F.sum("n").alias("n")).collect()
+    changes = sorted((list(r["go"]), list(r["come"]), r["n"]) for r in pairs if r["go"] or r["come"])
+    shared.discard(spark, sample)
+
+    def fit(rows):
+        return _fit([np.array(r["own"], dtype=np.int64) for r in rows], np.array([r["label"] for r in rows], dtype=float), changes, len(index), strength)
+
+    w = fit(got)
+    most, rest = [r for r in got if not r["rest"]], [r for r in got if r["rest"]]
+    if min(len({r["label"] for r in most}), len({r["label"] for r in rest})) < 2:  # too few rows to keep any from a fit
+        most, rest = got, got
+    v = fit(most) if most is not got else w
+    z = np.array([v[np.array(r["own"], dtype=np.int64)].sum() for r in rest]) + v[-1]
+    y = np.array([r["label"] for r in rest], dtype=float)
     share = labels.where(F.col("toxic").isin(0, 1) & (shared.remainder("doc_id", MODULUS) != HELD)).agg(F.avg("toxic")).first()[0]
     slope, shift = _calibrated(z, y, share)
-    return {"weights": weights, "intercept": float(w[-1]), "slope": slope, "shift": shift}
+    return {"weights": {f: float(w[i]) for f, i in index.items() if w[i]}, "intercept": float(w[-1]), "slope": slope, "shift": shift, "terms": frozenset(kinds), "changes": len(changes)}
 
 
 def _calibrated(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -157,12 +218,11 @@ def score_column(spark, model: dict | None, text_col: str = "text"):
     """A column: the calibrated score, 0 to 1, of the whole text."""
     if model is None:
         return F.lit(0.5)
-    shared.bound_batches(spark)
-    weights = model["weights"]
+    weights, terms = model["weights"], model["terms"]
     cache: dict = {}
 
     def hits(word: str) -> tuple:
-        found = tuple(f for f in features_of_word(word) if f in weights)
+        found = tuple(f for f in features_of_word(word, terms) if f in weights)
         if len(cache) < 500_000:
             cache[word] = found
         return found
