@@ -4,9 +4,10 @@ Two raw-content zstandard dictionaries, of good and of bad labelled text, compre
 a document. The difference of the two sizes over the document's length, with the
 sizes themselves, is calibrated by a logistic model on labelled rows that no dictionary holds.
 
-Training takes at most PER_CLASS labelled rows of each class (a documented bound); scoring reads every
+Training takes at most PER_CLASS labelled rows of each class (a documented bound), half of them for the dictionaries; scoring reads every
 whole text. Defined results: null and empty texts get the score of an empty document; repeated rows give
-repeated results; without labels of both classes every score is 0.5; other columns are ignored.
+repeated results, and equal texts equal scores; of a document id with both labels the greater counts; with one constant label, or fewer than four non-empty labelled texts of a class, every
+score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +31,26 @@ PIECE_BYTES = 1024
 MODULUS, HELD = 4, 2
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A piece of every text, at a place drawn by a fixed generator; as long, up to PIECE_BYTES, as all have room; where room is left, further pieces in turn."""
+def _pieces(key: str, data: bytes, count: int) -> list[bytes]:
+    """count pieces of at most PIECE_BYTES, at places drawn by a generator of the key."""
+    rng = np.random.default_rng(zlib.crc32(f"piece {key}".encode()))
+    return [data[at : at + PIECE_BYTES] for at in (int(rng.integers(0, max(1, len(data) - PIECE_BYTES + 1))) for _ in range(count))]
+
+
+def _dictionary(pieces: list[list[bytes]]) -> bytes:
+    """The first piece of every text, as long as all have room, up to PIECE_BYTES; where room is left, further pieces in turn."""
     size, high = 1, PIECE_BYTES
     while size < high:
         middle = (size + high + 1) // 2
-        size, high = (middle, high) if sum(min(len(t), middle) for t in texts) <= DICTIONARY_BYTES else (size, middle - 1)
-    rng, parts = np.random.default_rng(7), []
-    for k in range(max(len(texts), DICTIONARY_BYTES // PIECE_BYTES)):
-        data = texts[k % len(texts)]
-        at = int(rng.integers(0, max(1, len(data) - size + 1)))
-        parts.append(data[at : at + size])
-    return b"".join(parts)[-DICTIONARY_BYTES:]
+        size, high = (middle, high) if sum(min(len(p[0]), middle) for p in pieces) <= DICTIONARY_BYTES else (size, middle - 1)
+    parts = [p[k][:size] for k in range(max(map(len, pieces))) for p in pieces if k < len(p)]
+    kept, used = [], 0
+    for part in parts:
+        if used + len(part) > DICTIONARY_BYTES:
+            break
+        kept.append(part)
+        used += len(part)
+    return b"".join(kept)
 
 
 class Sizer:
@@ -92,24 +101,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 100)
     return w
 
 
+def _learns(doc_id) -> bool:
+    """Whether a sampled row's text goes into its class's dictionary; the others calibrate."""
+    return bool(zlib.crc32(f"half {doc_id}".encode()) & 1)
+
+
 def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
-    """Dictionaries from every other sampled row, calibration from the rest; None without both classes."""
-    rows = shared.labelled_sample(spark, docs, labels, "quality", MODULUS, HELD, per_class).orderBy("doc_id").collect()
-    by = {v: [(r["doc_id"], r["text"].encode()) for r in rows if r["label"] == v and r["text"]] for v in (0, 1)}
-    if min(len(by[0]), len(by[1])) < 4:
+    """Dictionaries from every other sampled row, calibration from the rest; None without four non-empty texts of both classes.
+
+    Whole texts stay on the executors: the driver gets pieces for the dictionaries, bounded in number and bytes, and the calibration rows' sizes.
+    """
+    sample = shared.stored(spark, shared.labelled_sample(spark, docs, labels, "quality", MODULUS, HELD, per_class).where("length(text) > 0").select("doc_id", "label", "text"), "quality-sample")
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if min(n.get(0, 0), n.get(1, 0)) < 4:
         return None
-    fold = lambda i: zlib.crc32(f"half {i}".encode()) & 1
-    turn = {v: sorted(by[v], key=lambda r: (zlib.crc32(f"turn {r[0]}".encode()), r[0])) for v in by}  # ids may go with time or source
-    learn = {v: [t for i, t in turn[v] if fold(i)] or [by[v][0][1]] for v in by}
-    good, bad = _dictionary(learn[1]), _dictionary(learn[0])
-    rest = [(v, t) for v in by for i, t in by[v] if not fold(i)]
-    sizer = Sizer(good, bad)
-    base = np.array([sizer.base(t) for _, t in rest])
-    low, high = base.min(0), base.max(0)
-    x = _expanded(base, low, high)
+    each = {v: 1 + 2 * DICTIONARY_BYTES // PIECE_BYTES // (c // 2) for v, c in n.items()}
+
+    def cut_up(batches):
+        for b in batches:
+            rows = [(i, v, _pieces(i, t, each[v])) for i, v, t in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2).cast(pa.binary()).to_pylist(), strict=True) if _learns(i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["doc_id", "label", "pieces"])
+
+    cut = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(cut_up, "doc_id long, label int, pieces array<binary>").collect()
+    cut.sort(key=lambda r: (zlib.crc32(f"turn {r['doc_id']}".encode()), r["doc_id"], r["pieces"]))  # ids may go with time or source
+    learned = {v: [list(map(bytes, r["pieces"])) for r in cut if r["label"] == v] for v in (0, 1)}
+    if not learned[0] or not learned[1]:
+        return None
+    good, bad = _dictionary(learned[1]), _dictionary(learned[0])
+
+    def sized(batches):
+        sizer = Sizer(good, bad)
+        for b in batches:
+            rows = [(v, sizer.base(t)) for i, v, t in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2).cast(pa.binary()).to_pylist(), strict=True) if not _learns(i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["label", "base"])
+
+    rest = sorted((r["label"], list(r["base"])) for r in sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(sized, "label int, base array<double>").collect())
+    shared.discard(spark, sample)
     y = np.array([v for v, _ in rest], dtype=float)
     if len(set(y)) < 2:
         return None
+    base = np.array([x for _, x in rest])
+    low, high = base.min(0), base.max(0)
+    x = _expanded(base, low, high)
     mean, dev = x.mean(0), x.std(0)
     mean[0], dev[dev == 0] = 0, 1
     w = _logistic((x - mean) / dev, y)
@@ -125,7 +158,6 @@ def score_column(spark, model: dict | None, text_col: str = "text"):
     """A column: the calibrated score, 0 to 1, of the whole text."""
     if model is None:
         return F.lit(0.5)
-    shared.bound_batches(spark)
     kept: dict = {}
 
     def run(texts: pa.Array) -> pa.Array:
