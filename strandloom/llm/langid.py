@@ -1,7 +1,7 @@
 """Language by multilingual mixture inference.
 
 Each language has a smoothed distribution over hashed letter trigrams of words (with word ends), learned from
-at most PER_LANGUAGE rows of each language (a documented bound). A word's likelihood under a language is that of its
+at most PER_LANGUAGE rows of each language, by hash order (a documented bound; languages are few). A word's likelihood under a language is that of its
 trigrams. For each whole text, expectation-maximisation estimates the languages' proportions; languages leave the
 set, smallest proportion first, while the penalised likelihood gains. The largest proportion names the text.
 
@@ -29,7 +29,17 @@ MODULUS, HELD = 4, 2
 #: Penalty of one more language, in units of log(words).
 PENALTY = 2.0
 CACHE_WORDS = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as fractions, which words_in takes out
+
+
+def words_in(text: str) -> Counter:
+    """Runs of Unicode letters, lower-cased, with their counts."""
+    words = Counter(WORD.findall(text.lower()))
+    for word in [w for w in words if not w.isalpha()]:
+        n = words.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            words[part] += n
+    return words
 
 
 def grams(word: str) -> list[int]:
@@ -39,18 +49,19 @@ def grams(word: str) -> list[int]:
 
 def train(spark, docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Languages in order, and log probabilities (buckets x languages)."""
-    base = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (shared.remainder("doc_id", MODULUS) != HELD)).distinct()
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = base.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang")
-    texts = shared.by_ids_join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), picked)
-    shared.bound_batches(spark)
+    base = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (shared.remainder("doc_id", MODULUS) != HELD))
+    sizes = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    thinned = base.join(F.broadcast(sizes), "lang").where(share < (1.25 * per_language + 200) / F.col("n"))  # bounds what meets in a language's window
+    order = W.partitionBy("lang").orderBy(share, "doc_id", F.xxhash64("text"))
+    texts = thinned.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
 
     def counted(batches):
         for b in batches:
             seen: dict = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for word, n in Counter(WORD.findall(text.lower())).items():
+                for word, n in words_in(text).items():
                     for g in grams(word):
                         own[g] += n
             for lang, own in seen.items():
@@ -105,17 +116,16 @@ def infer(logs: np.ndarray, n: np.ndarray) -> np.ndarray:
 def predict_column(spark, model: dict, text_col: str = "text"):
     """A struct column: lang, score and the proportions of the selected languages."""
     langs, logs = model["langs"], model["logs"]
-    shared.bound_batches(spark)
     rows: dict = {}
     table = np.empty((0, max(1, len(langs))), dtype=np.float32)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
     state = {"table": table}
 
     def one(text: str) -> dict:
-        words = Counter(WORD.findall(text.lower()))
+        words = words_in(text)
         if not words or not langs:
             return {"lang": "und", "score": 0.0, "shares": []}
-        if len(rows) + len(words) > CACHE_WORDS:
+        if len(rows) + len(words) > CACHE_WORDS and rows:
             rows.clear()
         fresh = [w for w in words if w not in rows]
         if fresh:
