@@ -14,6 +14,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -46,10 +47,29 @@ PLAIN = re.compile("[\\x20-\\x7e\\n\\r\\tÀ-ÖØ-öø-ÿ]*")
 WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
+# How the vocabulary file for which WORD holds normalises and cuts texts.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_by_words(rules: dict) -> bool:
+    """Whether a tokenizer file's rules are those for which a plain text's ids are the ids of its words in turn, each with a mark at its end."""
+    model, special = rules["model"], [t["content"] for t in rules.get("added_tokens") or []]
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == NORMALISERS
+        and ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [None])[0] == CUT
+        and [x["type"] for x in rules["pre_tokenizer"]["pretokenizers"][1:]] == ["ByteLevel"]
+        and rules["pre_tokenizer"]["pretokenizers"][1].get("use_regex") is False
+        and rules["pre_tokenizer"]["pretokenizers"][1].get("add_prefix_space") is False
+        and (model.get("type"), model.get("end_of_word_suffix"), bool(model.get("dropout"))) == ("BPE", "</w>", False)
+        and all(t.startswith("<|") for t in special)
+    )
+
+
 class KnownIds:
     """Ids of texts as little-endian bytes, put together from those of their words.
 
-    The vocabulary drops white space and merges nothing across words, so a plain text's ids are those of its words in
+    That holds for vocabularies whose rules pass cuts_by_words; with others, whole texts are tokenised. Such a vocabulary drops white space and merges nothing across words, so a plain text's ids are those of its words in
     turn. Words are kept while they are few; fresh ones are tokenised many to a call, and as each ends in a
     token with the end-of-word mark, the call's ids are cut there. Other texts are tokenised as they are.
     """
@@ -64,6 +84,8 @@ class KnownIds:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        with open(path, "rb") as f:
+            self.by_words = cuts_by_words(json.load(f))
 
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -85,7 +107,7 @@ class KnownIds:
         out: list[bytes] = []
         for at in range(0, len(texts), TOGETHER):
             part = texts[at : at + TOGETHER]
-            words = [WORD.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in part]
+            words = [WORD.findall(t.lower()) if self.by_words and "<|" not in t and PLAIN.fullmatch(t) else None for t in part]
             self._learn(list(set().union(*filter(None, words)).difference(self.known)))
             known = self.known.__getitem__
             out += [self._each([t])[0] if w is None else b"".join([*map(known, w)]) for t, w in zip(part, words, strict=True)]
@@ -95,7 +117,6 @@ class KnownIds:
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, crc) for every piece of every row."""
     path = tokenizer or default_tokenizer()
-    shared.bound_batches(docs.sparkSession)
     end, kept = np.array([end_id], "<u4").tobytes(), {}
     kind = pa.list_(pa.struct([("length", pa.int32()), ("crc", pa.int64()), ("start", pa.int64()), ("piece", pa.int32())]))
 
@@ -111,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
             kept["ids"] = KnownIds(path)
         return pa.array([cut_up(ids + end) for ids in kept["ids"].of([t or "" for t in texts.to_pylist()])], kind)
 
-    cut = F.arrow_udf(run, "array<struct<length:int,crc:long,start:long,piece:int>>")(F.coalesce(F.col(text_col), F.lit("")))
+    cut = F.arrow_udf(shared.by_runs(run), "array<struct<length:int,crc:long,start:long,piece:int>>")(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(cut).alias("p")).select("doc_id", "p.piece", "p.start", "p.length", "p.crc")
 
 
