@@ -9,8 +9,9 @@ for all size classes. Every candidate is verified by exact containment of the it
 
 Items are a query set: they are taken in blocks of ITEM_BLOCK, each block one pass over the documents.
 Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters; shingles have five words, for shorter
-items all their words. Defined results: items without a word match nothing; null texts are
-empty; repeated rows and items give repeated results; other columns are ignored.
+items all their words. Defined results: items without a word match nothing, null texts are
+empty; an item with a null id is searched like any other and reported with that id; equal item rows are one item, other
+texts of a repeated item id are items of their own; repeated documents give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ class Items:
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str):
-    picked = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    picked = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct()  # equal ones would all fall into one block
     blocks = max(1, -(-picked.count() // ITEM_BLOCK))
     for b in range(blocks):
         rows = picked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -159,12 +160,11 @@ def _udf(items: Items, threshold: float):
         found = items.search([t.as_py() or b"" for t in texts.cast(pa.binary())], threshold)
         return pa.array([[{"item_id": a, "n_shingles": n, "containment": c} for a, n, c in row] for row in found], kind)
 
-    return F.arrow_udf(run, "array<struct<item_id:long,n_shingles:long,containment:double>>")
+    return F.arrow_udf(shared.by_runs(run), "array<struct<item_id:long,n_shingles:long,containment:double>>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shingles, containment) of every item that a document contains."""
-    shared.bound_batches(docs.sparkSession, 500)
     out = None
     for block in _item_blocks(items, "item_id", "text"):
         hit = docs.select(F.col(id_col).alias("doc_id"), F.explode(_udf(block, threshold)(F.coalesce(F.col(text_col), F.lit("")))).alias("h")).select("doc_id", "h.*")
@@ -174,7 +174,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that contain an item; a filter where the rows are read, with no shuffle."""
-    shared.bound_batches(docs.sparkSession, 500)
     for block in _item_blocks(items, "item_id", "text"):
         docs = docs.where(F.size(_udf(block, threshold)(F.coalesce(F.col(text_col), F.lit("")))) == 0)
     return docs

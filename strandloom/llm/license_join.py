@@ -1,6 +1,7 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are runs of BLOCK words that start every STEP words, so any passage of a template's length lies in one. A block
+Blocks start every ``step`` words and are twice as long, with a step of STEP words or of the longest template where that is longer, so any passage of a
+template's length lies in one. A block
 meets a template when it holds at least THRESHOLD of the template's distinct words. Words are ordered by their document
 frequency over the whole corpus, rarest first. Filters before the exact overlap:
 prefix (a meeting block holds one of the template's first n - need + 1 words), length (it has at least
@@ -22,15 +23,13 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import shared
-
 THRESHOLD = 0.8
-BLOCK, STEP = 96, 48
+STEP = 48
 
 # Phrases of the contract and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Opening or naming passages of public licenses, each of at most STEP words.
+# Opening or naming passages of public licenses; whole bodies can be given to license_scan.
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "apache-2": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
@@ -91,6 +90,7 @@ class Join:
         self.order = {w: i for i, w in enumerate(sorted({w for t in templates.values() for w in t.encode().split()}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix = [], {}
         self.own = {name: set(text.encode().split()) for name, text in templates.items()}
+        self.step = max(STEP, *(len(text.split()) for text in templates.values()))
         for k, (name, text) in enumerate(templates.items()):
             words = sorted(set(text.encode().split()), key=self.order.__getitem__)
             need = math.ceil(threshold * len(words) - 1e-9)
@@ -103,9 +103,10 @@ class Join:
         prefix = self.prefix
         if prefix.keys().isdisjoint(words):
             return
-        starts = sorted({s for i, w in enumerate(words) if w in prefix for s in (i // STEP * STEP, i // STEP * STEP - STEP) if s >= 0})
+        step = self.step
+        starts = sorted({s for i, w in enumerate(words) if w in prefix for s in (i // step * step, i // step * step - step) if s >= 0})
         for s in starts:
-            distinct = set(words[s : s + BLOCK])
+            distinct = set(words[s : s + 2 * step])
             known = sorted((w for w in distinct if w in self.order), key=self.order.__getitem__)
             tried = set()
             for j, w in enumerate(known):
@@ -118,7 +119,7 @@ class Join:
                         continue
                     common = len(distinct.intersection(own))
                     if common >= need:
-                        yield name, s, min(s + BLOCK, len(words)), common / len(own)
+                        yield name, s, min(s + 2 * step, len(words)), common / len(own)
 
     def named(self, words: list[bytes], meets: list[tuple]) -> set[str]:
         """Templates that name their blocks: all that meet one but those whose words are there for a better held one."""
@@ -142,7 +143,6 @@ class Join:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each row: words, base phrase places, labels, best containment, and the meeting blocks."""
     templates = templates or TEMPLATES
-    shared.bound_batches(docs.sparkSession)
     vocabulary = {w for t in templates.values() for w in t.encode().split()}
     join = Join(templates, document_frequency(docs, text_col, vocabulary), threshold)
     phrases = {p.encode(): label for p, label in PHRASES.items()}
