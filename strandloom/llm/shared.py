@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of a narrow id table up to which it is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text that an operator works on at a time.
+RUN_BYTES = 4 << 20
 
 _left: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a new one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may go without: one process then reads and writes."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
         base = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -69,11 +78,27 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, was)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small: a worker holds one at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def runs(texts: pa.Array):
+    """(start, stop) of runs of rows that hold at most RUN_BYTES, or of one longer row.
+
+    Spark bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch); what an operator makes of texts is bounded by going run by run.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes + 64), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + RUN_BYTES, "right")))
+        yield start, stop
+        start = stop
+
+
+def by_runs(function):
+    """An Arrow function of a text column, called run by run."""
+
+    def whole(texts: pa.Array) -> pa.Array:
+        parts = [function(texts.slice(a, b - a)) for a, b in runs(texts)]
+        return pa.concat_arrays(parts) if parts else function(texts)
+
+    return whole
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
@@ -84,7 +109,7 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> DataFrame:
     """(doc_id, label, text) of at most per_class rows for label 0 and 1 each, outside the held-out fold.
 
-    Ids are chosen from labels alone, by hash order, so the joined side is bounded by 2 * per_class rows.
+    Ids are chosen from labels alone, by hash order, so the joined side is bounded by 2 * per_class rows; of a repeated id the least text counts.
     """
     base = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id", modulus) != held))
     base = base.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -93,7 +118,7 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
         part = base.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
@@ -109,29 +134,29 @@ def by_ids_join(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node of its connected component.
+    """Stored (node, root) for every node of edges (a, b): root is the smallest node of its connected component.
 
-    Alternates large-star and small-star steps; every step is an aggregation and an equi-join
-    that AQE can split where a node has very many neighbours. Only two counters reach the driver.
+    Alternates large-star and small-star steps until the edges are stars; every step is an aggregation and an equi-join
+    that AQE can split where a node has very many neighbours. Nothing but an answer, stars or not, reaches the driver.
     """
     now = stored(spark, edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         low = stored(spark, low, "low")  # both join sides are then exchanges, which AQE can split
         large = both.join(low, both.a == low.n).where(both.b > both.a).select(both.b.alias("a"), low.m.alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = stored(spark, large, "large")
-        low = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "low")
-        kept = large.join(low, large.a == low.n)
-        small = kept.select(large.b.alias("a"), low.m.alias("b")).union(low.select("n", "m")).where(F.col("a") != F.col("b")).distinct()
+        least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "low")
+        kept = large.join(least, large.a == least.n)
+        small = kept.select(large.b.alias("a"), least.m.alias("b")).union(least.select("n", "m")).where(F.col("a") != F.col("b")).distinct()
         small = stored(spark, small, "small")
-        discard(spark, now)
-        discard(spark, large)
+        for done in (now, low, large, least):
+            discard(spark, done)
         now = small
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out = stored(spark, now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
+    discard(spark, now)
+    return out

@@ -75,7 +75,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out[i] = majority(shingles_of(words, width), n).view(np.int64)[0]
         return pa.array(out)
 
-    shared.bound_batches(docs.sparkSession)
     udf = F.arrow_udf(run, "long")
     return docs.select(F.col(id_col).alias("id"), udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
@@ -189,9 +188,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     fps = shared.stored(spark, fingerprints(docs, id_col, text_col, width), "fingerprints")
     firsts = shared.stored(spark, fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    roots = shared.components(spark, links(spark, firsts.select("fp"), limit))
+    linked = links(spark, firsts.select("fp"), limit)
+    roots = shared.components(spark, linked)
+    shared.discard(spark, linked)
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     named = shared.stored(spark, grouped.join(least, "root").select("fp", "component_id"), "named")
+    for done in (firsts, roots):
+        shared.discard(spark, done)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")

@@ -133,9 +133,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {want[i] for i in sets}
 
 
-@pytest.mark.parametrize("limit", [1, 8])
-def test_large_buckets_lose_no_link(spark, limit):
-    """Members of large buckets that are not near the first nor the one before still meet."""
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_buckets_lose_no_link(spark, hot, monkeypatch):
+    """Members of large buckets that are not near the first still meet, whether or not the shingles of most count as hot."""
+    if hot:
+        monkeypatch.setattr(near, "HOT_SAMPLE", 1)
+        monkeypatch.setattr(near, "HOT_LEAST", 12)
     rng = random.Random(4)
     base = prose(200, rng).split()
     rows = [(i, " ".join(base)) if i < 3 else (i, edited(" ".join(base), rng.randint(2, 6), rng)) for i in range(120)]
@@ -144,7 +147,7 @@ def test_large_buckets_lose_no_link(spark, limit):
     rng.shuffle(rows)
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
     want = closure([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
-    got = {r.node: r.root for r in near.near_components(table(spark, rows), limit=limit).collect()}
+    got = {r.node: r.root for r in near.near_components(table(spark, rows)).collect()}
     assert {i: got.get(i, i) for i in sets} == want
 
 
@@ -168,11 +171,28 @@ def test_cut_and_extended_copies_are_near_duplicates(spark):
     assert {i: got.get(i, i) for i in sets} == want
 
 
+def test_near_duplicates_tell_rows_by_id_and_text(spark):
+    """Texts of a repeated id are told apart, so none is lost that resembles nothing."""
+    p, q, r = prose(200), prose(200), prose(200)
+    rows = [(1, p), (4, p + " x"), (4, q), (5, r), (5, edited(r, 1)), (6, q + " y"), (7, None), (7, prose(50)), (8, ""), (None, p), (None, None), (9, q), (9, q)]
+    kept = near.without_near_duplicates(table(spark, rows).repartition(3)).collect()
+    ids = collections.Counter(x.doc_id for x in kept)
+    assert ids[1] == 1 and ids[4] == 1 and ids[5] == 1 and ids[6] == 0 and ids[7] == 2 and ids[8] == 0 and ids[None] == 2 and ids[9] == 0
+    assert {x.text for x in kept if x.doc_id == 4} == {q}
+
+
+def test_very_long_near_copies(spark):
+    rng = random.Random(31)
+    long = prose(60_000, rng)
+    rows = [(3, long), (2, edited(long, 100, rng)), (1, prose(60_000, rng)), (9, "a")]
+    assert {r.doc_id for r in near.without_near_duplicates(table(spark, rows)).collect()} == {1, 2, 9}
+
+
 def test_near_duplicates_of_odd_rows(docs, empty):
     assert near.without_near_duplicates(empty).count() == 0
     kept = near.without_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
     assert kept.where("trim(coalesce(text, '')) = '' and doc_id is not null").count() >= 1
 
 
@@ -228,8 +248,8 @@ def test_license_filters_lose_nothing():
         coded = [x.encode() for x in words]
         got = {(n, s) for n, s, _, _ in join.blocks(coded)}
         want = set()
-        for s in range(0, len(words), license_join.STEP):
-            block = set(words[s : s + license_join.BLOCK])
+        for s in range(0, len(words), join.step):
+            block = set(words[s : s + 2 * join.step])
             want |= {(n, s) for n, t in templates.items() if len(block & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9}
         hits += len(want)
         assert got == want
@@ -324,7 +344,7 @@ def test_quality_dictionary_holds_every_text(count, words):
     rng = random.Random(count)
     texts = [f"{k:05d}-".encode() * words for k in range(count)]
     rng.shuffle(texts)
-    held = quality._dictionary(texts)
+    held = quality._dictionary([quality._pieces(t[:5].decode(), t, 1 + 2 * quality.DICTIONARY_BYTES // quality.PIECE_BYTES // count) for t in texts])
     assert len(held) <= quality.DICTIONARY_BYTES and all(t[:6] in held for t in texts)
     assert len(held) >= 0.9 * min(quality.DICTIONARY_BYTES, sum(min(len(t), quality.PIECE_BYTES) for t in texts))
 
@@ -343,6 +363,8 @@ def test_language_held_out_and_mixture(spark, docs, empty):
     held = [r for r in got if r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert np.mean([r.lang == r.p.lang for r in held]) > 0.95
     assert [r.p.lang for r in sorted(got, key=lambda r: r.doc_id)[400:402]] == ["und", "und"]
+    odd = spark.createDataFrame([("½ ²",), ("①",), ("Ⅷ ٣ _ 4",), ("bad½cab",)], "text string").select(langid.predict_column(spark, model).alias("p")).collect()
+    assert [r.p.lang for r in odd] == ["und", "und", "und", "aa"]
     mixed = spark.createDataFrame([(text("aa", 60) + " " + text("bb", 20),)], "text string").select(langid.predict_column(spark, model).alias("p")).first().p
     assert mixed.lang == "aa" and set(mixed.shares) == {"aa", "bb"} and abs(mixed.shares["aa"] - 0.75) < 0.1
     none = langid.train(spark, empty)
