@@ -9,8 +9,8 @@ document then has one candidate: of the least documents of its buckets, the one
 Balls contract groups of copies but lose pairs: a passage cut off or added moves many bits. So all documents that
 the balls leave in different components go through a prefix, length and position join on their rarest shingles, which finds
 every pair of the similarity. While more pairs of components share a rare shingle than documents have one, each component meets only
-the least ones of its shingles, and what is verified is contracted. Of the pairs that are left, each two components try their best one first, then more, until
-they are joined or have none left.
+the least ones of its shingles, and what is verified is contracted. Of the pairs that are left, each two components try their best one first, then ever larger
+shares by hash, until they are joined or have none left.
 Every link is verified by the exact Jaccard similarity of five-word shingle sets.
 
 Defined results: null text is empty; texts without words equal each other; of each component the row with the smallest id stays, of a
@@ -25,7 +25,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import shared
 from .decontam import WordHashes, shingle_hashes
@@ -41,6 +41,8 @@ RANGE_SHINGLES, RANGES = 1 << 21, 1024
 #: One document of so many tells which shingles are hot: in over one of HOT_SHARE documents, and in HOT_LEAST of those sampled.
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 10_000, 32
 HOT = (1 << 32) - 1
+#: Hash values by which pairs of components take turns.
+SHARES = 4096
 
 
 def sketch(words: list[bytes]) -> list[int]:
@@ -292,6 +294,7 @@ def _apart(spark: SparkSession, pairs: DataFrame, roots: DataFrame) -> DataFrame
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the documents that have a near copy: root is the smallest node of the component. Ids are taken as given: each must stand for one text."""
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     known = WordHashes()
 
     def sketched(texts: pa.Array) -> pa.Array:
@@ -350,16 +353,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared.discard(spark, rows)
     left = _apart(spark, shared.stored(spark, _all_pairs(rows, spark, similarity), "pairs"), roots)
     shared.discard(spark, rare)
-    tried = 1
-    while not left.isEmpty():
-        order = Window.partitionBy("r0", "r1").orderBy(F.desc("c"), "a", "b")
-        ranked = shared.stored(spark, left.withColumn("r", F.row_number().over(order)), "ranked")
-        roots = contracted(roots, verified(shared.stored(spark, ranked.where(F.col("r") <= tried).select("a", "b"), "candidates")))
-        again = _apart(spark, ranked.where(F.col("r") > tried), roots)
-        for done in (left, ranked):
-            shared.discard(spark, done)
-        left, tried = again, 8 * tried
-    return roots
+    # one pair of each two components, then ever larger shares of the pairs of what is still apart
+    best = F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")
+    turn = shared.stored(spark, left.groupBy("r0", "r1").agg(best).select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")), "turn")
+    untried = shared.stored(spark, left.join(turn, ["a", "b"], "left_anti"), "untried")
+    for share in (SHARES // 64, SHARES // 8, SHARES):
+        links = verified(turn)
+        roots = contracted(roots, links)
+        left = _apart(spark, untried, roots)
+        if left.isEmpty():
+            return roots
+        at = F.pmod(F.xxhash64("a", "b"), F.lit(SHARES))
+        turn, untried = shared.stored(spark, left.where(at < share).select("a", "b"), "turn"), left.where(at >= share)
+    return contracted(roots, verified(turn))
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
