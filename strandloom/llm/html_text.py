@@ -23,6 +23,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import shared
 # Tags by the part that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -177,6 +178,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with the columns text and n_chars in place of any of those names."""
 
+    shared.bound_batches(pages.sparkSession)
+
     def run(htmls: pa.Array) -> pa.Array:
         return pa.array([main_text(h.as_py()) for h in htmls], pa.string())
 

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Rows of a narrow id table up to which it is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that an operator works on at a time.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 
 _left: list = []
 
@@ -78,10 +80,18 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, was)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold at most BATCH_BYTES, or one longer row. A plan runs after its operator has returned, so the setting stays; it is only ever lowered."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def runs(texts: pa.Array):
     """(start, stop) of runs of rows that hold at most RUN_BYTES, or of one longer row.
 
-    Spark bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch); what an operator makes of texts is bounded by going run by run.
+    An Arrow batch is bounded by bytes (bound_batches); what an operator makes of its texts is bounded by going run by run.
     """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes + 64), 0
