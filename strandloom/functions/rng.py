@@ -10,10 +10,10 @@ def _key(part) -> Column:
 
 
 def draw(tag: str, seed: int, *keys: Column) -> Column:
-    """An integer in [0, 2^32)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), F.lit(str(seed)), *map(_key, keys))), 1, 8), 16, 10).cast("long")
+    """An integer in [0, 2^60)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), F.lit(str(seed)), *map(_key, keys))), 1, 15), 16, 10).cast("long")
 
 
 def uniform(tag: str, seed: int, *keys: Column) -> Column:
     """A double in [0, 1)."""
-    return draw(tag, seed, *keys) / F.lit(4294967296.0)
+    return draw(tag, seed, *keys) / F.lit(float(1 << 60))

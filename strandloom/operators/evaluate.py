@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from . import ranges
+
 
 def label_counts(rows: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, n)."""
@@ -30,11 +32,10 @@ def top_accuracy(top: DataFrame, truth: DataFrame, group: str, label: str) -> Da
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """One row: confusion counts, accuracy, F1, AUROC (ties count half) and average precision.
 
-    Rows are first counted by distinct score, so the ordered window runs over scores, not over rows.
+    Rows are first counted by distinct score; running counts over scores go in ranges.
     """
     by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down))
+    run = ranges.with_running(by, [F.desc("s")], tp=F.col("p"), fp=F.col("q"))
     hit = F.col("s") >= threshold
     total = run.agg(
         F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("fp"), F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(F.col("q"))).alias("tn"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandloom.functions.rng import draw
 
-from . import sampling
+from . import ranges, sampling
 
 
 def positions(rows: DataFrame, sentence: str, order: list[str], token: str) -> DataFrame:
@@ -56,20 +56,33 @@ def noise(examples: DataFrame, vocab: DataFrame, ratio: int, seed: int) -> DataF
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with rn from 1 in an order: sorted in ranges, each moved by the sizes of those before it."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = inner.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return inner.join(F.broadcast(before), "_part").withColumn("rn", F.col("_r") + F.col("_b")).drop("_part", "_r", "_b")
+    """rows with rn from 1 in an order."""
+    return ranges.ranked(rows, [F.col(c) for c in order], "rn")
 
 
 def macrobatches(examples: DataFrame, size: int, order: list[str]) -> DataFrame:
     """(macrobatch_id, row_in_batch, query, context), the last filled up with (0, 0)."""
     rows = numbered(examples, order).select(F.floor((F.col("rn") - 1) / size).cast("int").alias("macrobatch_id"), ((F.col("rn") - 1) % size).cast("int").alias("row_in_batch"), "query", "context")
+    return rows.unionByName(_padding(rows, size))
+
+
+def _padding(rows: DataFrame, size: int) -> DataFrame:
+    """The (0, 0) rows that the last macrobatch lacks."""
     last = rows.agg(F.max(F.struct("macrobatch_id", "row_in_batch")).alias("m")).where(F.col("m.row_in_batch") < size - 1)
-    padding = last.select(F.col("m.macrobatch_id").alias("macrobatch_id"), F.explode(F.sequence(F.col("m.row_in_batch") + 1, F.lit(size - 1))).alias("row_in_batch"), F.lit(0).alias("query"), F.lit(0).alias("context"))
-    return rows.unionByName(padding)
+    return last.select(F.col("m.macrobatch_id").alias("macrobatch_id"), F.explode(F.sequence(F.col("m.row_in_batch") + 1, F.lit(size - 1))).alias("row_in_batch"), F.lit(0).alias("query"), F.lit(0).alias("context"))
+
+
+def with_noise(batched: DataFrame, vocab: DataFrame, ratio: int, seed: int, batch: str = "macrobatch_id") -> DataFrame:
+    """(batch, row_in_batch, draw, query, context, is_signal): draw 0 is the signal, and ratio noise rows follow each signal row, padding too.
+
+    Noise contexts are drawn from the unigram counts, keyed by batch, row and draw.
+    """
+    signal = batched.select(batch, "row_in_batch", F.lit(0).alias("draw"), "query", "context", F.lit(True).alias("is_signal"))
+    draws = batched.select(batch, "row_in_batch", "query", F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
+    drawn = sampling.draw_outcomes(draws, vocab.select("token", "count"), "batch-noise", seed, F.col(batch), F.col("row_in_batch"), F.col("draw"))
+    ids = vocab.select(F.col("token").alias("outcome"), F.col("id").alias("context"))
+    noise_rows = drawn.join(ids, "outcome").select(batch, "row_in_batch", "draw", "query", "context", F.lit(False).alias("is_signal"))
+    return signal.unionByName(noise_rows)
 
 
 def minibatches(examples: DataFrame, size: int, order: list[str], incomplete: str = "keep") -> DataFrame:
@@ -78,11 +91,27 @@ def minibatches(examples: DataFrame, size: int, order: list[str], incomplete: st
         return macrobatches(examples, size, order).withColumnRenamed("macrobatch_id", "batch_id")
     rows = numbered(examples, order).select(F.floor((F.col("rn") - 1) / size).cast("int").alias("batch_id"), ((F.col("rn") - 1) % size).cast("int").alias("row_in_batch"), "query", "context")
     if incomplete == "drop":
-        full = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size).select("batch_id")
+        full = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size).select("batch_id")  # one row a batch
         rows = rows.join(full, "batch_id", "left_semi")
     return rows
 
 
+def flank_noise(examples: DataFrame, flanks: DataFrame, ratio: int, seed: int) -> DataFrame:
+    """(group, sent, pos, draw, query, context): noise of an example drawn from the flank tokens (group, context, count) of its own group, such as its chromosome.
+
+    Examples of a group without flank tokens get no noise.
+    """
+    draws = examples.select("group", "sent", "pos", "query", F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
+    drawn = sampling.draw_in_groups(draws, flanks, "flank", seed, F.col("sent"), F.col("pos"), F.col("draw"), key="context")
+    return drawn.select("group", "sent", "pos", "draw", "query", F.col("outcome").alias("context"))
+
+
+def positional_zip(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The rows of two tables side by side: the n-th of each in its order. Rows beyond the shorter table are left out."""
+    a, b = numbered(left, left_order), numbered(right, right_order)
+    return a.join(b.withColumnRenamed("rn", "_rn"), F.col("rn") == F.col("_rn")).drop("_rn")
+
+
 def skip_grams(tokens: DataFrame, window: int, skips: int, seed: int) -> DataFrame:
     """(sent, pos, token, context): ``skips`` distinct offsets within the window, without replacement, for inner positions."""
     inner = tokens.select("*", *((F.lead if o > 0 else F.lag)("token", abs(o)).over(W.partitionBy("sent").orderBy("pos")).alias(f"_n{o + window}") for o in range(-window, window + 1) if o))

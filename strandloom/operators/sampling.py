@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strandloom.functions.rng import draw, uniform
 
+from . import ranges
+
+#: Outcomes up to which they are broadcast to the rows that draw.
+BROADCAST_OUTCOMES = 200_000
+
 
 def keep_probability(prob: Column, t: float) -> Column:
     """sqrt(t / prob), at most 1; tokens without a probability are always kept."""
@@ -21,23 +26,42 @@ def down_sample(rows: DataFrame, prob: Column, t: float, seed: int, *keys: Colum
 
 def intervals(counts: DataFrame, key: str = "token") -> DataFrame:
     """counts with [lo, hi): the share of 0 .. total - 1 that each outcome owns, in order of key."""
-    running = F.sum("count").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return counts.withColumn("hi", running).withColumn("lo", F.col("hi") - F.col("count"))
+    return ranges.with_running(counts, [F.col(key)], hi=F.col("count")).withColumn("lo", F.col("hi") - F.col("count"))
 
 
-def draw_outcomes(rows: DataFrame, counts: DataFrame, tag: str, seed: int, *keys: Column, key: str = "token", buckets: int = 64) -> DataFrame:
+def draw_outcomes(rows: DataFrame, counts: DataFrame, tag: str, seed: int, *keys: Column, key: str = "token") -> DataFrame:
     """rows with an outcome drawn in proportion to counts: a range join by buckets of the cumulative counts.
 
-    Every interval is listed under each bucket that it touches, so the join is an equi-join on the bucket.
+    There are as many buckets as outcomes, each met equally often, and every interval is listed under each bucket that it touches: about two to a
+    bucket. So the join is an equi-join without hot keys; the outcomes are broadcast where their count is small.
     """
-    spans = intervals(counts.where("count > 0"), key)
-    total = int(counts.agg(F.sum("count")).first()[0] or 0)
-    if total <= 0:
+    total, outcomes = counts.where("count > 0").agg(F.sum("count"), F.count(F.lit(1))).first()
+    if not total:
         raise ValueError("no outcome to draw")
-    width = max(1, -(-total // buckets))
+    drawn = rows.withColumn("r", F.pmod(draw(tag, seed, *keys), F.lit(int(total))))
+    return outcomes_at(drawn, intervals(counts.where("count > 0"), key), int(total), outcomes, key)
+
+
+def outcomes_at(drawn: DataFrame, spans: DataFrame, total: int, outcomes: int, key: str) -> DataFrame:
+    """drawn with the outcome whose [lo, hi) holds r."""
+    width = max(1, -(-total // max(64, outcomes)))
     spread = spans.select(F.col(key).alias("outcome"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("bucket"))
-    drawn = rows.withColumn("r", F.pmod(draw(tag, seed, *keys), F.lit(total))).withColumn("bucket", F.floor(F.col("r") / width))
-    return drawn.join(spread, "bucket").where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).drop("bucket", "lo", "hi")
+    joined = drawn.withColumn("bucket", F.floor(F.col("r") / width)).join(F.broadcast(spread) if outcomes <= BROADCAST_OUTCOMES else spread, "bucket")
+    return joined.where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).drop("bucket", "lo", "hi")
+
+
+def draw_in_groups(rows: DataFrame, counts: DataFrame, tag: str, seed: int, *keys: Column, group: str = "group", key: str = "token") -> DataFrame:
+    """rows with an outcome drawn in proportion to the counts of their own group; rows of a group without counts are left out.
+
+    Groups own consecutive parts of one running sum, so the join is that of draw_outcomes.
+    """
+    own = counts.where("count > 0")
+    spans = ranges.with_running(own, [F.col(group), F.col(key)], hi=F.col("count")).withColumn("lo", F.col("hi") - F.col("count"))
+    groups = spans.groupBy(group).agg(F.min("lo").alias("_base"), F.sum("count").alias("_total"))
+    total, outcomes, n_groups = *own.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first(), own.select(group).distinct().count()
+    drawn = rows.join(F.broadcast(groups) if n_groups <= BROADCAST_OUTCOMES else groups, group)
+    drawn = drawn.withColumn("r", F.col("_base") + F.pmod(draw(tag, seed, *keys), F.col("_total"))).drop("_base", "_total")
+    return outcomes_at(drawn, spans, int(total), outcomes, key)
 
 
 def check_kernel(kernel: list[int]) -> int:

@@ -2,16 +2,19 @@
 
 A vocabulary is (token, canon, id, count); id 0 is UNK. canon is the token itself, or the name of its
 reverse-complement class; tokens of a class share an id. Ids are ranks in a stated order, so they don't depend on how rows are dealt.
-Ranks over all tokens use one ordered window over the (already counted) vocabulary; ``dense_ids`` ranks in ranges
-where a vocabulary is too large for one task.
+Ranks are made in ranges of the order (see ranges), so a vocabulary of any size is never in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from strandloom.functions.tokens import canonical
 
+from . import ranges
+
 UNK = "UNK"
 
 
@@ -21,28 +24,39 @@ def count_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 
 def dense_ids(keys: DataFrame, order: list[Column], first: int = 1) -> DataFrame:
-    """keys with a dense id: sorted in ranges, ranked within each, moved by what lies before."""
-    ranged = keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = inner.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return inner.join(F.broadcast(before), "_part").withColumn("id", (F.col("_rank") + F.col("_before") + (first - 1)).cast("int")).drop("_part", "_rank", "_before")
+    """keys with a dense id in the order."""
+    return ranges.ranked(keys, order, "_rank").withColumn("id", (F.col("_rank") + (first - 1)).cast("int")).drop("_rank")
 
 
 def build(counts: DataFrame, by: str = "token", reverse_complement: bool = False) -> DataFrame:
     """Ids for (token, count), UNK not counted: in order of token, of first sight (a column first), or of falling count."""
-    named = counts.where(F.col("token") != UNK).withColumn("canon", canonical(F.col("token")) if reverse_complement else F.col("token"))
-    if by == "token":
-        rank = F.dense_rank().over(W.orderBy("canon"))
-    elif by == "first":
-        named = named.withColumn("_first", F.min("first").over(W.partitionBy("canon")))
-        rank = F.dense_rank().over(W.orderBy("_first", "canon"))
-    elif by == "count":
-        named = named.withColumn("_total", F.sum("count").over(W.partitionBy("canon")))
-        rank = F.dense_rank().over(W.orderBy(F.desc("_total"), "canon"))
-    else:
+    orders = {"token": [F.col("canon")], "first": [F.col("_first"), F.col("canon")], "count": [F.desc("_total"), F.col("canon")]}
+    if by not in orders:
         raise ValueError(f"no such order: {by}")
-    return named.select("token", "canon", rank.cast("int").alias("id"), F.col("count").cast("long").alias("count"))
+    named = counts.where(F.col("token") != UNK).withColumn("canon", canonical(F.col("token")) if reverse_complement else F.col("token"))
+    first = F.min("first") if by == "first" else F.lit(None)
+    classes = dense_ids(named.groupBy("canon").agg(first.alias("_first"), F.sum("count").alias("_total")), orders[by]).select("canon", "id")
+    return named.join(classes, "canon").select("token", "canon", "id", F.col("count").cast("long").alias("count"))
+
+
+def from_list(spark: SparkSession, tokens: list[str], reverse_complement: bool = False) -> DataFrame:
+    """A vocabulary from tokens in their order, counts zero; UNK must come first and gets id 0. Later copies of a token or class share the first one's id."""
+    if not tokens or tokens[0] != UNK:
+        raise ValueError("the first token must be UNK")
+    rows = spark.createDataFrame([(t, k) for k, t in enumerate(tokens[1:])], "token string, first long").groupBy("token").agg(F.min("first").alias("first"))
+    return with_unk(build(rows.withColumn("count", F.lit(0).cast("long")), "first", reverse_complement))
+
+
+def with_unk(vocab: DataFrame, count: int = 0) -> DataFrame:
+    """vocab with the row of UNK, id 0: what saved dictionaries begin with."""
+    unk = vocab.sparkSession.createDataFrame([(UNK, UNK, 0, count)], "token string, canon string, id int, count long")
+    return unk.unionByName(vocab.where(F.col("token") != UNK).select("token", "canon", "id", "count"))
+
+
+def key_values(vocab: DataFrame, value: str = "id") -> DataFrame:
+    """(token, value) in order of id, UNK first."""
+    full = vocab if not vocab.where(F.col("token") == UNK).isEmpty() else with_unk(vocab)
+    return full.orderBy("id", "token").select("token", value)
 
 
 def prune(counts: DataFrame, min_frequency: int, mode: str = "token") -> DataFrame:
@@ -88,13 +102,18 @@ def remove(vocab: DataFrame, tokens: list[str]) -> DataFrame:
 
 def compact(vocab: DataFrame) -> DataFrame:
     """Ids without gaps, in their order."""
-    return vocab.withColumn("id", F.dense_rank().over(W.orderBy("id")).cast("int"))
+    dense = dense_ids(vocab.select(F.col("id").alias("_old")).distinct(), [F.col("_old")])
+    return vocab.withColumnRenamed("id", "_old").join(dense, "_old").select(*vocab.columns)
 
 
 def look_up(rows: DataFrame, vocab: DataFrame, token: str = "token", on_unknown: str = "silent", broadcast: bool = False) -> DataFrame:
-    """rows with id and count of their token: 0 and 0 for unknown ones, or an error where on_unknown is ``error``."""
+    """rows with id and count of their token: 0 and 0 for unknown ones; ``warn`` counts them first and warns, ``error`` fails the job."""
     if on_unknown not in ("silent", "warn", "error"):
         raise ValueError(f"no such policy: {on_unknown}")
+    if on_unknown == "warn":
+        total, distinct = unknown_tokens(rows, vocab, token).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        if total:
+            warnings.warn(f"{total} rows hold {distinct} unknown tokens", stacklevel=2)
     known = vocab.select(F.col("token").alias("_token"), F.col("id"), F.col("count"))
     out = rows.join(F.broadcast(known) if broadcast else known, F.col(token) == F.col("_token"), "left")
     none = F.raise_error(F.concat(F.lit("unknown token: "), F.col(token))).cast("int") if on_unknown == "error" else F.lit(0)

@@ -191,7 +191,7 @@ def dense_counter(s, d):
 # --- sampling -----------------------------------------------------------------
 
 
-@query(f"WITH {i.SQL_WORD_COUNTS}, n AS (SELECT doc_id, line_no, token, row_number() OVER (PARTITION BY doc_id, line_no, token) AS k FROM t), j AS (SELECT n.*, c.count / (SELECT sum(count) FROM c) AS prob FROM n JOIN c ON n.token = c.token) SELECT token, count(*) AS kept FROM j WHERE {i.sql_draw('discard', 'doc_id', 'line_no', 'token', 'k')} / 4294967296.0 >= 1 - least(1.0, sqrt(0.001 / prob)) GROUP BY token")
+@query(f"WITH {i.SQL_WORD_COUNTS}, n AS (SELECT doc_id, line_no, token, row_number() OVER (PARTITION BY doc_id, line_no, token) AS k FROM t), j AS (SELECT n.*, c.count / (SELECT sum(count) FROM c) AS prob FROM n JOIN c ON n.token = c.token) SELECT token, count(*) AS kept FROM j WHERE {i.sql_draw('discard', 'doc_id', 'line_no', 'token', 'k')} / {i.TOP} >= 1 - least(1.0, sqrt(0.001 / prob)) GROUP BY token")
 def discard_sample(s, d):
     words = i.word_tokens(s, d).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "line_no", "token").orderBy("token")))
     known = vocab.probabilities(i.word_counts(s, d)).select(F.col("token").alias("t"), "prob")
@@ -228,7 +228,7 @@ def categorical_sample(s, d):
     return sampling.draw_outcomes(rows, i.event_vocab(s, d).select("token", "count"), "sample", i.SEED, F.col("event_id")).select("event_id", "outcome")
 
 
-SQL_SIGNAL = f"{SQL_CONTEXT}, {i.SQL_EVENT_VOCAB}, sg AS (SELECT x.sent, x.pos, a.id AS query, b.id AS context FROM x JOIN v a ON x.token = a.token JOIN v b ON x.context = b.token WHERE {i.sql_draw('discard', 'x.sent', 'x.pos')} / 4294967296.0 >= 1 - least(1.0, sqrt(0.03 / (a.count / (SELECT sum(count) FROM v)))))"
+SQL_SIGNAL = f"{SQL_CONTEXT}, {i.SQL_EVENT_VOCAB}, sg AS (SELECT x.sent, x.pos, a.id AS query, b.id AS context FROM x JOIN v a ON x.token = a.token JOIN v b ON x.context = b.token WHERE {i.sql_draw('discard', 'x.sent', 'x.pos')} / {i.TOP} >= 1 - least(1.0, sqrt(0.03 / (a.count / (SELECT sum(count) FROM v)))))"
 
 
 def _signal(s, d):
@@ -268,7 +268,7 @@ def skipgram_windows(s, d):
     return examples.skip_grams(i.event_tokens(s, d), 2, 2, i.SEED)
 
 
-@query(f"SELECT doc_id, {i.sql_draw('split', 'doc_id')} / 4294967296.0 < 0.75 AS is_train FROM documents")
+@query(f"SELECT doc_id, {i.sql_draw('split', 'doc_id')} / {i.TOP} < 0.75 AS is_train FROM documents")
 def train_valid_split(s, d):
     return sampling.split(i.table(s, d, "documents").select("doc_id"), 0.75, i.SEED, F.col("doc_id"))
 
@@ -377,13 +377,13 @@ def bag_of_tokens(s, d):
     return i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH b AS (SELECT user_id, event_type AS token, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT user_id, token, n, unnest(range(16)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / 4294967296.0 AS u, {i.sql_draw('proj-v', 'token', 'dim')} / 4294967296.0 AS v FROM f) SELECT user_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(16.0), 6) AS value FROM z GROUP BY 1, 2")
+@query(f"WITH b AS (SELECT user_id, event_type AS token, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT user_id, token, n, unnest(range(16)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / {i.TOP} AS u, {i.sql_draw('proj-v', 'token', 'dim')} / {i.TOP} AS v FROM f) SELECT user_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(16.0), 6) AS value FROM z GROUP BY 1, 2")
 def random_projection(s, d):
     bag = i.table(s, d, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     return vectors.random_projection(bag, "user_id", "token", "n", 16, i.SEED).select("user_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {i.SQL_WORDS}, b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT doc_id, token, n, unnest(range(100)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / 4294967296.0 AS u, {i.sql_draw('proj-v', 'token', 'dim')} / 4294967296.0 AS v FROM f) SELECT doc_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(100.0), 6) AS value FROM z GROUP BY 1, 2")
+@query(f"WITH {i.SQL_WORDS}, b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT doc_id, token, n, unnest(range(100)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / {i.TOP} AS u, {i.sql_draw('proj-v', 'token', 'dim')} / {i.TOP} AS v FROM f) SELECT doc_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(100.0), 6) AS value FROM z GROUP BY 1, 2")
 def random_projection_words(s, d):
     return vectors.random_projection(bag_of_tokens(s, d), "doc_id", "token", "n", 100, i.SEED).select("doc_id", "dim", F.round("value", 6).alias("value"))
 

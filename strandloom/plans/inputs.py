@@ -8,7 +8,10 @@ from strandloom.functions import tokens as tk
 from strandloom.operators import examples, vocab
 
 SEED = 42
+#: Draws lie under it; as SQL.
+TOP = "1152921504606846976e0"
 K, STRIDE = 8, 2
+# Weights of the offsets -5 to 5, falling with the distance.
 KERNEL = [1, 2, 3, 4, 5, 5, 4, 3, 2, 1]
 MIN_FREQUENCY = 10
 
