@@ -81,4 +81,4 @@ SQL_VECTORS = "x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, labe
 
 
 def sql_draw(tag: str, *keys: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{tag}', '{SEED}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{tag}', '{SEED}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 15) AS BIGINT)"

@@ -76,7 +76,7 @@ def test_dense_ids_follow_the_order(spark):
 
 
 def test_draws_follow_counts(spark):
-    drawn = sampling.draw_outcomes(spark.range(20000), counts(spark), "t", 1, F.col("id"), buckets=7)
+    drawn = sampling.draw_outcomes(spark.range(20000), counts(spark), "t", 1, F.col("id"))
     share = {r.outcome: r["count"] / 20000 for r in drawn.groupBy("outcome").count().collect()}
     for token, n in FRUIT:
         assert abs(share[token] - n / 30) < 0.02
