@@ -10,20 +10,8 @@ from strandloom.functions import rng, tokens as tk
 from strandloom.functions.vectors import dot, euclidean, sigmoid
 from strandloom.operators import evaluate, examples, model, sampling, tables, vectors, vocab
 
-from . import inputs as i
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from . import inputs as i, round_trips  # noqa: F401 - lists its queries
+from .registry import ORACLES, QUERIES, query  # noqa: F401 - ORACLES and QUERIES are read from here
 
 
 # --- tokens -------------------------------------------------------------------
@@ -481,10 +469,11 @@ for _name in ("ridge", "forest", "svm", "svm_l1", "sgd_l2", "sgd_l1", "sgd_elast
 # --- logs, intervals, training ------------------------------------------------
 
 
-@query("WITH a AS (SELECT user_id, event_id, CAST(event_id % 50 AS INT) AS macrobatch, round(abs(value), 3) AS v FROM events), j AS (SELECT *, CASE WHEN abs(macrobatch - lag(macrobatch, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id)) > 1 THEN 1 ELSE 0 END AS j FROM a) SELECT user_id, event_id, macrobatch, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS epoch FROM j")
+@query("WITH a AS (SELECT user_id, event_id, CAST(event_id % 50 AS INT) AS macrobatch, CAST(concat(user_id % 9, '.', lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')) AS DOUBLE) AS loss FROM events), j AS (SELECT *, CASE WHEN abs(macrobatch - lag(macrobatch, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id)) > 1 THEN 1 ELSE 0 END AS j FROM a) SELECT user_id, event_id, macrobatch, loss, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS epoch FROM j")
 def log_scrape_epochs(s, d):
-    logged = i.table(s, d, "events").select("user_id", "event_id", F.concat(F.lit("running macrobatch "), (F.col("event_id") % 50).cast("string"), F.lit(", macrobatch average loss: 1.25")).alias("line"))
-    return tables.epochs(tables.parse_log(logged), "user_id", "event_id", "macrobatch").select("user_id", "event_id", "macrobatch", "epoch")
+    line = F.format_string("running macrobatch %d, macrobatch average loss: %d.%03d", F.col("event_id") % 50, F.col("user_id") % 9, F.col("event_id") % 1000)
+    logged = i.table(s, d, "events").select("user_id", "event_id", line.alias("line"))
+    return tables.epochs(tables.parse_log(logged), "user_id", "event_id", "macrobatch").select("user_id", "event_id", "macrobatch", "loss", "epoch")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey, l_quantity + 1 AS width, l_extendedprice / (l_quantity + 1) AS height FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 + 1")
@@ -505,10 +494,25 @@ def geo_mean(s, d):
     return i.table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(tables.geometric_mean(F.col("l_quantity")), 6).alias("mean"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND source IS NOT NULL)")
+def _flanks_and_peaks(s, d):
+    """Flanks on 50 chromosomes, peaks on 40 of them."""
+    name = lambda key, n, number: F.concat(F.lit("chr"), (F.col(key) % n).cast("string"), F.lit("_"), F.col(number).cast("string")).alias("name")
+    return i.table(s, d, "events").select("event_id", name("user_id", 50, "event_id")), i.table(s, d, "lineitem").select(name("l_orderkey", 40, "l_linenumber"))
+
+
+SQL_FLANKS = "WITH f AS (SELECT event_id, 'chr' || (user_id % 50) || '_' || event_id AS name, 'chr' || (user_id % 50) AS chrom FROM events), p AS (SELECT DISTINCT 'chr' || (l_orderkey % 40) AS chrom FROM lineitem)"
+
+
+@query(f"{SQL_FLANKS} SELECT event_id, name FROM f WHERE chrom NOT IN (SELECT chrom FROM p)")
 def chrom_antijoin(s, d):
-    docs = i.table(s, d, "documents").select("doc_id", "lang", "source")
-    return docs.join(docs.where("lang = 'de'").select("source").distinct(), "source", "left_anti").select("doc_id", "source")
+    flanks, peaks = _flanks_and_peaks(s, d)
+    return tables.match_prefix(flanks, peaks, "name", "name", matched=False)
+
+
+@query(f"{SQL_FLANKS} SELECT event_id, name FROM f WHERE chrom IN (SELECT chrom FROM p)")
+def chrom_match(s, d):
+    flanks, peaks = _flanks_and_peaks(s, d)
+    return tables.match_prefix(flanks, peaks, "name", "name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")

@@ -6,6 +6,8 @@ read in splits. Every reader gives (file, id, seq, ok) or (file, tokens); rows w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandloom.functions.tokens import kmers, words
@@ -37,7 +39,7 @@ def read_fasta(spark: SparkSession, paths, skip=None, suffix=None, promote: bool
     sequence lines are joined instead. promote upper-cases sequences.
     """
     df = _records(spark, paths, "\n>", skip, suffix, recursive)
-    lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\r?\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\r?\n"), lambda x: F.trim(x))
     df = df.where(F.length(F.trim("value")) > 0).withColumn("lines", lines)
     body = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
     filled = F.filter(body, lambda x: x != "")
@@ -50,7 +52,7 @@ def read_fasta(spark: SparkSession, paths, skip=None, suffix=None, promote: bool
 def read_fastq(spark: SparkSession, paths, skip=None, suffix=None, marker: str = "@HISEQ", recursive: bool = False) -> DataFrame:
     """(file, id, seq, quality, ok): records start at a line with the marker and have four lines; case stays."""
     df = _records(spark, paths, f"\n{marker}", skip, suffix, recursive)
-    lines = F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     df = df.where(F.length(F.trim("value")) > 0).withColumn("lines", lines)
     ok = F.size("lines") == 4
     first = F.element_at("lines", 1)
@@ -58,13 +60,23 @@ def read_fastq(spark: SparkSession, paths, skip=None, suffix=None, marker: str =
     return df.select("file", name.alias("id"), F.when(ok, F.element_at("lines", 2)).alias("seq"), F.when(ok, F.element_at("lines", 4)).alias("quality"), ok.alias("ok"))
 
 
+def read_raw_lines(spark: SparkSession, paths, skip=None, suffix=None, recursive: bool = False) -> DataFrame:
+    """(file, value)."""
+    return _records(spark, paths, "\n", skip, suffix, recursive).select("file", "value")
+
+
 def read_lines(spark: SparkSession, paths, skip=None, suffix=None, recursive: bool = False) -> DataFrame:
     """(file, tokens): one sentence a line; blank lines give empty sentences."""
-    return _records(spark, paths, "\n", skip, suffix, recursive).select("file", words(F.col("value")).alias("tokens"))
+    return read_raw_lines(spark, paths, skip, suffix, recursive).select("file", words(F.col("value")).alias("tokens"))
 
 
-def read_corpus(spark: SparkSession, paths, parser: str = "text", k: int | None = None, stride: int = 1, **options) -> DataFrame:
-    """(file, tokens) by the parser's name: one that holds ``fastq``, then ``fasta``, else white-space text."""
+def read_corpus(spark: SparkSession, paths, parser: str | Callable[[Column], Column] = "text", k: int | None = None, stride: int = 1, **options) -> DataFrame:
+    """(file, tokens) by the parser's name: one that holds ``fastq``, then ``fasta``, else white-space text.
+
+    A parser may also be a function that makes the Column of tokens from the Column of a line.
+    """
+    if callable(parser):
+        return read_raw_lines(spark, paths, **options).select("file", parser(F.col("value")).alias("tokens"))
     if "fastq" in parser or "fasta" in parser:
         if k is None:
             raise ValueError("k is needed for sequence files")

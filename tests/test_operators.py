@@ -142,6 +142,14 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert [(r.id, r.seq, r.ok) for r in fq] == [("@HISEQ:1", "ACGT", True), ("@HISEQ:2", None, False)]
 
 
+def test_record_names_keep_their_digits(spark, tmp_path):
+    (tmp_path / "n.fasta").write_text(">10\n ACGT \n>0\nAC\n")
+    assert {(r.id, r.seq) for r in corpus.read_fasta(spark, str(tmp_path / "n.fasta")).collect()} == {("10", "ACGT"), ("0", "AC")}
+    (tmp_path / "n.fastq").write_text("@HISEQ:10\n ACGT\n+\n1122\n")
+    row = corpus.read_fastq(spark, str(tmp_path / "n.fastq")).first()
+    assert (row.id, row.seq, row.quality) == ("@HISEQ:10", "ACGT", "1122")
+
+
 def test_text_and_dispatch(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("one two\tthree\n\n four\n")
     got = [r.tokens for r in corpus.read_corpus(spark, str(tmp_path / "a.tsv")).collect()]
