@@ -151,7 +151,25 @@ def _kept(s, d):
 
 @query(f"{SQL_KEPT} SELECT t.doc_id, coalesce(p.id, 0) AS id, count(*) AS n FROM t LEFT JOIN p ON t.token = p.token GROUP BY 1, 2")
 def encode_ids(s, d):
-    return vocab.look_up(i.word_tokens(s, d), _kept(s, d)).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    bags = i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))  # a word meets the vocabulary once a document
+    return vocab.look_up(bags, _kept(s, d)).groupBy("doc_id", "id").agg(F.sum("n").alias("n"))
+
+
+@query(f"{SQL_KEPT} SELECT t.doc_id, t.token, count(*) AS n, coalesce(any_value(p.count), 0) AS frequency FROM t LEFT JOIN p ON t.token = p.token GROUP BY 1, 2")
+def token_frequencies(s, d):
+    """Frequencies of the words of documents, 0 for those that the vocabulary lacks."""
+    bags = i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return vocab.look_up(bags, _kept(s, d)).select("doc_id", "token", "n", F.col("count").alias("frequency"))
+
+
+@query("SELECT * FROM (VALUES ('UNK', 'UNK', 0), ('ACGT', 'ACGT', 1), ('TTGA', 'TCAA', 2), ('TCAA', 'TCAA', 2), ('CCCC', 'CCCC', 3)) v(token, canon, id)")
+def vocab_from_list(s, d):
+    return vocab.from_list(s, ["UNK", "ACGT", "TTGA", "ACGT", "TCAA", "CCCC"], reverse_complement=True).select("token", "canon", "id")
+
+
+@query(f"WITH {i.SQL_EVENT_VOCAB} SELECT token, id FROM v UNION ALL SELECT 'UNK', 0")
+def vocab_key_values(s, d):
+    return vocab.key_values(i.event_vocab(s, d))
 
 
 @query(f"WITH {i.SQL_KMER_COUNTS}, v AS (SELECT token, dense_rank() OVER (ORDER BY canon) AS id FROM cc), r AS (SELECT id, min(token) AS token FROM v GROUP BY id) SELECT CAST(r.id AS INT) AS id, r.token, {i.sql_rc('r.token')} AS rc, count(*) AS n FROM k JOIN v ON k.kmer = v.token JOIN r ON v.id = r.id GROUP BY 1, 2, 3")
@@ -179,12 +197,16 @@ def dense_counter(s, d):
 # --- sampling -----------------------------------------------------------------
 
 
-@query(f"WITH {i.SQL_WORD_COUNTS}, n AS (SELECT doc_id, line_no, token, row_number() OVER (PARTITION BY doc_id, line_no, token) AS k FROM t), j AS (SELECT n.*, c.count / (SELECT sum(count) FROM c) AS prob FROM n JOIN c ON n.token = c.token) SELECT token, count(*) AS kept FROM j WHERE {i.sql_draw('discard', 'doc_id', 'line_no', 'token', 'k')} / {i.TOP} >= 1 - least(1.0, sqrt(0.001 / prob)) GROUP BY token")
+DISCARD = 0.001
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS}, w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\r\\n\\f]+'), lambda x: x <> '') AS ws FROM l), n AS (SELECT doc_id, line_no, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM w), j AS (SELECT n.*, c.count / (SELECT sum(count) FROM c) AS prob FROM n JOIN c ON n.token = c.token) SELECT token, count(*) AS kept FROM j WHERE {i.sql_draw('discard', 'doc_id', 'line_no', 'pos')} / {i.TOP} >= 1 - least(1.0, sqrt({DISCARD} / prob)) GROUP BY token")
 def discard_sample(s, d):
-    words = i.word_tokens(s, d).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "line_no", "token").orderBy("token")))
-    known = vocab.probabilities(i.word_counts(s, d)).select(F.col("token").alias("t"), "prob")
-    rows = words.join(known, F.col("token") == F.col("t"))
-    kept = sampling.down_sample(rows, F.col("prob"), 0.001, i.SEED, F.col("doc_id"), F.col("line_no"), F.col("token"), F.col("k"))
+    words = i.lines(s, d).select("doc_id", "line_no", F.posexplode(tk.words(F.col("line"))).alias("pos", "token"))
+    # only tokens over the threshold can go: fewer than 1 / DISCARD, so the side that is broadcast is bounded
+    frequent = vocab.probabilities(i.word_counts(s, d)).where(F.col("prob") > DISCARD).select("token", "prob")
+    rows = words.join(F.broadcast(frequent), "token", "left")
+    kept = sampling.down_sample(rows, F.col("prob"), DISCARD, i.SEED, F.col("doc_id"), F.col("line_no"), F.col("pos"))
     return kept.groupBy("token").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -251,6 +273,36 @@ def minibatches_padded(s, d):
     return examples.minibatches(_signal(s, d), 128, ["sent", "pos"], "pad")
 
 
+def _sql_with_noise(batches: str, batch: str) -> str:
+    """Rows of a batch query, each followed by three noise rows."""
+    spans = SQL_SPANS.removeprefix(i.SQL_EVENT_VOCAB + ", ")
+    return f"{SQL_NUMBERED}, {spans}, {batches}, n AS (SELECT {batch}, row_in_batch, query, CAST(unnest(range(1, 4)) AS INT) AS draw FROM mb), z AS (SELECT *, {i.sql_draw('batch-noise', batch, 'row_in_batch', 'draw')} % (SELECT total FROM w) AS r FROM n) SELECT {batch}, row_in_batch, 0 AS draw, query, context, true AS is_signal FROM mb UNION ALL SELECT {batch}, row_in_batch, draw, query, s.id, false FROM z JOIN s ON z.r >= s.lo AND z.r < s.hi"
+
+
+@query(_sql_with_noise("tot AS (SELECT count(*) AS n FROM nb), mb AS (SELECT CAST(rn // 1000 AS INT) AS macrobatch_id, CAST(rn % 1000 AS INT) AS row_in_batch, query, context FROM nb UNION ALL SELECT CAST(q // 1000 AS INT), CAST(q % 1000 AS INT), 0, 0 FROM (SELECT unnest(range(n, (n + 999) // 1000 * 1000)) AS q FROM tot))", "macrobatch_id"))
+def macrobatches_with_noise(s, d):
+    return examples.with_noise(examples.macrobatches(_signal(s, d), 1000, ["sent", "pos"]), i.event_vocab(s, d), 3, i.SEED)
+
+
+@query(_sql_with_noise("mb AS (SELECT CAST(rn // 128 AS INT) AS batch_id, CAST(rn % 128 AS INT) AS row_in_batch, query, context FROM nb)", "batch_id"))
+def minibatches_with_noise(s, d):
+    return examples.with_noise(examples.minibatches(_signal(s, d), 128, ["sent", "pos"]), i.event_vocab(s, d), 3, i.SEED, "batch_id")
+
+
+@query(f"WITH f AS (SELECT user_id % 5 AS \"group\", event_type AS context, count(*) AS count FROM events GROUP BY 1, 2), g AS (SELECT *, sum(count) OVER (PARTITION BY \"group\" ORDER BY context) AS hi, sum(count) OVER (PARTITION BY \"group\") AS total FROM f), e AS (SELECT user_id % 5 AS \"group\", user_id AS sent, event_id AS pos, CAST(unnest(range(1, 3)) AS INT) AS draw FROM events), z AS (SELECT *, {i.sql_draw('flank', 'sent', 'pos', 'draw')} AS r FROM e) SELECT z.\"group\", sent, pos, draw, CAST(sent AS INT) AS query, g.context FROM z JOIN g ON z.\"group\" = g.\"group\" AND r % CAST(total AS BIGINT) < hi AND r % CAST(total AS BIGINT) >= hi - count")
+def flank_noise(s, d):
+    rows = i.table(s, d, "events").withColumn("group", F.col("user_id") % 5)
+    flanks = rows.groupBy("group", F.col("event_type").alias("context")).agg(F.count(F.lit(1)).alias("count"))
+    signal = rows.select("group", F.col("user_id").alias("sent"), F.col("event_id").alias("pos"), F.col("user_id").cast("int").alias("query"))
+    return examples.flank_noise(signal, flanks, 2, i.SEED)
+
+
+@query("WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey DESC) AS rn FROM part) SELECT rn, s_suppkey, p_partkey FROM a JOIN b USING (rn)")
+def positional_zip(s, d):
+    parts = i.table(s, d, "part").select("p_partkey", (-F.col("p_partkey")).alias("down"))
+    return examples.positional_zip(i.table(s, d, "supplier").select("s_suppkey"), parts, ["s_suppkey"], ["down"]).select("rn", "s_suppkey", "p_partkey")
+
+
 @query(f"WITH {i.SQL_EVENTS}, o AS (SELECT sent, pos, token, unnest([-2, -1, 1, 2]) AS o FROM e WHERE pos >= 2 AND pos < length - 2), h AS (SELECT *, row_number() OVER (PARTITION BY sent, pos ORDER BY {i.sql_draw('skip', 'sent', 'pos', 'o')}, o) AS r FROM o) SELECT h.sent, h.pos, h.token, CAST(h.o AS INT) AS \"offset\", e.token AS context FROM h JOIN e ON h.sent = e.sent AND e.pos = h.pos + h.o WHERE r <= 2")
 def skipgram_windows(s, d):
     return examples.skip_grams(i.event_tokens(s, d), 2, 2, i.SEED)
