@@ -7,10 +7,9 @@ In every block each sketch emits all variants within half of 2, one bit, and mee
 document then has one candidate: of the least documents of its buckets, the one that it meets most often. So the work is linear in a group of copies.
 
 Balls contract groups of copies but lose pairs: a passage cut off or added moves many bits. So all documents that
-the balls leave in different components go through a prefix, length and position join on their rarest shingles, which finds
-every pair of the similarity. While more pairs of components share a rare shingle than documents have one, each component meets only
-the least ones of its shingles, and what is verified is contracted. Of the pairs that are left, each two components try their best one first, then ever larger
-shares by hash, until they are joined or have none left.
+the balls leave in different components go through their rarest shingles, of which
+any two similar sets share one in their prefixes. Sets that share such a shingle meet in a tree of boxes (see count_tree), which contracts groups of copies in rounds
+and in the end tries all pairs of components that its bounds allow.
 Every link is verified by the exact Jaccard similarity of five-word shingle sets.
 
 Defined results: null text is empty; texts without words equal each other; of each component the row with the smallest id stays, of a
@@ -27,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import shared
+from . import count_tree, shared
 from .decontam import WordHashes, shingle_hashes
 from .simhash import words_of
 
@@ -41,8 +40,6 @@ RANGE_SHINGLES, RANGES = 1 << 21, 1024
 #: One document of so many tells which shingles are hot: in over one of HOT_SHARE documents, and in HOT_LEAST of those sampled.
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 10_000, 32
 HOT = (1 << 32) - 1
-#: Hash values by which pairs of components take turns.
-SHARES = 4096
 
 
 def sketch(words: list[bytes]) -> list[int]:
@@ -241,56 +238,6 @@ def _rare(base: DataFrame, known: WordHashes, similarity: float) -> DataFrame:
     return common.groupBy("q").applyInArrow(_prefixes(similarity), "h long, d long, n long, pos long")
 
 
-def _shared_rare(spark: SparkSession, rare: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, int]:
-    """rare with root, k * its largest partner (s), for the shingles that several components share; and how many pairs of components share one."""
-    named = shared.stored(spark, rare.join(roots.withColumnRenamed("node", "d"), "d", "left").select("h", "d", F.coalesce("root", "d").alias("root"), "n", "pos"), "rooted")
-    mixed = shared.stored(spark, named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h", "r0"), "mixed")
-    k = similarity / (1 + similarity)
-    rows = named.join(mixed, "h").withColumn("s", (1 - k) * F.col("n") - F.col("pos") + 1 + 1e-6)  # it can go with partners of at most s / k shingles
-    rows = shared.stored(spark, rows, "prefix")
-    groups = rows.groupBy("h", "root").agg(F.lit(1).alias("g")).groupBy("h").agg(F.count("g").cast("double").alias("g"))
-    pairs = groups.agg(F.sum(F.col("g") * (F.col("g") - 1) / 2)).first()[0] or 0
-    for done in (named, mixed):
-        shared.discard(spark, done)
-    return rows, pairs
-
-
-def _fits(similarity: float):
-    """Whether the shingle can be the rarest common one of a similar pair a, b."""
-    spare = F.col("na") + F.col("nb") - F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9) + 1
-    near = (F.col("pa") <= spare - F.col("nb")) & (F.col("pb") <= spare - F.col("na"))
-    return near & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-
-
-def _to_least(spark: SparkSession, rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): for each component and each least component of a shingle that it holds, a document of both; no more than rows."""
-    least = rows.where("root = r0").groupBy("h").agg(F.min(F.struct("d", "n", "pos")).alias("m")).select("h", F.col("m.d").alias("a"), F.col("m.n").alias("na"), F.col("m.pos").alias("pa"))
-    least = shared.stored(spark, least, "least")
-    met = rows.where("root != r0").select("h", "root", "r0", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(least, "h").where(_fits(similarity))
-    best = F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")
-    return met.groupBy("root", "r0", "a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("root", "r0").agg(best).select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"))
-
-
-def _all_pairs(rows: DataFrame, spark: SparkSession, similarity: float) -> DataFrame:
-    """(a, b, c) of different components that share c shingles that can be their rarest common one."""
-    k = similarity / (1 + similarity)
-    groups = shared.stored(spark, rows.groupBy("h", "root").agg(F.max("s").alias("s"), F.min("n").alias("n")), "groups")
-    ga, gb = groups.toDF("h", "ra", "gsa", "gna"), groups.toDF("h", "rb", "gsb", "gnb")
-    two = ga.join(gb, "h").where((F.col("ra") < F.col("rb")) & (F.col("gsa") >= k * F.col("gnb")) & (F.col("gsb") >= k * F.col("gna")))
-    left = rows.select("h", F.col("d").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("s").alias("sa"))
-    right = rows.select("h", F.col("d").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    two = two.join(left, ["h", "ra"]).where((F.col("sa") >= k * F.col("gnb")) & (F.col("gsb") >= k * F.col("na")))
-    return two.join(right, ["h", "rb"]).where(_fits(similarity)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-
-
-def _apart(spark: SparkSession, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Stored (a, b, c, r0, r1) of the pairs whose components differ, with these in order."""
-    out = pairs.select("a", "b", "c")
-    for x in "ab":
-        out = out.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    return shared.stored(spark, out.where("ra != rb").select("a", "b", "c", F.least("ra", "rb").alias("r0"), F.greatest("ra", "rb").alias("r1")), "apart")
-
-
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the documents that have a near copy: root is the smallest node of the component. Ids are taken as given: each must stand for one text."""
     spark = docs.sparkSession
@@ -336,36 +283,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             shared.discard(spark, done)
         return out
 
-    def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
-        return roots if links.isEmpty() else shared.components(spark, roots.toDF("a", "b").union(links))
-
     roots = shared.components(spark, verified(best))
     rare = shared.stored(spark, _rare(base, known, similarity), "rare")
-    linear = rare.select("d").distinct().count()
-    while True:
-        rows, pairs = _shared_rare(spark, rare, roots, similarity)
-        if pairs <= linear:
-            break
-        links = verified(shared.stored(spark, _to_least(spark, rows, similarity), "candidates"))
-        if links.isEmpty():
-            break
-        roots = contracted(roots, links)
-        shared.discard(spark, rows)
-    left = _apart(spark, shared.stored(spark, _all_pairs(rows, spark, similarity), "pairs"), roots)
+    roots = count_tree.connected(spark, base, rare, roots, hashed, similarity)
     shared.discard(spark, rare)
-    # one pair of each two components, then ever larger shares of the pairs of what is still apart
-    best = F.max(F.struct("c", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")
-    turn = shared.stored(spark, left.groupBy("r0", "r1").agg(best).select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")), "turn")
-    untried = shared.stored(spark, left.join(turn, ["a", "b"], "left_anti"), "untried")
-    for share in (SHARES // 64, SHARES // 8, SHARES):
-        links = verified(turn)
-        roots = contracted(roots, links)
-        left = _apart(spark, untried, roots)
-        if left.isEmpty():
-            return roots
-        at = F.pmod(F.xxhash64("a", "b"), F.lit(SHARES))
-        turn, untried = shared.stored(spark, left.where(at < share).select("a", "b"), "turn"), left.where(at >= share)
-    return contracted(roots, verified(turn))
+    return roots
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

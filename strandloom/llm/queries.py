@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import collocations, conversation_trie, decontam, exact, html_text, langid, license_join, packing, quality, secret_scan, shared, simhash, toxicity
+from . import collocations, conversation_trie, decontam, exact, html_text, jaccard_join, langid, license_join, packing, quality, secret_scan, shared, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,11 @@ def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations")).drop("place", "last")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_benchmark_decontamination, op4_toxicity, op5_quality, op6_best_fit_packing, op7_secret_scan, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_collocations, op12_conversation_trie)}
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_benchmark_decontamination, op4_toxicity, op5_quality, op6_best_fit_packing, op7_secret_scan, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_collocations, op12_conversation_trie, op13_jaccard_join)}
 
 #: The others have models, sketches, tokenizers or parsers that SQL can't express, or are too slow there; their tests use brute force.
 ORACLES = {"op10_exact_dedup": exact.ORACLE, "op11_collocations": collocations.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE}
