@@ -1,71 +1,241 @@
-"""Noise-contrastive token embeddings.
+"""Noise-contrastive token embeddings, trained in blocks of ids with state that outlives a task.
 
-The numeric inner loop is numpy with Adam inside executors, over sorted example batches; several partitions each train a copy
-and the copies are averaged after every epoch, so a step's memory is one pair of matrices in each task.
+Queries and contexts have a table each: (id, x, m, v, t), a vector, Adam's two moments of it and how often it has been
+stepped. Ids are dealt into blocks by their remainder. An epoch has as many rounds as there are blocks; in round s, cell i holds query block i
+and context block i + s, so no two cells of a round share a row, and they can run anywhere in any order with one result. A
+task streams a cell: its states come first, then its examples in their order, then it gives the states back. So it holds two blocks and one minibatch,
+the driver holds nothing of the vocabulary's size, and neither partitions nor Arrow batches change a weight.
+
+Adam steps only the rows that a minibatch touches, with their own step counts. With one block and examples in order of their signal, a minibatch of
+batch * (1 + ratio) rows is that many signals, each with its noise. A token that very many examples share makes its cell's stream long (not large);
+down-sampling is what shortens it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-
-def initial(n: int, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.normal(0, 0.1, (n, dims)), rng.normal(0, 0.1, (n, dims))
-
-
-class Adam:
-    def __init__(self, rate: float = 0.001):
-        self.rate, self.t, self.m, self.v = rate, 0, {}, {}
-
-    def step(self, name: str, value: np.ndarray, gradient: np.ndarray) -> None:
-        m = self.m[name] = 0.9 * self.m.get(name, 0) + 0.1 * gradient
-        v = self.v[name] = 0.999 * self.v.get(name, 0) + 0.001 * gradient**2
-        value -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def train_batches(query, context, signal, w: np.ndarray, c: np.ndarray, batch: int, rate: float) -> float:
-    """One pass in place; the mean loss of a signal example."""
-    adam, losses = Adam(rate), []
-    for at in range(0, len(query), batch):
-        q, x, y = query[at : at + batch], context[at : at + batch], signal[at : at + batch]
-        s = 1 / (1 + np.exp(-np.clip((w[q] * c[x]).sum(1), -30, 30)))
-        n = max(1, int(y.sum()))
-        losses.append(-(np.log(s[y == 1] + 1e-12).sum() + np.log(1 - s[y == 0] + 1e-12).sum()) / n)
-        d = ((s - y) / n)[:, None]
-        gw, gc = np.zeros_like(w), np.zeros_like(c)
-        np.add.at(gw, q, d * c[x])
-        np.add.at(gc, x, d * w[q])
-        adam.t += 1
-        adam.step("w", w, gw)
-        adam.step("c", c, gc)
-    good = [x for x in losses if not np.isnan(x)]
-    return float(np.mean(good)) if good else float("nan")
-
-
-def train(examples: DataFrame, size: int, dims: int = 100, epochs: int = 10, batch: int = 1000, rate: float = 0.01, seed: int = 42, copies: int = 1) -> tuple[DataFrame, list[float]]:
-    """(id, w, c) and the loss of each epoch from examples (ord, query, context, is_signal)."""
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from strandloom.functions.rng import uniform
+from strandloom.sources import checkpoints
+from strandloom.sources.scratch import discard, stored
+
+# Adam's usual rates and its guard against division by zero.
+BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
+STATE = "id long, x array<double>, m array<double>, v array<double>, t long"
+CELL = "side int, id long, x array<double>, m array<double>, v array<double>, t long"
+QUERY, CONTEXT, LOSS = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Settings:
+    dims: int = 100
+    epochs: int = 10
+    #: Rows of a minibatch, noise included.
+    batch: int = 1000
+    rate: float = 0.001
+    blocks: int = 8
+    seed: int = 42
+    scale: float = 0.1
+
+    def __post_init__(self):
+        if min(self.dims, self.batch, self.blocks) < 1 or self.epochs < 0:
+            raise ValueError("dims, batch and blocks must be at least 1, epochs at least 0")
+
+
+def normal(tag: str, seed: int, *keys: Column) -> Column:
+    """A standard normal draw keyed by the columns (Box-Muller)."""
+    u, v = uniform(f"{tag}-u", seed, *keys), uniform(f"{tag}-v", seed, *keys)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def initial_states(spark: SparkSession, size: int, side: str, settings: Settings, given: DataFrame | None = None) -> DataFrame:
+    """States of ids 0 .. size - 1: drawn by id and dimension, or given vectors (id, x), which must be there for every id."""
+    dims = settings.dims
+    if given is None:
+        rows = spark.range(size).select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.lit(settings.scale) * normal(f"init-{side}", settings.seed, F.col("id"), k)).alias("x"))
+    else:
+        wrong = F.raise_error(F.concat(F.lit(f"no vector of {dims} numbers for {side} "), F.col("id").cast("string"))).cast("array<double>")
+        rows = spark.range(size).join(given.select("id", F.col("x").cast("array<double>").alias("_x")), "id", "left").select("id", F.when(F.size("_x") == dims, F.col("_x")).otherwise(wrong).alias("x"))
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return rows.select("id", "x", zero.alias("m"), zero.alias("v"), F.lit(0).cast("long").alias("t"))
+
+
+class Block:
+    """The states of a block's ids, dense; ``at`` finds their rows."""
+
+    def __init__(self, dims: int):
+        self.dims, self.parts = dims, []
+        self.ids = self.x = self.m = self.v = self.t = None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.parts.append(rows)
+
+    def ready(self) -> None:
+        def column(k):
+            return pa.chunked_array([p.column(k) for p in self.parts]).combine_chunks() if self.parts else None
+
+        ids = column(0)
+        self.ids = np.zeros(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
+        self.x, self.m, self.v = ((np.zeros((0, self.dims)) if ids is None else np.array(column(k).flatten()).reshape(-1, self.dims)) for k in (1, 2, 3))
+        self.t = np.zeros(0, np.int64) if ids is None else np.array(column(4))
+        order = np.argsort(self.ids)
+        self.ids, self.x, self.m, self.v, self.t = (a[order] for a in (self.ids, self.x, self.m, self.v, self.t))
+        self.parts = []
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        rows = np.searchsorted(self.ids, ids)
+        if len(ids) and (rows.max(initial=0) >= len(self.ids) or (self.ids[rows] != ids).any()):
+            raise ValueError("an example has an id beyond the vocabulary")
+        return rows
+
+    def step(self, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """Adam on the touched rows; gradient has a row for each."""
+        t = self.t[rows] = self.t[rows] + 1
+        m = self.m[rows] = BETA1 * self.m[rows] + (1 - BETA1) * gradient
+        v = self.v[rows] = BETA2 * self.v[rows] + (1 - BETA2) * gradient**2
+        self.x[rows] -= rate * (m / (1 - BETA1**t)[:, None]) / (np.sqrt(v / (1 - BETA2**t)[:, None]) + EPSILON)
+
+    def rows(self, side: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), 2000):
+            part = slice(i, i + 2000)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(a[part].reshape(-1)), self.dims).cast(pa.list_(pa.float64())) for a in (self.x, self.m, self.v)]
+            n = len(self.ids[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, side, np.int32)), pa.array(self.ids[part]), *lists, pa.array(self.t[part])], names=["side", "id", "x", "m", "v", "t"])
+
+
+def minibatch(queries: Block, contexts: Block, query: np.ndarray, context: np.ndarray, signal: np.ndarray, rate: float) -> float:
+    """One step in place; the loss for each signal row, or for the batch if it has none."""
+    q, c = queries.at(query), contexts.at(context)
+    xq, xc = queries.x[q], contexts.x[c]
+    s = 1 / (1 + np.exp(-np.clip((xq * xc).sum(axis=1), -30, 30)))
+    n = max(1, int(signal.sum()))
+    loss = -(np.log(s[signal] + 1e-12).sum() + np.log(1 - s[~signal] + 1e-12).sum()) / n
+    d = ((s - signal) / n)[:, None]
+    for block, rows, gradient in ((queries, q, d * xc), (contexts, c, d * xq)):
+        touched, of = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(touched), block.dims))
+        np.add.at(total, of, gradient)
+        block.step(touched, total, rate)
+    return float(loss)
+
+
+def _run_cells(settings: Settings):
+    """mapInArrow over rows (cell, kind, query, context, signal, id, x, m, v, t) sorted by cell, kind and the examples' order."""
+
+    def run(batches):
+        cell, blocks, held, losses = None, None, None, None
+
+        def steps(everything: bool):
+            nonlocal held
+            while len(held[0]) >= settings.batch or (everything and len(held[0])):
+                now, held = [h[: settings.batch] for h in held], [h[settings.batch :] for h in held]
+                losses.append(minibatch(*blocks, *now, settings.rate))
+
+        def done():
+            for b in blocks:
+                if b.ids is None:
+                    b.ready()
+            steps(True)
+            for side in (QUERY, CONTEXT):
+                yield from blocks[side].rows(side)
+            good = [x for x in losses if not np.isnan(x)]
+            row = [pa.array([LOSS], pa.int32()), pa.array([int(cell)]), *(pa.array([x], pa.list_(pa.float64())) for x in ([float(np.sum(good)), float(len(good))], [], [])), pa.array([len(losses)])]
+            yield pa.RecordBatch.from_arrays(row, names=["side", "id", "x", "m", "v", "t"])
+
+        for got in batches:
+            cells, kinds = (got.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])]) if len(cells) else []
+            for start, stop in zip(cuts, [*cuts[1:], len(cells)], strict=True) if len(cells) else ():
+                if cells[start] != cell:
+                    if cell is not None:
+                        yield from done()
+                    cell, blocks, losses = cells[start], (Block(settings.dims), Block(settings.dims)), []
+                    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+                part = got.slice(start, stop - start)
+                if kinds[start] < 2:
+                    blocks[kinds[start]].add(pa.RecordBatch.from_arrays([part.column(k) for k in range(5, 10)], names=["id", "x", "m", "v", "t"]))
+                    continue
+                for b in blocks:
+                    if b.ids is None:
+                        b.ready()
+                held = [np.concatenate([h, part.column(k).to_numpy(zero_copy_only=False)]) for h, k in zip(held, (2, 3, 4), strict=True)]
+                steps(False)
+        if cell is not None:
+            yield from done()
+
+    return run
+
+
+def _round(queries: DataFrame, contexts: DataFrame, examples: DataFrame, shift: int, settings: Settings, name: str) -> DataFrame:
+    """Stored rows of CELL: the states after a round, and each cell's losses."""
+    blocks = settings.blocks
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("query", "long"), ("context", "long"), ("signal", "boolean"))]
+    state = ["id", "x", "m", "v", "t"]
+    first = F.lit(None).cast("long").alias("ord")
+    mine = F.pmod("id", F.lit(blocks)).cast("int")
+    parts = queries.select(mine.alias("cell"), F.lit(QUERY).alias("kind"), first, *none, *state)
+    parts = parts.union(contexts.select(F.pmod(mine - shift, F.lit(blocks)).alias("cell"), F.lit(CONTEXT).alias("kind"), first, *none, *state))
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("x", "array<double>"), ("m", "array<double>"), ("v", "array<double>"), ("t", "long"))]
+    parts = parts.union(examples.where(F.pmod(F.col("context") - F.col("query"), F.lit(blocks)) == shift).select(F.pmod("query", F.lit(blocks)).cast("int").alias("cell"), F.lit(2).alias("kind"), "ord", "query", "context", "signal", *empty))
+    order = ["cell", "kind", "ord", "query", "context", "signal"]
+    dealt = parts.repartition(blocks, "cell").sortWithinPartitions(*order).drop("ord")
+    return stored(queries.sparkSession, dealt.mapInArrow(_run_cells(settings), CELL), name)
+
+
+@dataclass
+class Trained:
+    """Stored tables (id, x, m, v, t) and the mean loss of a minibatch in each epoch."""
+
+    queries: DataFrame
+    contexts: DataFrame
+    losses: list[float]
+
+    def embeddings(self) -> DataFrame:
+        """(id, w, c) of the ids that either side has."""
+        return self.queries.select("id", F.col("x").alias("w")).join(self.contexts.select("id", F.col("x").alias("c")), "id", "full")
+
+    def embed(self, ids: DataFrame, id_col: str = "id") -> DataFrame:
+        """ids with the query vector w of their id; null for one that isn't in the vocabulary."""
+        return ids.join(self.queries.select(F.col("id").alias("_id"), F.col("x").alias("w")), F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+def train(examples: DataFrame, size: int | tuple[int, int], settings: Settings = Settings(), given: tuple[DataFrame | None, DataFrame | None] = (None, None), save_dir: str | None = None, on_round: Callable[[int, int, float], None] | None = None) -> Trained:
+    """Trains on examples (ord, query, context, is_signal); size is the number of ids, or one number for queries and one for contexts.
+
+    With save_dir each epoch is saved and committed there, and a start goes on after the last committed epoch; an interrupted epoch
+    is run again from its start, with the same result. on_round gets the epoch, the round and the mean loss of its minibatches.
+    """
     spark = examples.sparkSession
-    w, c = initial(size, dims, seed)
-    losses = []
-    dealt = examples.select("ord", "query", "context", F.col("is_signal").cast("int").alias("y")).repartition(copies, F.col("ord") % copies).sortWithinPartitions("ord")
-    for _ in range(epochs):
-        start = spark.sparkContext.broadcast((w, c))
-
-        def run(parts, start=start):
-            own_w, own_c = (m.copy() for m in start.value)
-            total, n = 0.0, 0
-            for p in parts:
-                total += train_batches(p["query"].to_numpy(), p["context"].to_numpy(), p["y"].to_numpy(), own_w, own_c, batch, rate) * len(p)
-                n += len(p)
-            if n:
-                yield pd.DataFrame({"id": np.arange(size), "w": list(own_w), "c": list(own_c), "loss": total / n})
-
-        rows = dealt.mapInPandas(run, "id int, w array<double>, c array<double>, loss double").toPandas()
-        n = max(1, len(rows) // size)
-        w = np.stack(rows["w"]).reshape(n, size, dims).mean(0) if len(rows) else w
-        c = np.stack(rows["c"]).reshape(n, size, dims).mean(0) if len(rows) else c
-        losses.append(float(rows["loss"].mean()) if len(rows) else float("nan"))
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "w": w.tolist(), "c": c.tolist()}), "id int, w array<double>, c array<double>"), losses
+    sizes = size if isinstance(size, tuple) else (size, size)
+    rows = stored(spark, examples.select(F.col("ord").cast("long").alias("ord"), F.col("query").cast("long").alias("query"), F.col("context").cast("long").alias("context"), F.col("is_signal").cast("boolean").alias("signal")), "examples")
+    begun, losses = 0, []
+    saved = checkpoints.last_epoch(spark, save_dir) if save_dir else None
+    if saved is None:
+        states = [stored(spark, initial_states(spark, n, side, settings, table), side) for n, side, table in zip(sizes, ("queries", "contexts"), given, strict=True)]
+    else:
+        begun, (queries, contexts), losses = saved.epoch + 1, (saved.table("queries"), saved.table("contexts")), list(saved.values["losses"])
+        if saved.values["settings"] != checkpoints.plain(settings, "epochs") or saved.values["sizes"] != list(sizes):
+            raise ValueError(f"the checkpoint under {save_dir} is of other settings")
+        states = [queries, contexts]
+    for epoch in range(begun, settings.epochs):
+        total = count = 0.0
+        for shift in range(settings.blocks):
+            out = _round(*states, rows, shift, settings, f"round-{epoch}-{shift}")
+            loss = out.where(F.col("side") == LOSS).agg(F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).first()
+            total, count = total + (loss[0] or 0.0), count + (loss[1] or 0.0)
+            if on_round and loss[1]:
+                on_round(epoch, shift, loss[0] / loss[1])
+            before, states = states, [out.where(F.col("side") == side).drop("side") for side in (QUERY, CONTEXT)]
+            states[0]._stored_at = out._stored_at
+            for old in before:
+                discard(spark, old)
+        losses.append(total / count if count else float("nan"))
+        if save_dir:
+            checkpoints.save_epoch(spark, save_dir, epoch, {"queries": states[0], "contexts": states[1]}, {"losses": losses, "settings": checkpoints.plain(settings, "epochs"), "sizes": list(sizes)})
+    discard(spark, rows)
+    return Trained(*states, losses)

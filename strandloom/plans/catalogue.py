@@ -579,5 +579,4 @@ def embed_train(s, d):
     noi = examples.noise(_signal(s, d), words, 15, i.SEED).withColumn("is_signal", F.lit(False))
     rows = sig.unionByName(noi).withColumn("ord", F.xxhash64("sent", "pos"))
     size = words.agg(F.max("id")).first()[0] + 1
-    trained, _ = model.train(rows, size, copies=8)
-    return trained.select("id", F.posexplode("w").alias("dim", "w"))
+    return model.train(rows, size, model.Settings(batch=16_000, blocks=2)).queries.select("id", F.posexplode("x").alias("dim", "w"))

@@ -85,7 +85,7 @@ def dense_counter_round_trip(s, d):
 
 
 @query(f"WITH {i.SQL_VECTORS} SELECT id, CAST(len(v) AS INT) AS dims, round(v[1], 6) AS first FROM x")
-def embedding_checkpoint_round_trip(s, d):
+def vector_checkpoint_round_trip(s, d):
     path = scratch.new_path(s, "embeddings")
     rows = i.vectors(s, d).select("id", F.col("v").cast("array<double>").alias("w"))
     for epoch in (0, 1):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.functions import tokens as tk
-from strandloom.operators import examples, model, sampling, vectors, vocab
+from strandloom.operators import examples, sampling, vectors, vocab
 from strandloom.sources import corpus, store
 
 FRUIT = [("apple", 4), ("banana", 8), ("orange", 6), ("pineapple", 3), ("grapefruit", 9)]
@@ -114,18 +114,6 @@ def test_contrastive_loss(spark):
     assert abs(got - want) < 1e-12
 
 
-def test_training_learns_pairs(spark):
-    pairs = [(i, 9 - i) for i in range(10)]
-    rng = np.random.default_rng(0)
-    rows = [(k, q, c, True) for k, (q, c) in enumerate(pairs * 40)] + [(k, int(rng.integers(10)), int(rng.integers(10)), False) for k in range(1600)]
-    df = spark.createDataFrame(rows, "ord long, query int, context int, is_signal boolean")
-    trained, losses = model.train(df, 10, dims=8, epochs=30, batch=100, rate=0.05)
-    got = trained.orderBy("id").toPandas()
-    score = np.stack(got["w"]) @ np.stack(got["c"]).T
-    assert losses[-1] < losses[0]
-    assert (score.argmax(1) == [c for _, c in pairs]).all()
-
-
 def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "ALX4_x_pos.fasta").write_text(">\nacgt\n>a\nACGTA\n\n>bad\nAC\nGT\n>\nTTTT\n")
     with gzip.open(tmp_path / "B_y_neg.fasta.gz", "wt") as f:
