@@ -59,28 +59,47 @@ def nearest_class(train: DataFrame, test: DataFrame, k: int, label: str) -> Data
     return votes.groupBy("query").agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("predicted"))
 
 
-def classifier(name: str, seed: int = 42):
-    """A pyspark.ml estimator on (features, label).
-
-    Ridge is least squares with an L2 term on the labels; L1 and stochastic-gradient linear models are logistic
-    regressions with that penalty; the support vector machine has L2 only.
+def class_report(predicted: DataFrame, label: str = "label", guess: str = "predicted") -> DataFrame:
+    """(label, support, precision, recall, f1) of every label that is true or predicted somewhere; a share of nothing is 0."""
+    counted = predicted.groupBy(label, guess).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select(F.explode(F.array(
+        F.struct(F.col(label).alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("given"), F.when(F.col(label) == F.col(guess), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col(guess).alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("given"), F.lit(0).cast("long").alias("hit")),
+    )).alias("r")).select("r.*")
+    summed = rows.groupBy("label").agg(F.sum("support").alias("support"), F.sum("given").alias("given"), F.sum("hit").alias("hit"))
+    share = lambda of: F.when(of > 0, F.col("hit") / of).otherwise(0.0)
+    return summed.select("label", "support", share(F.col("given")).alias("precision"), share(F.col("support")).alias("recall"), F.when(F.col("support") + F.col("given") > 0, 2 * F.col("hit") / (F.col("support") + F.col("given"))).otherwise(0.0).alias("f1"))
+
+
+def neighbour_labels(sentences: DataFrame, neighbours: DataFrame, counts: DataFrame, weighted: bool = False) -> DataFrame:
+    """(sent, label, n): for each token occurrence of a sentence (sent, token), the label counts (token, label, n) of all its neighbours, added up.
+
+    neighbours is (query, neighbour, score) for the distinct tokens. A sentence's tokens are counted, so a neighbour's labels are met once for each distinct token of a
+    sentence; counts that aren't positive are left out. weighted multiplies counts by score.
     """
+    bags = sentences.groupBy("sent", "token").agg(F.count(F.lit(1)).alias("times"))
+    labels = neighbours.join(counts, neighbours["neighbour"] == counts["token"]).groupBy("query", "label").agg(F.sum(F.col("score") * F.col("n") if weighted else F.col("n")).alias("n"))  # of a token's neighbours, added up before sentences meet them
+    return bags.join(labels, bags["token"] == labels["query"]).groupBy("sent", "label").agg(F.sum(F.col("times") * F.col("n")).alias("n")).where("n > 0")
+
+
+def classifier(name: str, seed: int = 42):
+    """An estimator on (features, label) with label 0 or 1: one of this package's linear models, or of pyspark.ml."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-    from pyspark.ml.feature import Binarizer, UnivariateFeatureSelector
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.classification import LinearSVC, NaiveBayes, RandomForestClassifier
+    from pyspark.ml.feature import Binarizer
+
+    from .linear import ProximalLinear, Ridge, SelectThenFit
 
-    logistic = lambda mix: LogisticRegression(regParam=0.01, elasticNetParam=mix, maxIter=30)
     makers = {
-        "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
+        "ridge": lambda: Ridge(1.0),
         "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed),
         "svm": lambda: LinearSVC(regParam=0.01, maxIter=30),
-        "svm_l1": lambda: logistic(1.0),
-        "sgd_l2": lambda: logistic(0.0),
-        "sgd_l1": lambda: logistic(1.0),
-        "sgd_elastic": lambda: logistic(0.15),
+        "svm_l1": lambda: ProximalLinear("squared_hinge", 0.01, 1.0),
+        "sgd_l2": lambda: ProximalLinear("hinge", 0.01, 0.0),
+        "sgd_l1": lambda: ProximalLinear("hinge", 0.01, 1.0),
+        "sgd_elastic": lambda: ProximalLinear("hinge", 0.01, 0.15),
         "bernoulli_nb": lambda: Pipeline(stages=[Binarizer(threshold=0.0, inputCol="features", outputCol="bits"), NaiveBayes(modelType="bernoulli", smoothing=0.01, featuresCol="bits")]),
-        "l1_pipeline": lambda: Pipeline(stages=[UnivariateFeatureSelector(featuresCol="features", outputCol="kept", labelCol="label", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(16), LinearSVC(featuresCol="kept", regParam=0.01, maxIter=30)]),
+        "l1_pipeline": lambda: SelectThenFit(ProximalLinear("squared_hinge", 0.01, 1.0), ProximalLinear("squared_hinge", 0.01, 0.0)),
     }
     if name not in makers:
         raise ValueError(f"no such classifier: {name}")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from strandloom.functions import rng, tokens as tk
 from strandloom.functions.vectors import dot, euclidean, sigmoid
-from strandloom.operators import evaluate, examples, model, sampling, tables, vectors, vocab
+from strandloom.operators import evaluate, examples, forest, model, sampling, tables, vectors, vocab
+from strandloom.sources import scratch, store
 
 from . import inputs as i, round_trips  # noqa: F401 - lists its queries
 from .registry import ORACLES, QUERIES, query  # noqa: F401 - ORACLES and QUERIES are read from here
@@ -381,6 +382,24 @@ def lsh_neighbours(s, d):
     return vectors.lsh_neighbours(v, v.where(F.col("id") % 20 == 0), 5)
 
 
+def _forest_neighbours(s, d, k):
+    v = i.vectors(s, d)
+    return forest.search(forest.build(v, seed=i.SEED), v.where(F.col("id") % 20 == 0), k)
+
+
+@query()
+def forest_neighbours(s, d):
+    """Neighbours from thirty random-projection trees."""
+    return _forest_neighbours(s, d, 10)
+
+
+@query("SELECT count(*) AS n, true AS enough FROM (SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE r <= 10")
+def forest_recall(s, d):
+    """Whether the trees find nine of ten of the true ten neighbours."""
+    found = forest.recall(_forest_neighbours(s, d, 10), _near(s, d, 10))
+    return found.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"{SQL_PAIRS} SELECT query, arg_max(context, (round(dot, 6), -context)) AS best FROM sc GROUP BY query")
 def argmax_context(s, d):
     return _pairs(s, d).groupBy("query").agg(F.max_by("context", F.struct(F.round("dot", 6), -F.col("context"))).alias("best"))
@@ -500,6 +519,46 @@ def clf_knn(s, d):
     return evaluate.nearest_class(v, v.where(F.col("id") % 20 == 0), 10, "label")
 
 
+@query(f"{SQL_NEAR}, v AS (SELECT query, x.label, count(*) AS n FROM r JOIN x ON r.neighbour = x.id WHERE rank <= 10 GROUP BY 1, 2), g AS (SELECT query, arg_max(label, (n, -label)) AS predicted FROM v GROUP BY query), t AS (SELECT x.label, predicted FROM g JOIN x ON x.id = query), l AS (SELECT label FROM t UNION SELECT predicted FROM t) SELECT l.label, count(*) FILTER (WHERE t.label = l.label) AS support, round(CASE WHEN count(*) FILTER (WHERE predicted = l.label) = 0 THEN 0 ELSE count(*) FILTER (WHERE t.label = l.label AND predicted = l.label) / count(*) FILTER (WHERE predicted = l.label) END, 6) AS precision, round(CASE WHEN count(*) FILTER (WHERE t.label = l.label) = 0 THEN 0 ELSE count(*) FILTER (WHERE t.label = l.label AND predicted = l.label) / count(*) FILTER (WHERE t.label = l.label) END, 6) AS recall, round(2 * count(*) FILTER (WHERE t.label = l.label AND predicted = l.label) / (count(*) FILTER (WHERE t.label = l.label) + count(*) FILTER (WHERE predicted = l.label)), 6) AS f1 FROM t, l GROUP BY l.label")
+def clf_report(s, d):
+    """Precision, recall and F1 of each class, for the classes that ten neighbours vote for."""
+    truth = i.vectors(s, d).select(F.col("id").alias("query"), "label")
+    report = evaluate.class_report(clf_knn(s, d).join(truth, "query"))
+    return report.select("label", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+SQL_VALIDATED = f"{SQL_NEAR.replace('WHERE a.id % 20 = 0', '')}, m AS (SELECT count(*) AS size FROM x), li AS (SELECT l_orderkey AS sent, l_partkey % size AS token, l_returnflag AS label, l_orderkey % 4 = 0 AS held FROM lineitem, m), lc AS (SELECT token, label, count(*) AS n FROM li WHERE NOT held GROUP BY 1, 2), nl AS (SELECT r.query, lc.label, sum(lc.n) AS n, sum(lc.n * score) AS w FROM (SELECT *, 1 - sqrt(greatest(0, 2 * (1 - similarity))) / 2 AS score FROM r WHERE rank <= 5) r JOIN lc ON r.neighbour = lc.token GROUP BY 1, 2), vd AS (SELECT li.sent, nl.label, CAST(sum(nl.n) AS BIGINT) AS n, round(sum(nl.w), 3) AS weight FROM li JOIN nl ON li.token = nl.query WHERE held GROUP BY 1, 2)"
+
+
+def _validated(s, d):
+    """Orders as sentences of parts, parts as tokens with vectors, return flags as labels: a quarter of the orders is held out."""
+    v = i.vectors(s, d)
+    size = v.count()
+    rows = i.table(s, d, "lineitem").select(F.col("l_orderkey").alias("sent"), (F.col("l_partkey") % size).alias("token"), F.col("l_returnflag").alias("label"))
+    counts = evaluate.label_counts(rows.where("sent % 4 <> 0"), "token", "label")
+    held = rows.where("sent % 4 = 0")
+    asked = v.join(held.select(F.col("token").alias("id")).distinct(), "id", "left_semi")  # a token is looked up once, however often it stands
+    near = scratch.stored(s, vectors.nearest(v, asked, 5, digits=6).withColumn("score", 1 - F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - F.col("similarity")))) / 2), "neighbours")
+    plain = evaluate.neighbour_labels(held, near, counts)
+    return plain.join(evaluate.neighbour_labels(held, near, counts, weighted=True).withColumnRenamed("n", "weight"), ["sent", "label"]), rows
+
+
+@query(f"{SQL_VALIDATED} SELECT * FROM vd")
+def validation_labels(s, d):
+    """The validation loop: neighbours of the distinct tokens of held-out sentences, their labels added up; saved and loaded."""
+    path = scratch.new_path(s, "validation")
+    store.save_results(_validated(s, d)[0], path)
+    return store.load_results(s, path).select("sent", "label", "n", F.round("weight", 3).alias("weight"))
+
+
+@query(f"{SQL_VALIDATED}, tr AS (SELECT sent, arg_max(label, (c, label)) AS label FROM (SELECT sent, label, count(*) AS c FROM li WHERE held GROUP BY 1, 2) GROUP BY sent), tp AS (SELECT sent, label FROM vd QUALIFY row_number() OVER (PARTITION BY sent ORDER BY n DESC, label) <= 2) SELECT count(*) AS n, count(tp.sent) AS n_hit, round(count(tp.sent) / count(*), 6) AS accuracy FROM tr LEFT JOIN tp ON tr.sent = tp.sent AND tr.label = tp.label")
+def validation_accuracy(s, d):
+    """How often a held-out sentence's label is among the two that its neighbours' labels put first."""
+    merged, rows = _validated(s, d)
+    truth = rows.where("sent % 4 = 0").groupBy("sent", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sent").agg(F.max_by("label", F.struct("c", "label")).alias("label"))
+    return evaluate.top_accuracy(evaluate.top_labels(merged, "sent", "label", 2), truth, "sent", "label").withColumn("accuracy", F.round("accuracy", 6))
+
+
 def _classified(name: str):
     def run(s, d):
         from pyspark.ml.functions import array_to_vector
@@ -507,8 +566,7 @@ def _classified(name: str):
         rows = sampling.split(i.vectors(s, d), 0.75, i.SEED, F.col("id"))
         data = rows.select("id", "is_train", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(F.col("v").cast("array<double>")).alias("features"))
         fitted = evaluate.classifier(name).fit(data.where("is_train"))
-        guess = F.col("prediction") if name != "ridge" else (F.col("prediction") >= 0.5).cast("double")
-        return fitted.transform(data.where("not is_train")).select("id", F.col("label").cast("int").alias("label"), guess.cast("int").alias("predicted"))
+        return fitted.transform(data.where("not is_train")).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
     run.__name__ = f"clf_{name}"
     return query()(run)
