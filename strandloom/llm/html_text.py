@@ -2,15 +2,16 @@
 
 The standard library's parser feeds events; each block of text between block-level tags is a line, with the tags that
 occurred in and before it. Text-to-tag ratios per line are smoothed by a Gaussian, and a threshold at the smoothed ratios'
-deviation splits lines into content and rest: a line over it selects the region that holds it. Regions are every article and main and,
-outside of those, every element that holds lines itself, such as the div around paragraphs. A selected region gives
-all its lines, so that a short paragraph between long ones isn't lost; so does each main or article around one: its heading may
-be all that stands beside an inner article. Lists, tables and quotations belong to the region around them where that holds other lines too.
+deviation clusters lines: a line over it is a core. Regions are every article and main and,
+outside of those, every element that holds lines itself, such as the div around paragraphs; lists, tables and quotations belong to the region around them where
+that holds other lines too. An article or main with a core is content as a whole, as is each one around it: its heading may
+be all that stands beside an inner article. Of any other region the cores are content, what stands between its first and its last, and beyond these the lines that
+follow on, while their smoothed ratios stay over EDGE of the threshold. So a short paragraph between long ones isn't lost, and a row of links at a region's end is.
 Structure can only veto: lines inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-count as ratio 0 and are never given, told by tag, role, or a class or id word.
+count as ratio 0 and are never given, told by tag, role, or a class or id: a word of the list, or several of which one is in the list and the others only say where or what part.
 
 Defined results: null and empty html give an empty text; broken markup is parsed as far as events go, and what the parser can't read as a
-declaration is a comment up to the next ``>``; repeated rows give repeated results; other columns are ignored.
+declaration is a comment up to the next ``>``; a comment that never ends goes to the page's end; pages of any length and any number of lines take time in proportion; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ SKIPPED = frozenset("nav footer aside form script style noscript template svg ma
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr address details summary".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing social comment comments disqus replies reply respond related recommended widget pagination pager toolbar".split())
+#: Words that only say where or which part, beside one of the above in a class or id.
+PLACE_WORDS = frozenset("area bar block body bottom box container content footer fixed global group header holder inner item items js left link links list main outer page panel post posts primary right row secondary section site slot sticky top unit user wrap wrapper".split())
+#: Share of the threshold down to which a region's lines go on beyond its cores.
+EDGE = 0.5
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,6 +44,11 @@ BLANK = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _names_skipped(name: str) -> bool:
+    words = [w for w in WORDS.findall(name) if not w.isdigit()]
+    return not SKIPPED_WORDS.isdisjoint(words) and all(w in SKIPPED_WORDS or w in PLACE_WORDS for w in words)
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, region, skipped) for each block."""
 
@@ -55,6 +65,10 @@ class Lines(HTMLParser):
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)  # such sections, like CDATA, mean nothing in HTML
 
+    def parse_comment(self, i, report=True):
+        end = self.rawdata.find("-->", i + 2)  # "<!-->" is a whole comment
+        return len(self.rawdata) if end < 0 else end + 3
+
     def parse_starttag(self, i):
         return super().parse_starttag(i) if self.rawdata.rfind(">") > i else -1  # a tag that never ends is not searched again and again
 
@@ -73,7 +87,7 @@ class Lines(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             return False
         for key, value in attrs:
-            if key in ("class", "id") and value and not SKIPPED_WORDS.isdisjoint(WORDS.findall(value.lower())):
+            if key in ("class", "id") and value and any(_names_skipped(name) for name in value.lower().split()):
                 return True
             if key == "role" and value and value.lower() in SKIPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
@@ -133,6 +147,8 @@ class Lines(HTMLParser):
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     """Gaussian smoothing over neighbouring lines."""
+    if sigma <= 0:
+        return list(values)
     reach = math.ceil(2 * sigma)
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     out = []
@@ -142,37 +158,59 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> list[bool]:
-    """Whether the smoothed ratio of each line is at or over the ratios' deviation."""
+def line_ratios(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> tuple[list[float], float]:
+    """The smoothed ratio of each line, and the threshold: their deviation, or the largest where that is less."""
     ratios = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines], sigma)
     mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    return [r >= min(threshold, max(ratios)) for r in ratios]
+    return ratios, min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
+
+
+def chosen(lines: list[tuple[str, int, int, bool]], regions: list[tuple[str, int]], sigma: float = 1.0) -> list[int]:
+    """Places of the content lines."""
+    ratios, threshold = line_ratios(lines, sigma)
+    whole = [tag in ("article", "main") for tag, _ in regions]
+    holder = list(range(len(regions)))  # the article or main around a region, or else itself
+    for r, (_, outer) in enumerate(regions):
+        if not whole[r] and outer and whole[holder[outer]]:
+            holder[r] = holder[outer]
+    members: dict[int, list[int]] = {}
+    for i, (_, _, region, skipped) in enumerate(lines):
+        if not skipped:
+            members.setdefault(holder[region], []).append(i)
+    cores = {r: [k for k, i in enumerate(own) if ratios[i] >= threshold] for r, own in members.items()}
+    kept = {r for r in members if cores[r]}
+    for region in list(kept):
+        outer = regions[region][1]
+        while outer:
+            if whole[outer]:
+                kept.add(outer)
+            outer = regions[outer][1]
+    out = []
+    for r in kept & members.keys():
+        own = members[r]
+        if whole[r]:
+            out += own
+            continue
+        first, last = cores[r][0], cores[r][-1]
+        while first and ratios[own[first - 1]] >= EDGE * threshold:
+            first -= 1
+        while last + 1 < len(own) and ratios[own[last + 1]] >= EDGE * threshold:
+            last += 1
+        out += own[first : last + 1]
+    return sorted(out)
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """Blocks of the page's content regions in page order, joined by blank lines."""
+    """Content lines of the page in page order, joined by blank lines."""
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines, regions = parser.lines, parser.regions
-    if not lines:
+    if not parser.lines:
         return ""
-    holder = list(range(len(regions)))  # the article or main around a region, or else itself
-    for r, (tag, outer) in enumerate(regions):
-        if tag not in ("article", "main") and outer and regions[holder[outer]][0] in ("article", "main"):
-            holder[r] = holder[outer]
-    kept = {holder[region] for (_, _, region, skipped), content in zip(lines, content_lines(lines, sigma), strict=True) if content and not skipped}
-    for region in list(kept):
-        outer = regions[region][1]
-        while outer:
-            if regions[outer][0] in ("article", "main"):
-                kept.add(outer)
-            outer = regions[outer][1]
-    return "\n\n".join(text for text, _, region, skipped in lines if holder[region] in kept and not skipped)
+    return "\n\n".join(parser.lines[i][0] for i in chosen(parser.lines, parser.regions, sigma))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

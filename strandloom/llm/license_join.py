@@ -123,7 +123,7 @@ class Join:
                         yield name, s, min(s + 2 * step, len(words)), common / len(own)
 
     def named(self, words: list[bytes], meets: list[tuple]) -> set[str]:
-        """Templates that name their blocks: all that meet one but those whose words are there for a better held one."""
+        """Templates that name their blocks: all that meet one but those whose words are there for a better held one, of equally held ones a larger one."""
         by: dict[int, list] = {}
         for m in meets:
             by.setdefault(m[1], []).append(m)
@@ -131,7 +131,7 @@ class Join:
         for s, group in by.items():
             distinct = set(words[s : group[0][2]]) if len(group) > 1 else set()
             for name, _, _, c in group:
-                for better in (n for n, _, _, x in group if x > c):
+                for better in (n for n, _, _, x in group if (x, len(self.own[n])) > (c, len(self.own[name]))):
                     beyond = self.own[name] - self.own[better]
                     present = len(beyond & distinct)
                     if not present or 2 * present < len(beyond):

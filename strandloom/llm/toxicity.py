@@ -1,13 +1,9 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are the words of a text and their beginnings of 4 to 7 letters, each counted once. Features are
-screened by their chi-square statistic over the labelled sample, computed on the executors; the MAX_FEATURES best are fitted. The
-logistic loss with an L1 term gets, for every sentence of the labelled sample that holds group terms, the squared change of its score when
+Features are the words of a text and their beginnings of 4 to 7 letters, each counted once; all that MIN_ROWS labelled rows of the sample hold are
+fitted. The logistic loss with an L1 term gets, for every sentence of the labelled sample that holds group terms, the squared change of its score when
 these are swapped for others of their kind, SWAPS times. This pulls the weights of such terms together, so a neutral mention doesn't raise a score.
-
-Group terms are a fixed list and, as corpora have names of their own, what the sample itself writes as names: words inside a sentence that are
-capitalised in at least NAME_SHARE of their places, in NAME_ROWS documents or more of label 0, and that are neutral:
-their share of documents differs at most NAME_RATIO-fold between the labels, so that insults are no names.
+Group terms are a fixed list; a sample without any of them is fitted as without the term.
 
 Training takes at most PER_CLASS labelled rows of each class (a documented bound); slope and shift are calibrated on one of FOLDS rows with weights fitted on
 the others. Scoring reads every whole text. Defined results: null and empty texts get the score of a text without features; repeated rows give
@@ -28,13 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import shared
 
 PER_CLASS = 4000
-MAX_FEATURES = 20_000
 MIN_ROWS = 4
 L1 = 2e-4
 COUNTERFACTUAL = 1.0
 SWAPS = 3
 FOLDS = 5
-NAME_SHARE, NAME_ROWS, NAME_RATIO = 0.75, 5, 3.0
 MODULUS, HELD = 3, 1
 
 #: Neutral terms that name groups; terms of one line are swapped for each other.
@@ -46,14 +40,12 @@ IDENTITY_TERMS = [
     ["deaf", "blind", "disabled", "autistic", "elderly", "young", "old"],
 ]
 WORD = re.compile(r"[^\W\d_]+")
-INSIDE = re.compile(r"(?:(?<=[^\W\d_] )|(?<=, ))([^\W\d_]+)")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def kinds_of(names: list[str]) -> dict[str, list[str]]:
-    """For each group term, the others of its kind; names are a kind of their own."""
-    known = {w for line in IDENTITY_TERMS for w in line}
-    return {w: [x for x in line if x != w] for line in [*IDENTITY_TERMS, sorted(set(names) - known)] for w in line if len(line) > 1}
+def kinds_of(lines: list[list[str]]) -> dict[str, list[str]]:
+    """For each group term, the others of its kind."""
+    return {w: [x for x in line if x != w] for line in lines for w in line if len(line) > 1}
 
 
 def features_of_word(word: str, terms) -> list[str]:
@@ -120,31 +112,6 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[list[int], l
     return w
 
 
-def _names(sample: DataFrame, n0: int, n1: int) -> list[str]:
-    """Neutral names of the sample; counted on the executors."""
-
-    def counted(batches):
-        for b in batches:
-            seen: dict = {}
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: dict = {}
-                for word in INSIDE.findall(text):
-                    places = own.setdefault(word.lower(), [0, 0])
-                    places[0] += 1
-                    places[1] += word[:1].isupper() and word[1:].islower()
-                for word, (places, upper) in own.items():
-                    total = seen.setdefault(word, [0, 0, 0, 0])
-                    total[0] += places
-                    total[1] += upper
-                    total[2 + label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4))], names=["f", "places", "upper", "r0", "r1"])
-
-    rows = sample.select("label", "text").mapInArrow(counted, "f string, places long, upper long, r0 long, r1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("places", "upper", "r0", "r1")))
-    share0, share1 = (F.col("r0") + 1) / float(n0 + 1), (F.col("r1") + 1) / float(n1 + 1)
-    rows = rows.where((F.col("upper") >= NAME_SHARE * F.col("places")) & (F.col("r0") >= NAME_ROWS) & (share1 <= NAME_RATIO * share0) & (share0 <= NAME_RATIO * share1))
-    return sorted(r["f"] for r in rows.select("f").collect())
-
-
 def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, strength: float = COUNTERFACTUAL) -> dict | None:
     """Weights by feature, and the intercept; None without labels of both classes."""
     sample = shared.stored(spark, shared.labelled_sample(spark, docs, labels, "toxic", MODULUS, HELD, per_class), "toxic-sample")
@@ -152,28 +119,24 @@ def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     if len(sizes) < 2:
         return None
     shared.bound_batches(spark)
-    n0, n1 = sizes[0], sizes[1]
-    kinds = kinds_of(_names(sample, n0, n1))
+    kinds = kinds_of(IDENTITY_TERMS)
 
     def counted(batches):
         for b in batches:
-            seen: dict = {}
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in features(text, kinds):
-                    seen.setdefault(f, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "n0", "n1"])
-
-    table = sample.select("label", "text").mapInArrow(counted, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_ROWS)
-    a, b = F.col("n1"), F.col("n0")
-    chi = F.pow(a * F.lit(float(n0)) - b * F.lit(float(n1)), 2.0) / ((a + b) * (F.lit(float(n0 + n1)) - a - b) + 1)
-    kept = table.withColumn("chi", F.when(F.col("f").isin(sorted(kinds)), float("inf")).otherwise(chi)).orderBy(F.desc("chi"), "f").limit(MAX_FEATURES)
-    index = {f: i for i, f in enumerate(r["f"] for r in kept.select("f").collect())}
+            seen: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                seen.update(features(text, kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
+
+    table = sample.select("text").mapInArrow(counted, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_ROWS) | F.col("f").isin(sorted(kinds)))
+    index = {f: i for i, f in enumerate(table.select("f").orderBy("f").toArrow().column(0).to_pylist())}  # bounded with the sample
 
     def encoded(batches):
         for b in batches:
             own = [sorted({index[f] for f in features(text, kinds) if f in index}) for text in b.column(2).to_pylist()]
             rest = [zlib.crc32(f"fit {i}".encode()) % FOLDS == 0 for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(rest)], names=["label", "own", "rest"])
+            order = [f"{i}" for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(rest), pa.array(order)], names=["label", "own", "rest", "id"])
 
     def changed(batches):
         for b in batches:
@@ -182,22 +145,23 @@ def train(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
                 pairs.update((tuple(index[w] for w in go if w in index), tuple(index[w] for w in come if w in index)) for go, come in swaps(text, kinds))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)] + [pa.array(list(pairs.values()), pa.int64())], names=["go", "come", "n"])
 
-    got = sample.select("doc_id", "label", "text").mapInArrow(encoded, "label int, own array<bigint>, rest boolean").collect()
-    got.sort(key=lambda r: (r["label"], r["own"], r["rest"]))
+    got = sample.select("doc_id", "label", "text").mapInArrow(encoded, "label int, own array<int>, rest boolean, id string").orderBy("label", "id").toArrow().combine_chunks()
+    own = [np.array(r.values.to_numpy(), dtype=np.int64) if r.values is not None else np.empty(0, np.int64) for r in got.column("own")]
+    y, rest = got.column("label").to_numpy().astype(float), got.column("rest").to_numpy(zero_copy_only=False)
     pairs = sample.select("text").mapInArrow(changed, "go array<bigint>, come array<bigint>, n long").groupBy("go", "come").agg(F.sum("n").alias("n")).collect()
     changes = sorted((list(r["go"]), list(r["come"]), r["n"]) for r in pairs if r["go"] or r["come"])
     shared.discard(spark, sample)
 
-    def fit(rows):
-        return _fit([np.array(r["own"], dtype=np.int64) for r in rows], np.array([r["label"] for r in rows], dtype=float), changes, len(index), strength)
+    def fit(places):
+        return _fit([own[i] for i in places], y[places], changes, len(index), strength)
 
-    w = fit(got)
-    most, rest = [r for r in got if not r["rest"]], [r for r in got if r["rest"]]
-    if min(len({r["label"] for r in most}), len({r["label"] for r in rest})) < 2:  # too few rows to keep any from a fit
-        most, rest = got, got
-    v = fit(most) if most is not got else w
-    z = np.array([v[np.array(r["own"], dtype=np.int64)].sum() for r in rest]) + v[-1]
-    y = np.array([r["label"] for r in rest], dtype=float)
+    w = fit(np.arange(len(y)))
+    most, held = np.flatnonzero(~rest), np.flatnonzero(rest)
+    if min(len(set(y[most])), len(set(y[held]))) < 2:  # too few rows to keep any from a fit
+        held, v = np.arange(len(y)), w
+    else:
+        v = fit(most)
+    z, y = np.array([v[own[i]].sum() for i in held]) + v[-1], y[held]
     share = labels.where(F.col("toxic").isin(0, 1) & (shared.remainder("doc_id", MODULUS) != HELD)).agg(F.avg("toxic")).first()[0]
     slope, shift = _calibrated(z, y, share)
     return {"weights": {f: float(w[i]) for f, i in index.items() if w[i]}, "intercept": float(w[-1]), "slope": slope, "shift": shift, "terms": frozenset(kinds), "changes": len(changes)}
