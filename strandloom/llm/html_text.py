@@ -2,7 +2,7 @@
 
 The standard library's parser feeds events; each block of text between block-level tags is a line, with the tags that
 occurred in and before it. Text-to-tag ratios per line are smoothed by a Gaussian, and a threshold at the smoothed ratios'
-deviation clusters lines: a line over it is a core. Regions are every article and main and,
+deviation clusters lines: a line over it, whose own ratio is over EDGE of it, is a core (if there is none, the lines of the largest ratio are). Regions are every article and main and,
 outside of those, every element that holds lines itself, such as the div around paragraphs; lists, tables and quotations belong to the region around them where
 that holds other lines too. An article or main with a core is content as a whole, as is each one around it: its heading may
 be all that stands beside an inner article. Of any other region the cores are content, what stands between its first and its last, and beyond these the lines that
@@ -35,7 +35,7 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 SKIPPED_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing social comment comments disqus replies reply respond related recommended widget pagination pager toolbar".split())
 #: Words that only say where or which part, beside one of the above in a class or id.
 PLACE_WORDS = frozenset("area bar block body bottom box container content footer fixed global group header holder inner item items js left link links list main outer page panel post posts primary right row secondary section site slot sticky top unit user wrap wrapper".split())
-#: Share of the threshold down to which a region's lines go on beyond its cores.
+#: Share of the threshold that a core has before smoothing, and down to which a region's lines go on beyond its cores.
 EDGE = 0.5
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -158,9 +158,13 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def raw_ratios(lines: list[tuple[str, int, int, bool]]) -> list[float]:
+    return [0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines]
+
+
 def line_ratios(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> tuple[list[float], float]:
     """The smoothed ratio of each line, and the threshold: their deviation, or the largest where that is less."""
-    ratios = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines], sigma)
+    ratios = smoothed(raw_ratios(lines), sigma)
     mean = sum(ratios) / len(ratios)
     return ratios, min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
 
@@ -177,7 +181,12 @@ def chosen(lines: list[tuple[str, int, int, bool]], regions: list[tuple[str, int
     for i, (_, _, region, skipped) in enumerate(lines):
         if not skipped:
             members.setdefault(holder[region], []).append(i)
-    cores = {r: [k for k, i in enumerate(own) if ratios[i] >= threshold] for r, own in members.items()}
+    raw = raw_ratios(lines)
+    core = {i for own in members.values() for i in own if ratios[i] >= threshold and raw[i] >= EDGE * threshold}
+    if not core:
+        best = max((raw[i] for own in members.values() for i in own), default=0.0)
+        core = {i for own in members.values() for i in own if raw[i] == best}
+    cores = {r: [k for k, i in enumerate(own) if i in core] for r, own in members.items()}
     kept = {r for r in members if cores[r]}
     for region in list(kept):
         outer = regions[region][1]

@@ -227,8 +227,8 @@ def test_work_on_sets_that_share_rare_passages_is_bounded(spark, monkeypatch):
         rows = [(i, f"{long[i % len(long)]} {short[i % 70]} {prose(12, rng)}") for i in range(n)]
         made.clear()
         assert joined(spark, rows) == brute_components(rows)
-        counts.append(sum(m.count() for m in made))
-    assert counts[1] <= 3 * counts[0] + 50
+        counts.append(sum(m.count() for m in made) / n)
+    assert max(counts) <= 2  # pairs tried for each document
 
 
 def test_tree_allows_every_similar_pair():
