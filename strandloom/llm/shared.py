@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strandloom.sources.scratch import discard, shared_dir, stored  # noqa: F401 - the operators take them from here
+
 #: Rows of a narrow id table up to which it is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that an operator works on at a time.
@@ -20,53 +18,6 @@ RUN_BYTES = 2 << 20
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 4 << 20
 
-_left: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may go without: one process then reads and writes."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
-        base = tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(spark)}/strandloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _left:
-        atexit.register(_remove_left, spark)
-    _left.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a stored table that no later step reads."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        _delete(spark, path)
-        with contextlib.suppress(ValueError):
-            _left.remove(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_left(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):
-        for path in _left:
-            _delete(spark, path)
-
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
