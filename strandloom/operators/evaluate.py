@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import ranges
 
+#: Rows of label counts up to which they are broadcast.
+BROADCAST_COUNTS = 200_000
+
 
 def label_counts(rows: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, n)."""
@@ -13,8 +16,9 @@ def label_counts(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def merge_label_counts(neighbours: DataFrame, counts: DataFrame, group: str, key: str, label: str) -> DataFrame:
-    """(group, label, n): counts of all of a group's keys, positive sums only."""
-    return neighbours.join(counts, key).groupBy(group, label).agg(F.sum("n").alias("n")).where("n > 0")
+    """(group, label, n): counts of all of a group's keys, positive sums only. The counts are broadcast where they are counted to be few."""
+    few = counts.limit(BROADCAST_COUNTS + 1).count() <= BROADCAST_COUNTS
+    return neighbours.join(F.broadcast(counts) if few else counts, key).groupBy(group, label).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def top_labels(merged: DataFrame, group: str, label: str, k: int) -> DataFrame:

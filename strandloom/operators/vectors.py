@@ -96,11 +96,13 @@ def density_histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def random_projection(counts: DataFrame, sentence: str, token: str, n: str, dims: int, seed: int) -> DataFrame:
-    """(sentence, dim, value): sums of counts times normal draws keyed by token and dimension (Box-Muller)."""
-    spread = counts.select(sentence, token, n, F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"))
-    u, v = rng.uniform("proj-u", seed, F.col(token), F.col("dim")), rng.uniform("proj-v", seed, F.col(token), F.col("dim"))
-    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
-    return spread.groupBy(sentence, "dim").agg((F.sum(F.col(n) * normal) / F.sqrt(F.lit(float(dims)))).alias("value"))
+    """(sentence, dim, value): sums of counts times normal draws keyed by token and dimension (Box-Muller), which are made once a token."""
+    u, v = (lambda k, tag=tag: rng.uniform(tag, seed, F.col(token), k) for tag in ("proj-u", "proj-v"))
+    normals = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.sqrt(-2 * F.log(1 - u(k))) * F.cos(2 * F.pi() * v(k)))
+    drawn = counts.select(token).distinct().withColumn("_z", normals)
+    sums = [(F.sum(F.col(n) * F.col("_z")[k]) / F.sqrt(F.lit(float(dims)))).alias(f"_{k}") for k in range(dims)]
+    wide = counts.join(drawn, token).groupBy(sentence).agg(*sums)
+    return wide.select(sentence, F.posexplode(F.array(*(F.col(f"_{k}") for k in range(dims)))).alias("dim", "value"))
 
 
 def principal_components(rows: DataFrame, id_col: str, vec_col: str, k: int = 3) -> DataFrame:

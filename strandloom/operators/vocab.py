@@ -43,7 +43,12 @@ def from_list(spark: SparkSession, tokens: list[str], reverse_complement: bool =
     """A vocabulary from tokens in their order, counts zero; UNK must come first and gets id 0. Later copies of a token or class share the first one's id."""
     if not tokens or tokens[0] != UNK:
         raise ValueError("the first token must be UNK")
-    rows = spark.createDataFrame([(t, k) for k, t in enumerate(tokens[1:])], "token string, first long").groupBy("token").agg(F.min("first").alias("first"))
+    return from_listed(spark.createDataFrame([(t, k) for k, t in enumerate(tokens[1:])], "token string, place long"), reverse_complement)
+
+
+def from_listed(listed: DataFrame, reverse_complement: bool = False) -> DataFrame:
+    """from_list for a list of any length, (token, place); UNK gets id 0 wherever it stands."""
+    rows = listed.where(F.col("token").isNotNull()).groupBy("token").agg(F.min("place").alias("first"))
     return with_unk(build(rows.withColumn("count", F.lit(0).cast("long")), "first", reverse_complement))
 
 

@@ -145,27 +145,37 @@ def unigram_prob(s, d):
 SQL_KEPT = f"WITH {i.SQL_WORD_COUNTS}, p AS (SELECT token, CAST(dense_rank() OVER (ORDER BY token) AS INT) AS id, count FROM c WHERE count >= {i.MIN_FREQUENCY} AND token <> 'UNK')"
 
 
-def _kept(s, d):
-    kept = i.word_counts(s, d).where(f"count >= {i.MIN_FREQUENCY}")
-    return vocab.build(kept)
+def _bags(s, d):
+    """Stored (doc_id, token, n): texts are tokenised once for the vocabulary and for what looks it up."""
+    return scratch.stored(s, i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")), "bags")
+
+
+def _kept(counts):
+    return vocab.build(counts.where(f"count >= {i.MIN_FREQUENCY}"))
+
+
+def _counts_of(bags):
+    return bags.groupBy("token").agg(F.sum("n").alias("count"))
 
 
 @query(f"{SQL_KEPT} SELECT t.doc_id, coalesce(p.id, 0) AS id, count(*) AS n FROM t LEFT JOIN p ON t.token = p.token GROUP BY 1, 2")
 def encode_ids(s, d):
-    bags = i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))  # a word meets the vocabulary once a document
-    return vocab.look_up(bags, _kept(s, d)).groupBy("doc_id", "id").agg(F.sum("n").alias("n"))
+    bags = _bags(s, d)  # a word meets the vocabulary once a document
+    return vocab.look_up(bags, _kept(_counts_of(bags))).groupBy("doc_id", "id").agg(F.sum("n").alias("n"))
 
 
 @query(f"{SQL_KEPT} SELECT t.doc_id, t.token, count(*) AS n, coalesce(any_value(p.count), 0) AS frequency FROM t LEFT JOIN p ON t.token = p.token GROUP BY 1, 2")
 def token_frequencies(s, d):
     """Frequencies of the words of documents, 0 for those that the vocabulary lacks."""
-    bags = i.word_tokens(s, d).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return vocab.look_up(bags, _kept(s, d)).select("doc_id", "token", "n", F.col("count").alias("frequency"))
+    bags = _bags(s, d)
+    return vocab.look_up(bags, _kept(_counts_of(bags))).select("doc_id", "token", "n", F.col("count").alias("frequency"))
 
 
-@query("SELECT * FROM (VALUES ('UNK', 'UNK', 0), ('ACGT', 'ACGT', 1), ('TTGA', 'TCAA', 2), ('TCAA', 'TCAA', 2), ('CCCC', 'CCCC', 3)) v(token, canon, id)")
+@query("WITH f AS (SELECT p_type AS token, min(p_partkey) AS first FROM part WHERE p_type <> 'UNK' GROUP BY 1) SELECT token, token AS canon, CAST(row_number() OVER (ORDER BY first, token) AS INT) AS id FROM f UNION ALL SELECT 'UNK', 'UNK', 0")
 def vocab_from_list(s, d):
-    return vocab.from_list(s, ["UNK", "ACGT", "TTGA", "ACGT", "TCAA", "CCCC"], reverse_complement=True).select("token", "canon", "id")
+    """A vocabulary from a list of tokens in its order, here the types of parts by key; later copies share the first one's id."""
+    listed = i.table(s, d, "part").select(F.col("p_type").alias("token"), F.col("p_partkey").alias("place"))
+    return vocab.from_listed(listed).select("token", "canon", "id")
 
 
 @query(f"WITH {i.SQL_EVENT_VOCAB} SELECT token, id FROM v UNION ALL SELECT 'UNK', 0")
@@ -175,14 +185,17 @@ def vocab_key_values(s, d):
 
 @query(f"WITH {i.SQL_KMER_COUNTS}, v AS (SELECT token, dense_rank() OVER (ORDER BY canon) AS id FROM cc), r AS (SELECT id, min(token) AS token FROM v GROUP BY id) SELECT CAST(r.id AS INT) AS id, r.token, {i.sql_rc('r.token')} AS rc, count(*) AS n FROM k JOIN v ON k.kmer = v.token JOIN r ON v.id = r.id GROUP BY 1, 2, 3")
 def decode_ids(s, d):
-    words = vocab.build(i.kmer_counts(s, d), reverse_complement=True)
-    counted = vocab.look_up(i.kmers(s, d), words, "kmer").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.stored(s, i.kmer_counts(s, d), "kmer-counts")  # a k-mer meets the vocabulary once
+    words = vocab.build(counts, reverse_complement=True)
+    counted = vocab.look_up(counts.withColumnRenamed("count", "n"), words).groupBy("id").agg(F.sum("n").alias("n"))
     return vocab.decode(counted, words).select("id", "token", tk.reverse_complement(F.col("token")).alias("rc"), "n")
 
 
 @query(f"{SQL_KEPT} SELECT t.token, count(*) AS n FROM t LEFT JOIN p ON t.token = p.token WHERE p.token IS NULL GROUP BY 1")
 def oov_report(s, d):
-    return vocab.unknown_tokens(i.word_tokens(s, d), _kept(s, d))
+    counts = scratch.stored(s, i.word_counts(s, d), "word-counts")
+    known = _kept(counts).select("token")
+    return counts.join(known, "token", "left_anti").select("token", F.col("count").alias("n"))
 
 
 @query(f"WITH {i.SQL_WORD_COUNTS}, p AS (SELECT token, count FROM c ORDER BY count DESC, token LIMIT 99) SELECT token, count FROM p UNION ALL SELECT 'UNK', CAST(coalesce(sum(count), 0) AS BIGINT) FROM c WHERE token NOT IN (SELECT token FROM p)")
@@ -444,7 +457,7 @@ def random_projection(s, d):
 
 @query(f"WITH {i.SQL_WORDS}, b AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT doc_id, token, n, unnest(range(100)) AS dim FROM b), z AS (SELECT *, {i.sql_draw('proj-u', 'token', 'dim')} / {i.TOP} AS u, {i.sql_draw('proj-v', 'token', 'dim')} / {i.TOP} AS v FROM f) SELECT doc_id, CAST(dim AS INT) AS dim, round(sum(n * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)) / sqrt(100.0), 6) AS value FROM z GROUP BY 1, 2")
 def random_projection_words(s, d):
-    return vectors.random_projection(bag_of_tokens(s, d), "doc_id", "token", "n", 100, i.SEED).select("doc_id", "dim", F.round("value", 6).alias("value"))
+    return vectors.random_projection(_bags(s, d), "doc_id", "token", "n", 100, i.SEED).select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
 @query()
@@ -471,7 +484,7 @@ SQL_MERGED = f"{SQL_LABELS}, dk AS (SELECT DISTINCT doc_id, kmer FROM k), mg AS
 
 def _merged(s, d):
     pairs = i.kmers(s, d, 6, 2).select("doc_id", "kmer").distinct()
-    return evaluate.merge_label_counts(pairs, _label_counts(s, d), "doc_id", "kmer", "lang")
+    return evaluate.merge_label_counts(pairs, scratch.stored(s, _label_counts(s, d), "label-counts"), "doc_id", "kmer", "lang")
 
 
 @query(f"{SQL_MERGED} SELECT doc_id, lang, n FROM mg")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import tokens as tk
 from strandloom.operators import examples, tables, vocab
-from strandloom.sources import corpus, scratch, store
+from strandloom.sources import archives, corpus, scratch, store
+from strandloom.streaming import counter
 
 from . import inputs as i
 from .registry import query
@@ -130,9 +131,50 @@ def log_files_epoch_loss(s, d):
     return tables.epochs(logged, "run", "line_no", "macrobatch").groupBy("run", "epoch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
 
 
-@query("SELECT 'probe' AS name, true AS writable")
+@query("SELECT r_name AS name, true AS writable FROM region")
 def write_probe(s, d):
-    return s.createDataFrame([("probe", scratch.can_write(s, scratch.shared_dir(s)))], "name string, writable boolean")
+    """Whether a run may write into the folder of each region, asked before the run."""
+    base = scratch.new_path(s, "probe")
+    names = [r.r_name for r in i.table(s, d, "region").select("r_name").collect()]  # one folder each
+    return s.createDataFrame([(n, scratch.can_write(s, f"{base}/{k}")) for k, n in enumerate(names)], "name string, writable boolean")
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT token, count FROM c")
+def zip_corpus_words(s, d):
+    """Words of a corpus of zip archives, a member for each document."""
+    path = scratch.new_path(s, "archives").removeprefix("file:")
+    archives.write_zip(i.lines(s, d).select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")).alias("member"), "line"), path, value="line")
+    return vocab.count_tokens(archives.read_zip(s, path, ".txt").select(F.explode(tk.words(F.col("value"))).alias("token")))
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS} SELECT token, count FROM c")
+def streamed_counts(s, d):
+    """Counts of a growing folder: two runs of one query, the second only over what is new."""
+    path, at = scratch.new_path(s, "stream"), scratch.new_path(s, "stream-state")
+    kept = counter.CountStore(s, f"{at}/counts", merge_after=3)
+    for half in (0, 1):
+        i.lines(s, d).where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == half).select("line").write.mode("append").text(path)
+        counter.start_counter(s, path, kept, f"{at}/checkpoint", 4).awaitTermination()
+    return kept.counts()
+
+
+@query("SELECT 'S' || l_linestatus AS label, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def labelled_files(s, d):
+    """Positive files of a folder of FASTA files, their label from the file's name."""
+    path = scratch.new_path(s, "labelled")
+    name = F.concat(F.lit("S"), F.col("l_linestatus"), F.lit("_run_"), F.when(F.col("l_returnflag") != "N", "pos").otherwise("neg"))
+    rows = i.table(s, d, "lineitem").select(name.alias("name"), F.concat(F.lit(">"), F.col("l_orderkey").cast("string"), F.lit("\nACGT")).alias("value"))
+    rows.write.partitionBy("name").text(path)
+    read = corpus.read_fasta(s, path, recursive=True).where("ok").withColumn("file", F.concat(F.regexp_extract("file", "/name=([^/]+)/", 1), F.lit(".fasta")))
+    return corpus.positive_files(read).groupBy(corpus.file_label(F.col("file")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {i.SQL_WORD_COUNTS}, v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) AS INT) AS id FROM c WHERE token <> 'UNK' UNION ALL SELECT 'UNK', 0) SELECT token, id FROM v")
+def token_list_round_trip(s, d):
+    """A plain list of tokens, the line's number being the id."""
+    path = scratch.new_path(s, "token-list")
+    store.export_token_lines(vocab.with_unk(vocab.build(i.word_counts(s, d))), path)
+    return store.load_token_lines(s, path)
 
 
 @query(f"WITH {i.sql_kmers(6, 3)}, t AS (SELECT kmer AS token FROM k) SELECT token, count(*) AS count FROM t GROUP BY token")

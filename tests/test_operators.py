@@ -9,11 +9,11 @@ from strandloom.functions import tokens as tk
 from strandloom.operators import examples, sampling, vectors, vocab
 from strandloom.sources import corpus, store
 
-FRUIT = [("apple", 4), ("banana", 8), ("orange", 6), ("pineapple", 3), ("grapefruit", 9)]
+TOOLS = [("hammer", 5), ("saw", 11), ("drill", 7), ("file", 2), ("wrench", 13)]
 KERNEL = [1, 2, 3, 4, 5, 5, 4, 3, 2, 1]
 
 
-def counts(spark, rows=FRUIT):
+def counts(spark, rows=TOOLS):
     return spark.createDataFrame(rows, "token string, count long")
 
 
@@ -29,31 +29,31 @@ def test_kmers(spark):
 
 
 def test_reverse_complement_and_canonical(spark):
-    row = spark.createDataFrame([("ACGACGAT",), ("TCGATCGA",), ("NKU",)], "s string").select(tk.reverse_complement(F.col("s")).alias("r"), tk.canonical(F.col("s")).alias("c")).collect()
-    assert [r.r for r in row] == ["ATCGTCGT", "TCGATCGA", "UKN"]
-    assert row[0].c == "ACGACGAT"
+    row = spark.createDataFrame([("CCATGGTA",), ("GGCATGCC",), ("NKU",)], "s string").select(tk.reverse_complement(F.col("s")).alias("r"), tk.canonical(F.col("s")).alias("c")).collect()
+    assert [r.r for r in row] == ["TACCATGG", "GGCATGCC", "UKN"]
+    assert row[0].c == "CCATGGTA"
 
 
 def test_prune_gives_mass_to_unk(spark):
-    got = dict(vocab.prune(counts(spark, [*FRUIT, ("UNK", 100)]), 6).collect())
-    assert got == {"banana": 8, "orange": 6, "grapefruit": 9, "UNK": 7}
+    got = dict(vocab.prune(counts(spark, [*TOOLS, ("UNK", 100)]), 6).collect())
+    assert got == {"saw": 11, "drill": 7, "wrench": 13, "UNK": 7}
     assert vocab.dropped(counts(spark), 6).first() == (2, 7)
 
 
 def test_class_ids_and_class_prune(spark):
-    c = counts(spark, [("ACGACGAT", 4), ("TCGATCGA", 5), ("TCGAACGT", 4), ("ACGTTCGA", 9)])
+    c = counts(spark, [("CCATGGTA", 4), ("GGCATGCC", 5), ("TTGCAACG", 4), ("CGTTGCAA", 9)])
     ids = {r.token: r.id for r in vocab.build(c, reverse_complement=True).collect()}
-    assert ids["TCGAACGT"] == ids["ACGTTCGA"] and len(set(ids.values())) == 3 and min(ids.values()) == 1
-    assert dict(vocab.prune(c, 6).collect()) == {"ACGTTCGA": 9, "UNK": 13}
-    assert dict(vocab.prune(c, 6, "class").collect()) == {"ACGTTCGA": 9, "TCGAACGT": 4, "UNK": 9}
+    assert ids["TTGCAACG"] == ids["CGTTGCAA"] and len(set(ids.values())) == 3 and min(ids.values()) == 1
+    assert dict(vocab.prune(c, 6).collect()) == {"CGTTGCAA": 9, "UNK": 13}
+    assert dict(vocab.prune(c, 6, "class").collect()) == {"CGTTGCAA": 9, "TTGCAACG": 4, "UNK": 9}
 
 
 def test_merge_difference_remove_compact(spark):
-    merged = dict(vocab.merge(counts(spark), counts(spark, [("apple", 5), ("grapes", 3), ("grapefruit", -1)])).collect())
-    assert merged["apple"] == 9 and merged["grapes"] == 3 and merged["grapefruit"] == 8
+    merged = dict(vocab.merge(counts(spark), counts(spark, [("hammer", 6), ("chisel", 3), ("wrench", -1)])).collect())
+    assert merged["hammer"] == 11 and merged["chisel"] == 3 and merged["wrench"] == 12
     assert vocab.difference(counts(spark), counts(spark)).count() == 0
     v = vocab.build(counts(spark))
-    left = vocab.compact(vocab.remove(v, ["banana"]))
+    left = vocab.compact(vocab.remove(v, ["saw"]))
     assert sorted(r.id for r in left.collect()) == [1, 2, 3, 4]
     for bad in ("UNK", "kiwi"):
         with pytest.raises(ValueError):
@@ -61,9 +61,9 @@ def test_merge_difference_remove_compact(spark):
 
 
 def test_look_up_policies(spark):
-    rows = spark.createDataFrame([("apple",), ("kiwi",)], "token string")
+    rows = spark.createDataFrame([("drill",), ("kiwi",)], "token string")
     v = vocab.build(counts(spark))
-    assert {r.token: (r.id, r["count"]) for r in vocab.look_up(rows, v).collect()} == {"apple": (1, 4), "kiwi": (0, 0)}
+    assert {r.token: (r.id, r["count"]) for r in vocab.look_up(rows, v).collect()} == {"drill": (1, 7), "kiwi": (0, 0)}
     with pytest.raises(Exception, match="unknown token"):
         vocab.look_up(rows, v, on_unknown="error").collect()
     with pytest.raises(ValueError):
@@ -78,8 +78,8 @@ def test_dense_ids_follow_the_order(spark):
 def test_draws_follow_counts(spark):
     drawn = sampling.draw_outcomes(spark.range(20000), counts(spark), "t", 1, F.col("id"))
     share = {r.outcome: r["count"] / 20000 for r in drawn.groupBy("outcome").count().collect()}
-    for token, n in FRUIT:
-        assert abs(share[token] - n / 30) < 0.02
+    for token, n in TOOLS:
+        assert abs(share[token] - n / 38) < 0.02
 
 
 @pytest.mark.parametrize(("pos", "length", "legal"), [(2, 20, [-2, -1, 1, 2, 3, 4, 5]), (19, 20, [-5, -4, -3, -2, -1]), (0, 3, [1, 2])])
@@ -155,14 +155,51 @@ def test_vocabulary_round_trip(spark, tmp_path):
 
 
 def test_streaming_counter(spark, tmp_path):
-    from strandloom.streaming.counter import start_counter
+    from strandloom.streaming.counter import CountStore, start_counter
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("x y x\n")
-    (tmp_path / "in" / "b.txt").write_text("y x\n")
-    q = start_counter(spark, str(tmp_path / "in"), "streamed", str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert dict(spark.table("streamed").collect()) == {"x": 3, "y": 2}
+    kept = CountStore(spark, str(tmp_path / "state"), merge_after=2)
+    assert kept.counts().isEmpty()
+    want = {}
+    for k in range(5):  # a query that ends and starts again, over what is new
+        (tmp_path / "in" / f"{k}.txt").write_text(f"x y x w{k}\n\n")
+        for w in ("x", "y", "x", f"w{k}"):
+            want[w] = want.get(w, 0) + 1
+        start_counter(spark, str(tmp_path / "in"), kept, str(tmp_path / "cp")).awaitTermination(60)
+        assert dict(kept.counts().collect()) == want
+    assert kept.merged_to() == 3 and kept.batches() == [4]
+    again = spark.createDataFrame([(w,) for w in ("x", "y", "x", "w4")], "token string")
+    kept.add(again, 4)  # batches that are run again count once
+    kept.add(again, 2)
+    assert dict(kept.counts().collect()) == want
+    (tmp_path / "state" / "batches" / "batch=9").mkdir(parents=True)  # begun, never ended
+    assert dict(kept.counts().collect()) == want
+
+
+def test_zip_corpus(spark, tmp_path):
+    import zipfile
+
+    from strandloom.sources import archives
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    with zipfile.ZipFile(tmp_path / "in" / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("one.txt", "a b\r\n\nç")
+        z.writestr("folder/", "")
+        z.writestr("skip.csv", "no")
+        z.writestr("big.txt", "word " * 20 + "\n" + "0123456789\n" * 300_000)
+    with zipfile.ZipFile(tmp_path / "in" / "sub" / "b.zip", "w") as z:
+        z.writestr("empty.txt", "")
+    rows = archives.read_zip(spark, str(tmp_path / "in"), ".txt")
+    assert rows.rdd.getNumPartitions() == 3
+    assert [(r.line_no, r.value) for r in rows.where("member = 'one.txt'").orderBy("line_no").collect()] == [(0, "a b"), (1, ""), (2, "ç")]
+    assert rows.where("member = 'big.txt'").agg(F.count(F.lit(1)), F.max("line_no")).first() == (300_001, 300_000)
+    assert archives.read_zip(spark, str(tmp_path / "in" / "sub" / "b.zip")).count() == 0
+    lines = spark.createDataFrame([(f"m{k % 7}", f"line {k}") for k in range(200)] + [("m0", None)], "member string, value string").repartition(5)
+    assert archives.write_zip(lines, str(tmp_path / "out"), archives=3) <= 3
+    got = archives.read_zip(spark, str(tmp_path / "out"))
+    assert sorted((r.member, r.value) for r in got.collect()) == sorted((r.member, r.value or "") for r in lines.collect())
+    with pytest.raises(Exception, match="nowhere"):
+        archives.read_zip(spark, str(tmp_path / "nowhere")).count()
 
 
 def test_config():
