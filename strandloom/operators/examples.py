@@ -6,7 +6,7 @@ very long sentence needs no array in memory and no self-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strandloom.functions.rng import draw
 
@@ -19,6 +19,11 @@ def positions(rows: DataFrame, sentence: str, order: list[str], token: str) -> D
     return rows.select(F.col(sentence).alias("sent"), (F.row_number().over(w.orderBy(*order)) - 1).alias("pos"), F.count(F.lit(1)).over(w).cast("int").alias("length"), F.col(token).alias("token"))
 
 
+def long_enough(rows: DataFrame, tokens: Column, minimum: int = 2) -> DataFrame:
+    """rows with the length of their sentence, without those of fewer tokens: a lone token has no context."""
+    return rows.withColumn("length", F.size(tokens)).where(F.col("length") >= minimum)
+
+
 def with_context(tokens: DataFrame, kernel: list[int], seed: int, minimum: int = 2) -> DataFrame:
     """tokens of sentences of at least minimum tokens, with offset and context drawn by the kernel."""
     k = sampling.check_kernel(kernel)

@@ -62,6 +62,11 @@ def with_width(intervals: DataFrame, height: str = "height") -> DataFrame:
     return sized.withColumn("height_per_width", F.col(height) / F.col("width"))
 
 
+def listed(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """rows whose value is in a short list, such as genes of interest."""
+    return rows.where(F.col(column).isin(values))
+
+
 def prefix_of(name: Column, separator: str = "_") -> Column:
     return F.substring_index(name, separator, 1)
 

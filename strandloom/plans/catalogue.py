@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from strandloom.functions import rng, tokens as tk
 from strandloom.functions.vectors import dot, euclidean, sigmoid
 from strandloom.operators import evaluate, examples, forest, model, sampling, tables, vectors, vocab
-from strandloom.sources import scratch, store
+from strandloom.sources import corpus, scratch, store
 
 from . import inputs as i, round_trips  # noqa: F401 - lists its queries
 from .registry import ORACLES, QUERIES, query  # noqa: F401 - ORACLES and QUERIES are read from here
@@ -56,12 +56,12 @@ def whitespace_token_count(s, d):
 
 @query(rf"WITH {i.SQL_LINES} SELECT doc_id, line_no, CAST(len(list_filter(regexp_split_to_array(line, '[ \t\r\n\f]+'), lambda x: x <> '')) AS INT) AS n_tokens FROM l WHERE len(list_filter(regexp_split_to_array(line, '[ \t\r\n\f]+'), lambda x: x <> '')) >= 2")
 def short_sentence_filter(s, d):
-    return i.lines(s, d).withColumn("n_tokens", F.size(tk.words(F.col("line")))).where("n_tokens >= 2").select("doc_id", "line_no", "n_tokens")
+    return examples.long_enough(i.lines(s, d), tk.words(F.col("line")), 2).select("doc_id", "line_no", F.col("length").alias("n_tokens"))
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE NOT regexp_matches(source, 'src1') GROUP BY source")
 def skip_filter(s, d):
-    return i.table(s, d, "documents").where(~F.col("source").rlike("src1")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.without(i.table(s, d, "documents"), "source", ["src1"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- dictionaries -------------------------------------------------------------
@@ -337,6 +337,65 @@ def choose_groups(s, d):
     return sampling.choose(i.table(s, d, "documents").select("source").distinct(), "source", 5, i.SEED)
 
 
+# Parts of an order are a sentence, parts the tokens: a vocabulary of hundreds to thousands, and sentences of one token too.
+SQL_ORDERS = "oe AS (SELECT l_orderkey AS sent, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS length, CAST(l_partkey AS VARCHAR) AS token FROM lineitem), ov AS (SELECT token, CAST(dense_rank() OVER (ORDER BY token) AS INT) AS id, count FROM (SELECT token, count(*) AS count FROM oe GROUP BY token))"
+
+
+def _order_tokens(s, d):
+    rows = i.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").cast("string").alias("part"))
+    return examples.positions(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "part")
+
+
+def _sql_order_signal(minimum: int, t: float) -> str:
+    return (
+        f"WITH {SQL_ORDERS}, b AS (SELECT *, {i.sql_draw('context', 'sent', 'pos')} AS r, CAST({_SUMS}[greatest(0, 5 - pos) + 1] AS BIGINT) AS lo, CAST({_SUMS}[least(10, 5 + length - pos - 1) + 1] AS BIGINT) AS hi FROM oe WHERE length >= {minimum}), "
+        f"g AS (SELECT *, CASE WHEN hi > lo THEN CASE {' '.join(f'WHEN lo + r % greatest(hi - lo, 1) < {_SUMS[k + 1]} THEN {o}' for k, o in enumerate(_OFFSETS))} END END AS o FROM b), "
+        f"x AS (SELECT g.sent, g.pos, a.id AS query, coalesce(c.id, 0) AS context FROM g JOIN ov a ON g.token = a.token LEFT JOIN oe ON oe.sent = g.sent AND oe.pos = g.pos + g.o LEFT JOIN ov c ON c.token = oe.token WHERE {i.sql_draw('discard', 'g.sent', 'g.pos')} / {i.TOP} >= 1 - least(1.0, sqrt({t} / (a.count / (SELECT sum(count) FROM ov)))))"
+    )
+
+
+def _order_signal(s, d, minimum: int, t: float):
+    tokens = _order_tokens(s, d)
+    return examples.signal(tokens, vocab.build(vocab.count_tokens(tokens)), i.KERNEL, t, i.SEED, minimum)
+
+
+@query(f"{_sql_order_signal(1, 0.0005)} SELECT * FROM x")
+def peak_examples(s, d):
+    """Signal examples without a guard on length: the only token of a sentence has no context, so UNK's id."""
+    return _order_signal(s, d, 1, 0.0005)
+
+
+@query(f"{_sql_order_signal(2, 0.0005)} SELECT * FROM x")
+def signal_examples_orders(s, d):
+    return _order_signal(s, d, 2, 0.0005)
+
+
+@query(f"{_sql_order_signal(2, 0.0005)}, sp AS (SELECT id, sum(count) OVER (ORDER BY token) - count AS lo, sum(count) OVER (ORDER BY token) AS hi FROM ov), n AS (SELECT sent, pos, query, CAST(unnest(range(1, 4)) AS INT) AS draw FROM x), z AS (SELECT *, {i.sql_draw('noise', 'sent', 'pos', 'draw')} % (SELECT sum(count) FROM ov) AS r FROM n) SELECT z.sent, z.pos, z.draw, z.query, sp.id AS context FROM z JOIN sp ON z.r >= sp.lo AND z.r < sp.hi")
+def noise_examples_orders(s, d):
+    """Noise from a vocabulary of parts."""
+    signal = scratch.stored(s, _order_signal(s, d, 2, 0.0005), "signal")
+    return examples.noise(signal, vocab.build(vocab.count_tokens(_order_tokens(s, d))), 3, i.SEED)
+
+
+@query(f"WITH {SQL_ORDERS}, o AS (SELECT sent, pos, token, unnest([-1, 1]) AS o FROM oe WHERE pos >= 1 AND pos < length - 1), h AS (SELECT *, row_number() OVER (PARTITION BY sent, pos ORDER BY {i.sql_draw('skip', 'sent', 'pos', 'o')}, o) AS r FROM o) SELECT h.sent, h.pos, h.token, CAST(h.o AS INT) AS \"offset\", oe.token AS context FROM h JOIN oe ON h.sent = oe.sent AND oe.pos = h.pos + h.o WHERE r <= 1")
+def skipgram_orders(s, d):
+    return examples.skip_grams(_order_tokens(s, d), 1, 1, i.SEED)
+
+
+@query(f"WITH {SQL_ORDERS}, f AS (SELECT token, min(sent) AS first FROM oe GROUP BY token) SELECT f.token, f.token AS canon, CAST(row_number() OVER (ORDER BY first, f.token) AS INT) AS id, ov.count FROM f JOIN ov ON f.token = ov.token")
+def vocab_first_seen_parts(s, d):
+    """Ids in order of the first order that holds a part."""
+    seen = i.table(s, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("token")).agg(F.min("l_orderkey").alias("first"), F.count(F.lit(1)).alias("count"))
+    return vocab.build(seen, by="first")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT token, token AS canon, CAST(row_number() OVER (ORDER BY id) AS INT) AS id, count FROM ov WHERE count < 3 OR token LIKE '%7'")
+def vocab_remove_compact_parts(s, d):
+    """Ids without gaps after the removal of frequent parts."""
+    words = vocab.build(vocab.count_tokens(_order_tokens(s, d)))
+    return vocab.compact(words.where("count < 3 or token like '%7'"))
+
+
 # --- vectors ------------------------------------------------------------------
 
 SQL_PAIRS = f"WITH {i.SQL_VECTORS}, p AS (SELECT id AS query, id + unnest([1, 2, 3]) AS context FROM x), sc AS (SELECT query, context, context = query + 1 AS is_signal, list_dot_product(a.v, b.v) AS dot FROM p JOIN x a ON p.query = a.id JOIN x b ON p.context = b.id)"
@@ -439,6 +498,14 @@ def dist_to_center(s, d):
     return vectors.distance_to_center(i.vectors(s, d), "id", "v").select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"{SQL_DISTANCE} SELECT label, count(*) AS n, round(avg(100 * distance), 4) AS mean, round(max(100 * distance), 4) AS largest FROM z JOIN x USING (id) GROUP BY label")
+def scaled_distances(s, d):
+    """Distances to the centre in hundredths, by label."""
+    v = i.vectors(s, d)
+    scaled = vectors.distance_to_center(v, "id", "v").select("id", (100 * F.col("distance")).alias("scaled"))
+    return scaled.join(v.select("id", "label"), "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("scaled"), 4).alias("mean"), F.round(F.max("scaled"), 4).alias("largest"))
+
+
 @query("WITH m AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS total FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n, round(count(*) / (any_value(total) * any_value((hi - lo) / 50)), 9) AS density FROM events, m WHERE value IS NOT NULL GROUP BY 1")
 def density_hist(s, d):
     return vectors.density_histogram(i.table(s, d, "events"), "value", 50).select("bin", "n", F.round("density", 9).alias("density"))
@@ -599,10 +666,22 @@ def log_scrape_epochs(s, d):
     return tables.epochs(tables.parse_log(logged), "user_id", "event_id", "macrobatch").select("user_id", "event_id", "macrobatch", "loss", "epoch")
 
 
+@query("SELECT CAST(l_partkey % 3 + 1 AS INT) AS stride, count(*) AS n, round(avg(l_discount), 6) AS loss FROM lineitem WHERE l_linenumber + 4 = 6 GROUP BY 1")
+def runs_of_one_k(s, d):
+    """Losses of the model files of one k by stride, both read from their names; other files have no k and go."""
+    named = F.concat(F.lit("k_"), (F.col("l_linenumber") + 4).cast("string"), F.lit("_s_"), (F.col("l_partkey") % 3 + 1).cast("string"), F.lit(".log"))
+    rows = i.table(s, d, "lineitem").select(named.alias("file"), "l_discount")
+    other = i.table(s, d, "orders").select(F.concat(F.lit("notes_"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(None).cast("double").alias("l_discount"))
+    read = rows.withColumn("l_discount", F.col("l_discount").cast("double")).unionByName(other).select(*tables.parse_name(F.col("file")), "l_discount")
+    return read.where(F.col("k") == 6).groupBy("stride").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_discount"), 6).alias("loss"))
+
+
 @query("SELECT l_orderkey, l_linenumber, o_custkey, l_quantity + 1 AS width, l_extendedprice / (l_quantity + 1) AS height FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 + 1")
 def interval_join(s, d):
     peaks, atlas = i.table(s, d, "lineitem"), i.table(s, d, "orders")
-    both = peaks.join(atlas, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_linenumber") == F.col("o_orderkey") % 7 + 1))
+    peaks = peaks.withColumnsRenamed({"l_orderkey": "start", "l_linenumber": "end"})
+    atlas = atlas.select(F.col("o_orderkey").alias("start"), (F.col("o_orderkey") % 7 + 1).alias("end"), "o_custkey")
+    both = tables.same_interval(peaks, atlas, ("start", "end")).withColumnsRenamed({"start": "l_orderkey", "end": "l_linenumber"})
     return both.select("l_orderkey", "l_linenumber", "o_custkey", (F.col("l_quantity") + 1).alias("width"), (F.col("l_extendedprice") / (F.col("l_quantity") + 1)).alias("height"))
 
 
@@ -640,7 +719,7 @@ def chrom_match(s, d):
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")
 def gene_filter(s, d):
-    return i.table(s, d, "part").where(F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")).select("p_partkey", "p_name")
+    return tables.listed(i.table(s, d, "part"), "p_brand", ["Brand#11", "Brand#22", "Brand#33"]).select("p_partkey", "p_name")
 
 
 @query()

@@ -18,9 +18,14 @@ def _records(spark: SparkSession, paths, separator: str, skip: list[str] | None,
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
     df = reader.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    for pattern in skip or []:
-        df = df.where(~F.col("file").rlike(pattern))
-    return df
+    return without(df, "file", skip or [])
+
+
+def without(rows: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """rows whose column none of the patterns matches anywhere."""
+    for pattern in patterns:
+        rows = rows.where(~F.col(column).rlike(pattern))
+    return rows
 
 
 def base_name(file: Column) -> Column:

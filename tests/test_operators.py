@@ -202,6 +202,16 @@ def test_zip_corpus(spark, tmp_path):
         archives.read_zip(spark, str(tmp_path / "nowhere")).count()
 
 
+def test_no_examples_keep_int_pairs(spark):
+    none = spark.createDataFrame([], "sent long, pos int, length int, token string")
+    got = examples.signal(none, vocab.build(counts(spark)), KERNEL, 0.1, 1)
+    assert dict(got.dtypes)["query"] == dict(got.dtypes)["context"] == "int" and got.isEmpty()
+    batched = examples.macrobatches(got, 4, ["sent", "pos"])
+    assert batched.columns == ["macrobatch_id", "row_in_batch", "query", "context"] and set(dict(batched.dtypes).values()) == {"int"} and batched.isEmpty()
+    with pytest.raises(ValueError):
+        sampling.draw_outcomes(spark.range(3), counts(spark, [("x", 0)]), "t", 1, F.col("id"))
+
+
 def test_config():
     c = Config.from_mapping({"K": 8, "kernel": [1, 1], "momentum": 0.9})
     assert c.k == 8 and c.kernel == (1, 1) and c.extra == {"momentum": 0.9}
