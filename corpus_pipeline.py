@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Defined results: null text is empty text in every stage. Rows with a null id are scored and packed like others, are copies of rows with the same text (an id wins),
+and take no part in near-duplicate groups. Of a repeated id, rows with other texts are documents of their own; equal rows stay or go together. Without labels of both
+classes every score is 0.5, so the quality stage keeps all. An empty table, or one that a stage leaves empty, goes through all stages to an empty result. Columns beside id and text, whatever their names, come out
+as they went in.
 """
 
 from __future__ import annotations
