@@ -95,6 +95,49 @@ def test_empty_tables(spark, empty_tables, number):
     assert out.isEmpty() and {x.split()[0] for x in CONTRACTS[number].split(", ")} <= set(out.columns)
 
 
+def test_contaminated_query_with_repeated_rows(spark, tmp_path):
+    item = prose(30)
+    docs = [(1, f"{prose(50)} {item} {prose(50)}", "en", "s", 1)] * 2 + [(1, prose(90), "en", "s", 1), (None, item, "en", "s", 1), (4, None, "en", "s", 1), (5, prose(300_000) + " " + item, "en", "s", 1)]
+    path = write_tables(spark, f"{tmp_path}/t", docs, [])
+    spark.createDataFrame([(7, item, 1.0), (7, item, 1.0), (8, None, 1.0), (9, "", 1.0)], "item_id long, text string, containment double").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    out = BY_NUMBER["op3"](spark, path)
+    assert sorted(((r.doc_id, r.item_id, r.containment) for r in out.collect()), key=str) == [(1, 7, 1.0), (1, 7, 1.0), (5, 7, 1.0), (None, 7, 1.0)]
+
+
+def test_secret_scan_of_long_candidates_is_linear(spark):
+    from strandloom.llm import secret_scan
+
+    took = []
+    for n in (20_000, 80_000):
+        rng = random.Random(n)
+        long = "".join(rng.choice("abcdefABCDEF0123456789+/") for _ in range(n))
+        rows = spark.createDataFrame([(1, f"token = {long}"), (2, "secret: abcdef12 " * (n // 17))], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: r.n_assign for r in secret_scan.digest(secret_scan.secret_scan(rows)).collect()}
+        took.append(time.time() - began)
+        assert got == {1: 1, 2: n // 17}
+    assert took[1] < 10 * took[0] + 5
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tables, empty_tables):
+    import corpus_pipeline
+
+    path, rows = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id <> 167 or doc_id is null")
+    odd = docs.union(spark.createDataFrame([(None, rows[5][1], "en", "s", 1, 1.0, "x", 2, 3, "y", "z", 4), (None, None, None, None, None, None, None, None, None, None, None, None)], docs.schema))
+    now = odd
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = shared.stored(spark, stage(spark, now, path), f"odd-{k}")
+        assert k == 4 or (out.columns == odd.columns and out.exceptAll(now).isEmpty())
+        if k == 1:  # one row of each text; the null id's copy goes, as an id has its text
+            normal = lambda df: {" ".join((r.text or "").split(" ")) for r in df.collect()} - {"", " "}
+            assert normal(out) == normal(now)
+            assert out.where("doc_id is null and text is not null").isEmpty()
+        now = out
+    assert now.count() > 0
+    assert corpus_pipeline.run(spark, empty_tables).isEmpty()
+
+
 # --- op2 ----------------------------------------------------------------------
 
 
