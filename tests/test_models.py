@@ -94,3 +94,33 @@ def test_neighbour_labels(spark):
     assert got == {(1, "x"): 9, (1, "y"): 6, (2, "x"): 1, (2, "y"): 2}
     got = {(r.sent, r.label): r.n for r in evaluate.neighbour_labels(sentences, near, counts, weighted=True).collect()}
     assert got == {(1, "x"): 8.0, (1, "y"): 4.0, (2, "x"): 1.0, (2, "y"): 2.0}
+
+
+def test_principal_components_equal_numpy(spark):
+    x = np.random.default_rng(8).normal(size=(80, 5)) @ np.diag([5.0, 3.0, 2.0, 1.0, 0.5]) + 4
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(80)], "id long, v array<double>")
+    got = np.zeros((80, 3))
+    for r in vectors.principal_components(rows, "id", "v", 3).collect():
+        got[r.id, r.dim] = r.value
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = (u * s)[:, :3]
+    assert np.abs(got * np.sign((got * want).sum(0)) - want).max() < 1e-8
+
+
+def test_bernoulli_bayes_equals_numpy(data):
+    x, y, df = data
+    out = {r.id: r.prediction for r in evaluate.classifier("bernoulli_nb").fit(df).transform(df).collect()}
+    bits, scores = x > 0, []
+    for c in (-1, 1):
+        p = (bits[y == c].sum(0) + 0.01) / ((y == c).sum() + 0.02)
+        scores.append(np.log((y == c).mean()) + bits @ np.log(p) + ~bits @ np.log(1 - p))
+    assert [out[i] for i in range(400)] == (scores[1] > scores[0]).astype(float).tolist()
+
+
+@pytest.mark.parametrize("name", ["forest", "svm", "svm_l1", "sgd_l2", "sgd_l1", "sgd_elastic", "ridge", "l1_pipeline"])
+def test_classifiers_tell_classes_apart(data, name):
+    x, y, df = data
+    fitted = evaluate.classifier(name).fit(df.where("id < 300"))
+    held = fitted.transform(df.where("id >= 300"))
+    rule = int((np.sign(x[300:, 0] - 0.5 * x[300:, 1] + 0.3) == y[300:]).sum())  # what the labels, which are noisy, leave to learn
+    assert rule < 100 and held.where("prediction = label").count() >= rule - 6
