@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strandloom.operators.ranges import ranked
+
 from . import shared
 
 MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
@@ -61,8 +63,8 @@ def _word_blocks(batches):
 
     def full():
         nonlocal made
-        for lang, tokens in held.items():
-            coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        for lang, texts in held.items():
+            coded = pa.concat_arrays(texts).dictionary_encode()
             words, seq = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
             cut = pc.index(words, pa.scalar(b".", pa.binary())).as_py()  # every text ends with one
             seq = np.where(seq == cut, -1, seq - (seq > cut))
@@ -76,9 +78,7 @@ def _word_blocks(batches):
     for got in batches:
         for lang, text in zip(got.column(0).to_pylist(), got.column(1).cast(pa.binary()), strict=True):
             data = text.as_py() or b""
-            tokens = held.setdefault(lang, [])
-            tokens += words_and_cuts(data)
-            tokens.append(b".")
+            held.setdefault(lang, []).append(pa.array([*words_and_cuts(data), b"."], pa.binary()))  # one text's words at a time are Python objects
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield from full()
@@ -116,8 +116,11 @@ def _grams(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def _named(blocks: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Stored (id, keys, f) of the grams that are frequent over all blocks."""
-    counted = _grams(blocks, keys).groupBy(*keys).agg(F.sum(F.col("c").cast("long")).alias("f")).where(F.col("f") >= least)
-    return shared.stored(blocks.sparkSession, counted.select((F.monotonically_increasing_id() + 1).alias("id"), *keys, "f"), "names")
+    spark = blocks.sparkSession
+    counted = shared.stored(spark, _grams(blocks, keys).groupBy(*keys).agg(F.sum(F.col("c").cast("long")).alias("f")).where(F.col("f") >= least), "frequent")
+    out = shared.stored(spark, ranked(counted, [F.col(k) for k in keys], "id").select("id", *keys, "f"), "names")  # ids without gaps are short, and are shuffled often
+    shared.discard(spark, counted)
+    return out
 
 
 def _next_blocks(blocks: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
