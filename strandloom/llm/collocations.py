@@ -128,7 +128,7 @@ def _next_blocks(blocks: DataFrame, names: DataFrame, keys: list[str]) -> DataFr
     met = _grams(blocks, keys).drop("c").join(names.select("id", *keys), keys).select("block", "i", "id")
     own = met.groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("n"))
     both = blocks.select("block", "lang", "seq").join(own, "block").select("block", "lang", "seq", F.col("n.i").alias("i"), F.col("n.id").alias("id"))
-    return shared.stored(blocks.sparkSession, both.mapInArrow(_pair_blocks, PAIR_BLOCK), "pair-blocks")
+    return shared.stored(blocks.sparkSession, both.mapInArrow(_pair_blocks, PAIR_BLOCK), "pair-blocks", wide=True)
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -146,7 +146,7 @@ def named_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     spark = docs.sparkSession
     shared.bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = shared.stored(spark, texts.mapInArrow(_word_blocks, WORD_BLOCK), "word-blocks")
+    blocks = shared.stored(spark, texts.mapInArrow(_word_blocks, WORD_BLOCK), "word-blocks", wide=True)
     totals = shared.stored(spark, blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("c")).groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     keys = ["lang", "word"]
     names = _named(blocks, keys, least)
