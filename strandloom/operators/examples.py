@@ -1,7 +1,7 @@
 """Signal and noise examples, macrobatches, minibatches.
 
 A token table is (sent, pos, length, token); neighbours are reached by window functions over one ordering, so a
-very long sentence needs no array in memory and no self-join.
+very long sentence needs no array in memory and no self-join. A sentence of more than ranges.CHUNK tokens is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +13,18 @@ from strandloom.functions.rng import draw
 from . import ranges, sampling
 
 
-def positions(rows: DataFrame, sentence: str, order: list[str], token: str) -> DataFrame:
+def positions(rows: DataFrame, sentence: str, order: list[str], token: str, chunk: int = ranges.CHUNK) -> DataFrame:
     """(sent, pos, length, token) from one row a token."""
-    w = W.partitionBy(sentence)
-    return rows.select(F.col(sentence).alias("sent"), (F.row_number().over(w.orderBy(*order)) - 1).alias("pos"), F.count(F.lit(1)).over(w).cast("int").alias("length"), F.col(token).alias("token"))
+    named = rows.select(F.col(sentence).alias("sent"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(token).alias("token"))
+    return ranges.placed(named, "sent", [F.col(f"_o{k}") for k in range(len(order))], chunk).select("sent", "pos", "length", "token")
+
+
+def _neighbours(tokens: DataFrame, offsets: list[int], chunk: int) -> DataFrame:
+    """tokens with _n0, _n1, ..: the tokens at the offsets, null beyond the sentence."""
+    w = W.partitionBy("sent", "_chunk").orderBy("pos")
+    at = [(F.lead if o > 0 else F.lag)("token", abs(o)).over(w).alias(f"_n{k}") for k, o in enumerate(offsets)]
+    seen = ranges.in_chunks(tokens, max(0, -min(offsets)), max(0, *offsets), chunk).select("*", *at)
+    return seen.where("_own").drop("_own", "_chunk")
 
 
 def long_enough(rows: DataFrame, tokens: Column, minimum: int = 2) -> DataFrame:
@@ -24,12 +32,11 @@ def long_enough(rows: DataFrame, tokens: Column, minimum: int = 2) -> DataFrame:
     return rows.withColumn("length", F.size(tokens)).where(F.col("length") >= minimum)
 
 
-def with_context(tokens: DataFrame, kernel: list[int], seed: int, minimum: int = 2) -> DataFrame:
+def with_context(tokens: DataFrame, kernel: list[int], seed: int, minimum: int = 2, chunk: int = ranges.CHUNK) -> DataFrame:
     """tokens of sentences of at least minimum tokens, with offset and context drawn by the kernel."""
     k = sampling.check_kernel(kernel)
-    w = W.partitionBy("sent").orderBy("pos")
-    near = {o: (F.lead if o > 0 else F.lag)("token", abs(o)).over(w) for o in [*range(-k, 0), *range(1, k + 1)]}
-    named = tokens.where(F.col("length") >= minimum).select("*", *(c.alias(f"_n{i}") for i, c in enumerate(near.values())))
+    near = [*range(-k, 0), *range(1, k + 1)]
+    named = _neighbours(tokens.where(F.col("length") >= minimum), near, chunk)
     chosen = named.withColumn("offset", sampling.choose_offset(F.col("pos"), F.col("length"), kernel, draw("context", seed, F.col("sent"), F.col("pos"))))
     context = F.when(F.lit(False), None)
     for i, o in enumerate(near):
@@ -117,10 +124,10 @@ def positional_zip(left: DataFrame, right: DataFrame, left_order: list[str], rig
     return a.join(b.withColumnRenamed("rn", "_rn"), F.col("rn") == F.col("_rn")).drop("_rn")
 
 
-def skip_grams(tokens: DataFrame, window: int, skips: int, seed: int) -> DataFrame:
+def skip_grams(tokens: DataFrame, window: int, skips: int, seed: int, chunk: int = ranges.CHUNK) -> DataFrame:
     """(sent, pos, token, context): ``skips`` distinct offsets within the window, without replacement, for inner positions."""
-    inner = tokens.select("*", *((F.lead if o > 0 else F.lag)("token", abs(o)).over(W.partitionBy("sent").orderBy("pos")).alias(f"_n{o + window}") for o in range(-window, window + 1) if o))
-    inner = inner.where((F.col("pos") >= window) & (F.col("pos") < F.col("length") - window))
-    options = F.array(*(F.struct(draw("skip", seed, F.col("sent"), F.col("pos"), F.lit(o)).alias("h"), F.lit(o).alias("offset"), F.col(f"_n{o + window}").alias("context")) for o in range(-window, window + 1) if o))
+    offsets = [o for o in range(-window, window + 1) if o]
+    inner = _neighbours(tokens, offsets, chunk).where((F.col("pos") >= window) & (F.col("pos") < F.col("length") - window))
+    options = F.array(*(F.struct(draw("skip", seed, F.col("sent"), F.col("pos"), F.lit(o)).alias("h"), F.lit(o).alias("offset"), F.col(f"_n{k}").alias("context")) for k, o in enumerate(offsets)))
     picked = inner.select("sent", "pos", "token", F.explode(F.slice(F.array_sort(options), 1, skips)).alias("p"))
     return picked.select("sent", "pos", "token", F.col("p.offset").alias("offset"), F.col("p.context").alias("context"))

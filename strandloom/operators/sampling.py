@@ -99,9 +99,11 @@ def split(rows: DataFrame, p: float, seed: int, *keys: Column, tag: str = "split
 
 def hold_out_groups(rows: DataFrame, group: str, seed: int) -> DataFrame:
     """(group, part): by hash order the first is ``test``, the second ``valid``, the rest ``train``."""
-    groups = rows.select(group).distinct().withColumn("h", draw("holdout", seed, F.col(group)))
-    rank = F.row_number().over(W.orderBy("h", group))
-    return groups.select(group, F.when(rank == 1, "test").when(rank == 2, "valid").otherwise("train").alias("part"))
+    groups = rows.select(group).distinct()
+    two = groups.orderBy(draw("holdout", seed, F.col(group)), group).limit(2)  # groups are never ranked in one task
+    first = two.withColumn("_rank", F.row_number().over(W.orderBy(draw("holdout", seed, F.col(group)), group))).select(F.col(group).alias("_g"), "_rank")
+    named = groups.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_g")), "left")
+    return named.select(group, F.when(F.col("_rank") == 1, "test").when(F.col("_rank") == 2, "valid").otherwise("train").alias("part"))
 
 
 def choose(items: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from . import ranges
+
 # Line formats of a training log, and of names of model files.
 MACROBATCH, LOSS, NAME = r"macrobatch (\d+)", r"loss: (\d+\.\d+)", r"k_(\d+)_s_(\d+)"
 
@@ -27,11 +29,13 @@ def parse_name(name: Column) -> list[Column]:
     return [captured(name, NAME, 1).cast("int").alias("k"), captured(name, NAME, 2).cast("int").alias("stride")]
 
 
-def epochs(rows: DataFrame, group: str, order: str, macrobatch: str) -> DataFrame:
-    """rows with epoch: how often the macrobatch number jumped by more than one; the first is held against 0."""
-    w = W.partitionBy(group).orderBy(order)
-    jump = (F.abs(F.col(macrobatch) - F.lag(macrobatch, 1, 0).over(w)) > 1).cast("int")
-    return rows.withColumn("_j", jump).withColumn("epoch", F.sum("_j").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")).drop("_j")
+def epochs(rows: DataFrame, group: str, order: str, macrobatch: str, chunk: int = ranges.CHUNK) -> DataFrame:
+    """rows with epoch: how often the macrobatch number jumped by more than one; the first is held against 0. A log of any length is dealt to several tasks."""
+    lines = ranges.in_chunks(ranges.placed(rows, group, [F.col(order)], chunk), 1, 0, chunk)
+    previous = F.lag(macrobatch, 1, 0).over(W.partitionBy(group, "_chunk").orderBy("pos"))
+    jumps = lines.withColumn("_j", (F.abs(F.col(macrobatch) - previous) > 1).cast("int")).where("_own")
+    summed = ranges.running_in_chunks(jumps, group, F.col("_j"), "_epoch", chunk)
+    return summed.select(*rows.columns, F.col("_epoch").cast("int").alias("epoch"))
 
 
 def geometric_mean(value: Column) -> Column:

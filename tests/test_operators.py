@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.functions import tokens as tk
-from strandloom.operators import examples, sampling, vectors, vocab
+from strandloom.operators import examples, ranges, sampling, tables, vectors, vocab
 from strandloom.sources import corpus, store
 
 TOOLS = [("hammer", 5), ("saw", 11), ("drill", 7), ("file", 2), ("wrench", 13)]
@@ -224,3 +224,58 @@ def test_entry_point_imports():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _long_and_short(spark):
+    """A sentence of 57 tokens, short ones, one of a single token and one without a name."""
+    rows = [(s, n, f"{s}-{n}") for s, size in (("long", 57), ("a", 3), ("b", 1), (None, 23), ("c", 8)) for n in range(size)]
+    return spark.createDataFrame(rows, "s string, n int, t string").repartition(5)
+
+
+def test_long_sentences_are_dealt_to_chunks(spark):
+    rows = _long_and_short(spark)
+    one, many = (examples.positions(rows, "s", ["n"], "t", chunk) for chunk in (1000, 7))
+    assert one.dtypes == many.dtypes
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert {(r.sent, r.length) for r in many.collect()} == {("long", 57), ("a", 3), ("b", 1), (None, 23), ("c", 8)}
+    assert all(r.token.endswith(f"-{r.pos}") for r in many.collect())
+    for make in (lambda t, chunk: examples.with_context(t, KERNEL, 1, 1, chunk), lambda t, chunk: examples.skip_grams(t, 3, 2, 1, chunk)):
+        want = sorted(map(str, make(one, 1000).collect()))
+        assert want == sorted(map(str, make(many, 7).collect())) == sorted(map(str, make(one, 5).collect()))
+    with pytest.raises(ValueError):
+        examples.with_context(one, KERNEL, 1, chunk=4)
+
+
+def test_contexts_are_the_tokens_at_the_offset(spark):
+    got = examples.with_context(examples.positions(_long_and_short(spark), "s", ["n"], "t", 6), KERNEL, 3, chunk=6).collect()
+    assert len(got) == 57 + 3 + 23 + 8
+    assert all(r.context == f"{r.sent}-{r.pos + r.offset}" for r in got)
+
+
+def test_no_task_holds_a_long_sentence(spark):
+    tokens = examples.positions(_long_and_short(spark), "s", ["n"], "t", 7)
+    held = ranges.in_chunks(tokens, 2, 2, 7).groupBy("sent", "_chunk").agg(F.count(F.lit(1)).alias("n"), F.count_if("_own").alias("own")).collect()
+    assert max(r.n for r in held) <= 7 + 4
+    assert sum(r.own for r in held) == 92
+
+
+def test_epochs_of_a_long_log(spark):
+    rng = np.random.default_rng(5)
+    numbers = {g: [int(x) for x in rng.integers(0, 4, size)] for g, size in (("x", 61), ("y", 5), (None, 19))}
+    rows = [(g, k, m) for g, ms in numbers.items() for k, m in enumerate(ms)]
+    want = {}
+    for g, ms in numbers.items():
+        epoch, last = 0, 0
+        for k, m in enumerate(ms):
+            epoch, last = epoch + (abs(m - last) > 1), m
+            want[g, k] = epoch
+    df = spark.createDataFrame(rows, "g string, k int, m int").repartition(4)
+    for chunk in (1000, 6):
+        assert {(r.g, r.k): r.epoch for r in tables.epochs(df, "g", "k", "m", chunk).collect()} == want
+    assert tables.epochs(df.limit(0), "g", "k", "m").count() == 0
+
+
+def test_hold_out_groups_by_hash_order(spark):
+    df = spark.createDataFrame([(f"g{k % 9}",) for k in range(40)] + [(None,)], "g string")
+    parts = [r.part for r in sampling.hold_out_groups(df, "g", 4).collect()]
+    assert sorted(parts) == ["test"] + ["train"] * 8 + ["valid"]
