@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from strandloom.operators import evaluate, forest, linear, vectors
+from strandloom.operators import cells, evaluate, forest, linear, vectors
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,25 @@ def test_forest_of_few_rows(spark):
     assert forest.search(forest.build(few.limit(0)), few.where("id = 1"), 5).isEmpty()
 
 
+def test_nearest_in_cells_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART", 64)  # several cells of either side
+    monkeypatch.setattr(cells, "ROWS", 32)
+    monkeypatch.setattr(cells, "QUERIES", 7)
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    x[100:180] = x[100]  # more copies than a cell holds
+    x[7], x[40] = 0, -x[41]
+    rows = spark.createDataFrame([(i, x[i].tolist() if i != 9 else None) for i in range(400)], "id long, v array<float>")
+    found = vectors.nearest(rows, rows.where("id % 20 = 0"), 5)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    u = x.astype(np.float32).astype(float)
+    u = u / np.maximum(np.linalg.norm(u, axis=1), 1e-300)[:, None]
+    s = np.round(u @ u.T, 6)
+    s[:, 7], s[:, 9] = 2, -2  # NaN first, null last, as in SQL
+    got = {(r.query, r.rank): r.neighbour for r in found.collect()}
+    assert got == {(q, r + 1): n for q in range(0, 400, 20) for r, n in enumerate(np.lexsort((np.arange(400), -s[q]))[:5])}
+    assert vectors.nearest(rows, rows.where("id = 120"), 100, include_self=False).where("neighbour = 120").isEmpty()
+
+
 def test_neighbour_labels(spark):
     sentences = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "sent long, token string")
     near = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("b", "b", 1.0)], "query string, neighbour string, score double")
