@@ -105,6 +105,22 @@ def test_nearest_in_cells_against_brute_force(spark, monkeypatch):
     assert vectors.nearest(rows, rows.where("id = 120"), 100, include_self=False).where("neighbour = 120").isEmpty()
 
 
+def test_lsh_meets_rows_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART", 50)  # buckets of more than one cell
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    x[50:150] = x[50]
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "id long, v array<double>")
+    found = vectors.lsh_neighbours(rows, rows.where("id % 20 = 0"), 5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    d = np.round(np.linalg.norm(u[:, None] - u[None], axis=2), 6)
+    want = {(q, int(n)) for q in range(0, 300, 20) for n in np.lexsort((np.arange(300), d[q]))[:5]}
+    got = {(r.query, r.neighbour): r.distance for r in found.collect()}
+    assert len(set(got) & want) >= 0.9 * len(want)
+    assert all(abs(d[pair] - distance) <= 1.1e-6 for pair, distance in got.items())
+    assert [n for q, n in sorted(got) if q == 100] == list(range(50, 55))
+
+
 def test_neighbour_labels(spark):
     sentences = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "sent long, token string")
     near = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("b", "b", 1.0)], "query string, neighbour string, score double")
