@@ -1,9 +1,9 @@
-"""Approximate neighbours: a forest of random-projection trees, built level by level over the whole index.
+"""Approximate neighbours: a forest of random-projection trees.
 
-All nodes of a tree's level share one random direction, and each node splits at the median of its rows' projections, which one aggregation
-over (tree, node) finds for all trees. A query goes down the same cuts, meets the rows of its leaf in each tree by an equi-join, and
-what it meets is ranked by exact cosine similarity. Equal vectors are one row of the index, so no leaf is full of copies that no cut can part; the k least ids
-of each come back in the end.
+All nodes of a tree's level share one random direction, and each node splits at the median of its rows' projections. Cuts are fitted on a sample by hash of at most about SAMPLE
+vectors, a task a tree; then every vector goes down all trees in one pass. A query goes down the same cuts and meets the rows of its leaf in each tree in cells (see cells), where
+they are ranked by exact cosine similarity; large leaves are several cells. Equal vectors are one row of the index, so no leaf is full of copies that no cut can part; the
+k least ids of each come back in the end.
 """
 
 from __future__ import annotations
@@ -15,77 +15,100 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strandloom.functions.vectors import cosine
 from strandloom.sources.scratch import stored
 
+from . import cells
+
 #: Rows of a leaf that the depth aims at.
 LEAF = 32
+#: Vectors that the cuts are fitted on.
+SAMPLE = 50_000
 
 
 @dataclass
 class Forest:
-    """vectors (key, v), members (key, id), leaves (key, tree, node), cuts of each level (tree, node, cut)."""
+    """vectors (key, first, v), first being the least id; members (key, id), leaves (key, tree, node), cuts of each level (an array of trees x nodes)."""
 
     vectors: DataFrame
     members: DataFrame
     leaves: DataFrame
-    cuts: list[DataFrame]
+    cuts: list[np.ndarray]
     directions: np.ndarray
 
 
-def _projections(rows: DataFrame, directions: np.ndarray) -> DataFrame:
-    """(key, tree, p): the projections of a unit vector on a tree's direction at each level; a zero vector stays at zero."""
-    depth, trees, dims = directions.shape
-    flat = np.ascontiguousarray(directions.transpose(1, 0, 2).reshape(trees * depth, dims).T)
+def _units(v: pa.Array) -> np.ndarray:
+    """Unit vectors; a zero vector stays at zero."""
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-30)
 
-    def run(v: pa.Array) -> pa.Array:
-        x = np.array(v.flatten(), dtype=np.float64).reshape(len(v), -1)
-        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-30)
-        return pa.ListArray.from_arrays(np.arange(0, (len(v) + 1) * trees * depth, trees * depth, dtype=np.int32), pa.array((x @ flat).reshape(-1)))
 
-    p = F.arrow_udf(run, "array<double>")(F.col("v").cast("array<double>"))
-    spread = rows.select("key", p.alias("p")).select("key", "p", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    return spread.select("key", "tree", F.slice("p", F.col("tree") * depth + 1, F.lit(depth)).alias("p"))
+def _fitted(sample: DataFrame, directions: np.ndarray) -> list[np.ndarray]:
+    """Cuts of each level; a node without rows is cut at 0."""
+    depth, trees, _ = directions.shape
 
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        tree = key[0].as_py()
+        p = _units(pa.concat_arrays(rows.column("v").chunks)) @ directions[:, tree].T
+        node, levels, nodes, cuts = np.zeros(len(p), np.int64), [], [], []
+        for level in range(depth):
+            order = np.lexsort((p[:, level], node))
+            names, starts, sizes = np.unique(node[order], return_index=True, return_counts=True)
+            found = p[order[starts + (sizes - 1) // 2], level]
+            levels += [level] * len(names)
+            nodes.append(names)
+            cuts.append(found)
+            node = 2 * node + (p[:, level] > found[np.searchsorted(names, node)])
+        return pa.table({"tree": pa.array([tree] * len(levels), pa.int32()), "level": pa.array(levels, pa.int32()), "node": np.concatenate(nodes), "cut": np.concatenate(cuts)})
 
-def _down(rows: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
-    """rows one level down: to 2 * node, or 2 * node + 1 where the projection is over the node's cut."""
-    met = rows.join(cuts, ["tree", "node"])
-    return met.select("key", "tree", "p", (2 * F.col("node") + (F.element_at("p", level + 1) > F.col("cut")).cast("long")).alias("node"))
+    spread = sample.select("v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    out = [np.zeros((trees, 1 << level)) for level in range(depth)]
+    for r in spread.groupBy("tree").applyInArrow(fit, "tree int, level int, node long, cut double").collect():  # fewer than the sample's rows a tree
+        out[r.level][r.tree, r.node] = r.cut
+    return out
 
 
-def build(index: DataFrame, id_col: str = "id", vec_col: str = "v", trees: int = 30, leaf: int = LEAF, seed: int = 42) -> Forest:
+def _leaves(rows: DataFrame, cuts: list[np.ndarray], directions: np.ndarray) -> DataFrame:
+    """rows with tree and node, once a tree: the leaf of their vector v."""
+    depth, trees, dims = directions.shape
+    flat = np.ascontiguousarray(directions.reshape(depth * trees, dims).T)
+
+    def run(v: pa.Array) -> pa.Array:
+        p = (_units(v) @ flat).reshape(len(v), depth, trees) if depth and len(v) else np.zeros((len(v), depth, trees))
+        node, at = np.zeros((len(v), trees), np.int64), np.arange(trees)[None, :]
+        for level in range(depth):
+            node = 2 * node + (p[:, level] > cuts[level][at, node])
+        return pa.ListArray.from_arrays(np.arange(0, (len(v) + 1) * trees, trees, dtype=np.int32), pa.array(node.reshape(-1)))
+
+    node = F.arrow_udf(run, "array<long>")(F.col("v"))
+    return rows.withColumn("_n", node).select("*", F.posexplode("_n").alias("tree", "node")).drop("_n")
+
+
+def build(index: DataFrame, id_col: str = "id", vec_col: str = "v", trees: int = 30, leaf: int = LEAF, seed: int = 42, levels: int | None = None) -> Forest:
+    """Trees with leaves of about leaf rows, or with no more than so many levels: vectors without structure need leaves that grow with the index for one recall."""
     spark = index.sparkSession
-    named = index.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    named = index.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     named = named.withColumn("key", F.sha2(F.to_json("v"), 256))
     members = stored(spark, named.select("key", "id"), "members")
-    vectors = stored(spark, named.groupBy("key").agg(F.any_value("v").alias("v")), "vectors")
+    vectors = stored(spark, named.groupBy("key").agg(F.min("id").alias("first"), F.any_value("v").alias("v")), "vectors")
     size, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    depth = max(0, ceil(log2(max(1, size) / leaf)))
+    depth = max(0, ceil(log2(max(1, min(size, SAMPLE * leaf)) / leaf)))
+    depth = depth if levels is None else min(depth, levels)
     directions = np.random.default_rng(seed).normal(size=(depth, trees, dims or 1))
-    rows = stored(spark, _projections(vectors, directions).withColumn("node", F.lit(0).cast("long")), "projections") if depth else vectors.select("key", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
-    cuts = []
-    for level in range(depth):
-        cut = F.percentile_approx(F.element_at("p", level + 1), 0.5, 1000)
-        cuts.append(stored(spark, rows.groupBy("tree", "node").agg(cut.alias("cut")), "cuts"))
-        rows = stored(spark, _down(rows, cuts[-1], level), "level")
-    return Forest(vectors, members, rows.select("key", "tree", "node"), cuts, directions)
+    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(size)) < SAMPLE) if size > SAMPLE else vectors
+    cuts = _fitted(sample, directions) if depth else []
+    return Forest(vectors, members, _leaves(vectors, cuts, directions).select("key", "tree", "node"), cuts, directions)
 
 
 def search(forest: Forest, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", include_self: bool = True, digits: int = 6) -> DataFrame:
     """(query, neighbour, rank, similarity): the best k among what the query meets in its leaves."""
-    asked = queries.select(F.col(id_col).alias("key"), F.col(vec_col).cast("array<double>").alias("v"))
-    if len(forest.cuts):
-        at = _projections(asked, forest.directions).withColumn("node", F.lit(0).cast("long"))
-        for level, cut in enumerate(forest.cuts):
-            at = _down(at, cut, level)
-    else:
-        at = asked.select("key", F.explode(F.sequence(F.lit(0), F.lit(max(1, forest.directions.shape[1]) - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
-    met = at.select(F.col("key").alias("query"), "tree", "node").join(forest.leaves, ["tree", "node"]).select("query", "key").distinct()
-    both = met.join(forest.vectors, "key").join(asked.select(F.col("key").alias("query"), F.col("v").alias("qv")), "query")
-    order = [F.desc("similarity"), F.col("neighbour")]
-    near = both.select("query", "key", F.round(cosine(F.col("qv"), F.col("v")), digits).alias("similarity"))
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec_col).alias("v"))
     most = k if include_self else k + 1
+    parts = max(1, -(-forest.vectors.count() // (cells.PART << len(forest.cuts))))  # medians make leaves of about one size
+    rows = cells.dealt(_leaves(forest.vectors, forest.cuts, forest.directions), "key", "part", parts).withColumnsRenamed({"key": "neighbour", "v": "iv"})
+    at = cells.copied(_leaves(asked, forest.cuts, forest.directions), "part", parts).withColumnRenamed("v", "qv")
+    met = cells.best_matches(at, rows, ["tree", "node", "part"], most, digits=digits, order=["first", "neighbour"])
+    near = met.groupBy("query", F.col("neighbour").alias("key")).agg(F.max("similarity").alias("similarity"))
+    order = [F.desc("similarity"), F.col("neighbour")]
     near = near.withColumn("_r", F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("similarity")))).where(F.col("_r") <= most)
     least = forest.members.withColumn("_m", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("_m") <= most).select("key", F.col("id").alias("neighbour"))
     rows = near.join(least, "key").where(F.lit(True) if include_self else F.col("query") != F.col("neighbour"))

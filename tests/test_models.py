@@ -79,6 +79,16 @@ def test_forest_against_brute_force(spark):
     assert forest.search(built, asked, 3, include_self=False).where("query = neighbour").isEmpty()
 
 
+def test_forest_recall_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE", 1000)  # cuts of a sample, all rows in leaves
+    monkeypatch.setattr(cells, "PART", 16)  # leaves of several cells
+    x = np.random.default_rng(6).normal(size=(3000, 64))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    built, asked = forest.build(rows, levels=4), rows.where("id % 60 = 0")
+    assert len(built.cuts) == 4 and built.leaves.count() == 30 * 3000
+    assert forest.recall(forest.search(built, asked, 10), vectors.nearest(rows, asked, 10)).first().recall >= 0.9
+
+
 def test_forest_of_few_rows(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, v array<double>")
     got = forest.search(forest.build(few), few.where("v is not null"), 5)
