@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandloom.functions.rng import uniform
@@ -29,6 +30,8 @@ BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 STATE = "id long, x array<double>, m array<double>, v array<double>, t long"
 CELL = "side int, id long, x array<double>, m array<double>, v array<double>, t long"
 QUERY, CONTEXT, LOSS = 0, 1, 2
+#: Examples of a stored row.
+PACK = 256
 
 
 @dataclass(frozen=True)
@@ -110,17 +113,18 @@ class Block:
 
 def minibatch(queries: Block, contexts: Block, query: np.ndarray, context: np.ndarray, signal: np.ndarray, rate: float) -> float:
     """One step in place; the loss for each signal row, or for the batch if it has none."""
-    q, c = queries.at(query), contexts.at(context)
+    size = max(1, len(contexts.ids))
+    pairs, times = np.unique((queries.at(query) * size + contexts.at(context)) * 2 + signal, return_counts=True)  # equal examples are one with their number
+    q, c, signal = pairs // 2 // size, pairs // 2 % size, pairs % 2 == 1
     xq, xc = queries.x[q], contexts.x[c]
     s = 1 / (1 + np.exp(-np.clip((xq * xc).sum(axis=1), -30, 30)))
-    n = max(1, int(signal.sum()))
-    loss = -(np.log(s[signal] + 1e-12).sum() + np.log(1 - s[~signal] + 1e-12).sum()) / n
-    d = ((s - signal) / n)[:, None]
+    n = max(1, int(times[signal].sum()))
+    loss = -((times[signal] * np.log(s[signal] + 1e-12)).sum() + (times[~signal] * np.log(1 - s[~signal] + 1e-12)).sum()) / n
+    d = (times * (s - signal) / n)[:, None]
     for block, rows, gradient in ((queries, q, d * xc), (contexts, c, d * xq)):
-        touched, of = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(touched), block.dims))
-        np.add.at(total, of, gradient)
-        block.step(touched, total, rate)
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+        block.step(rows[order][starts], np.add.reduceat(gradient[order], starts, axis=0), rate)
     return float(loss)
 
 
@@ -171,20 +175,59 @@ def _run_cells(settings: Settings):
     return run
 
 
-def _round(queries: DataFrame, contexts: DataFrame, examples: DataFrame, shift: int, settings: Settings, name: str) -> DataFrame:
+def _packed(examples: DataFrame, blocks: int) -> DataFrame:
+    """Stored (shift, cell, number, query, context, signal): the examples of each round and cell in their order, PACK to a row, so that they are sorted once and not in every epoch."""
+
+    def pack(batches):
+        task, made = TaskContext.get().partitionId(), 0
+        for got in batches:
+            shifts, cells = (got.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = np.flatnonzero(np.r_[True, (shifts[1:] != shifts[:-1]) | (cells[1:] != cells[:-1])]) if len(cells) else np.zeros(0, np.int64)
+            starts = np.concatenate([np.arange(lo, hi, PACK) for lo, hi in zip(cuts, [*cuts[1:], len(cells)], strict=True)]).astype(np.int32) if len(cells) else np.zeros(0, np.int32)
+            ends = pa.array(np.r_[starts, np.int32(len(cells))].astype(np.int32))
+            number = (np.int64(task) << 40) + made + np.arange(len(starts))
+            made += len(starts)
+            lists = [pa.ListArray.from_arrays(ends, got.column(k)) for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([got.column(0).take(pa.array(starts)), got.column(1).take(pa.array(starts)), pa.array(number), *lists], names=["shift", "cell", "number", "query", "context", "signal"])
+
+    placed = examples.select(F.pmod(F.col("context") - F.col("query"), F.lit(blocks)).cast("int").alias("shift"), F.pmod("query", F.lit(blocks)).cast("int").alias("cell"), "ord", F.col("query").cast("long").alias("query"), F.col("context").cast("long").alias("context"), "signal")
+    order = ["shift", "cell", "ord", "query", "context", "signal"]
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("ord")
+    return stored(examples.sparkSession, dealt.mapInArrow(pack, "shift int, cell int, number long, query array<long>, context array<long>, signal array<boolean>"), "packed")
+
+
+def _unpacked(batches):
+    """Rows of _run_cells from such with packed examples."""
+    names = ["cell", "kind", "query", "context", "signal", "id", "x", "m", "v", "t"]
+    for got in batches:
+        packed = got.column(1).to_numpy(zero_copy_only=False) == 2
+        cuts = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]]) if len(packed) else []
+        for start, stop in zip(cuts, [*cuts[1:], len(packed)], strict=True) if len(packed) else ():
+            part = got.slice(start, stop - start)
+            if packed[start]:
+                times = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                head = [pa.array(np.repeat(part.column(k).to_numpy(zero_copy_only=False), times)) for k in (0, 1)]
+                rest = [pa.nulls(int(times.sum()), part.column(k).type) for k in range(5, 10)]
+                yield pa.RecordBatch.from_arrays([*head, *(part.column(k).flatten() for k in (2, 3, 4)), *rest], names=names)
+            else:
+                none = [pa.nulls(part.num_rows, part.column(k).type.value_type) for k in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *none, *(part.column(k) for k in range(5, 10))], names=names)
+
+
+def _round(queries: DataFrame, contexts: DataFrame, packed: DataFrame, shift: int, settings: Settings, name: str) -> DataFrame:
     """Stored rows of CELL: the states after a round, and each cell's losses."""
     blocks = settings.blocks
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("query", "long"), ("context", "long"), ("signal", "boolean"))]
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("query", "array<long>"), ("context", "array<long>"), ("signal", "array<boolean>"))]
     state = ["id", "x", "m", "v", "t"]
-    first = F.lit(None).cast("long").alias("ord")
+    first = F.lit(None).cast("long").alias("number")
     mine = F.pmod("id", F.lit(blocks)).cast("int")
     parts = queries.select(mine.alias("cell"), F.lit(QUERY).alias("kind"), first, *none, *state)
     parts = parts.union(contexts.select(F.pmod(mine - shift, F.lit(blocks)).alias("cell"), F.lit(CONTEXT).alias("kind"), first, *none, *state))
     empty = [F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("x", "array<double>"), ("m", "array<double>"), ("v", "array<double>"), ("t", "long"))]
-    parts = parts.union(examples.where(F.pmod(F.col("context") - F.col("query"), F.lit(blocks)) == shift).select(F.pmod("query", F.lit(blocks)).cast("int").alias("cell"), F.lit(2).alias("kind"), "ord", "query", "context", "signal", *empty))
-    order = ["cell", "kind", "ord", "query", "context", "signal"]
-    dealt = parts.repartition(blocks, "cell").sortWithinPartitions(*order).drop("ord")
-    return stored(queries.sparkSession, dealt.mapInArrow(_run_cells(settings), CELL), name)
+    parts = parts.union(packed.where(F.col("shift") == shift).select("cell", F.lit(2).alias("kind"), "number", "query", "context", "signal", *empty))
+    dealt = parts.repartition(blocks, "cell").sortWithinPartitions("cell", "kind", "number").drop("number")
+    run = _run_cells(settings)
+    return stored(queries.sparkSession, dealt.mapInArrow(lambda batches: run(_unpacked(batches)), CELL), name)
 
 
 @dataclass
@@ -213,6 +256,8 @@ def train(examples: DataFrame, size: int | tuple[int, int], settings: Settings =
     spark = examples.sparkSession
     sizes = size if isinstance(size, tuple) else (size, size)
     rows = stored(spark, examples.select(F.col("ord").cast("long").alias("ord"), F.col("query").cast("long").alias("query"), F.col("context").cast("long").alias("context"), F.col("is_signal").cast("boolean").alias("signal")), "examples")
+    examples_of_rounds = _packed(rows, settings.blocks)
+    discard(spark, rows)
     begun, losses = 0, []
     saved = checkpoints.last_epoch(spark, save_dir) if save_dir else None
     if saved is None:
@@ -225,7 +270,7 @@ def train(examples: DataFrame, size: int | tuple[int, int], settings: Settings =
     for epoch in range(begun, settings.epochs):
         total = count = 0.0
         for shift in range(settings.blocks):
-            out = _round(*states, rows, shift, settings, f"round-{epoch}-{shift}")
+            out = _round(*states, examples_of_rounds, shift, settings, f"round-{epoch}-{shift}")
             loss = out.where(F.col("side") == LOSS).agg(F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).first()
             total, count = total + (loss[0] or 0.0), count + (loss[1] or 0.0)
             if on_round and loss[1]:
@@ -237,5 +282,5 @@ def train(examples: DataFrame, size: int | tuple[int, int], settings: Settings =
         losses.append(total / count if count else float("nan"))
         if save_dir:
             checkpoints.save_epoch(spark, save_dir, epoch, {"queries": states[0], "contexts": states[1]}, {"losses": losses, "settings": checkpoints.plain(settings, "epochs"), "sizes": list(sizes)})
-    discard(spark, rows)
+    discard(spark, examples_of_rounds)
     return Trained(*states, losses)

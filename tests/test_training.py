@@ -165,3 +165,12 @@ def test_training_learns_pairs(spark):
     score = np.stack(both["w"]) @ np.stack(both["c"]).T
     assert got.losses[-1] < got.losses[0]
     assert (score.argmax(1) == [c for _, c in pairs]).all()
+
+
+def test_examples_are_sorted_once(spark, monkeypatch):
+    rows, df = some_examples(spark, 700)
+    monkeypatch.setattr(model, "PACK", 16)
+    packed = model._packed(df.withColumnRenamed("is_signal", "signal"), 2).orderBy("shift", "cell", "number").collect()
+    assert len(packed) < 100 and all(len(r.query) <= 16 for r in packed)
+    got = [(r.shift, r.cell, *x) for r in packed for x in zip(r.query, r.context, r.signal, strict=True)]
+    assert got == [((c - q) % 2, q % 2, q, c, y) for _, q, c, y in sorted(rows, key=lambda r: ((r[2] - r[1]) % 2, r[1] % 2, *r))]
