@@ -1,4 +1,4 @@
-"""Text corpora in zip archives, read by a Python data source: a partition is one member of an archive, and its lines are streamed.
+"""Text corpora in zip archives, read by a Python data source: a partition is a run of members of an archive, and their lines are streamed.
 
 The driver reads the archives' directories only. A member is decompressed as it is read, so neither archive nor member needs to fit in memory. Files are opened
 through pyarrow's file systems, so paths may be local or URIs of a store that these know.
@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bytes of members that are one partition, as archives often hold very many small ones, and of a member that is a partition of its own.
+PARTITION_BYTES, LARGE_BYTES = 16 << 20, 1 << 20
 #: Lines of an Arrow batch, and their bytes at most (or one longer line).
 BATCH_LINES, BATCH_BYTES = 10_000, 4 << 20
 
@@ -40,42 +42,57 @@ def archives_under(path: str) -> list[str]:
 
 
 @dataclass
-class Member(InputPartition):
+class Members(InputPartition):
+    """Those from start to before stop of an archive's members with the suffix."""
+
     archive: str
-    name: str
+    start: int
+    stop: int
 
 
 class ZipReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.suffix = options["path"], options.get("suffix", "")
 
-    def partitions(self) -> list[Member]:
+    def _listed(self, z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+        return [i for i in z.infolist() if not i.is_dir() and i.filename.endswith(self.suffix)]
+
+    def partitions(self) -> list[Members]:
         out = []
         for archive in archives_under(self.path):
             files, at = _opened(archive)
             with files.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
-                out += [Member(archive, i.filename) for i in z.infolist() if not i.is_dir() and i.filename.endswith(self.suffix)]
+                start, size, large = 0, 0, False
+                for k, info in enumerate(listed := self._listed(z)):
+                    if k > start and (large or info.file_size >= LARGE_BYTES or size + info.file_size > PARTITION_BYTES):
+                        out.append(Members(archive, start, k))
+                        start, size = k, 0
+                    size, large = size + info.file_size, info.file_size >= LARGE_BYTES
+                if listed:
+                    out.append(Members(archive, start, len(listed)))
         return out
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, Member):
+    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, Members):
             return  # an empty corpus has one empty partition
         files, at = _opened(partition.archive)
-        with files.open_input_file(at) as raw, zipfile.ZipFile(raw) as z, z.open(partition.name) as member:
-            lines, size, number = [], 0, 0
-            for line in io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n"):
-                lines.append(line.removesuffix("\n").removesuffix("\r"))
-                size += len(line)
-                if len(lines) >= BATCH_LINES or size >= BATCH_BYTES:
-                    yield self._batch(partition, number, lines)
-                    number, lines, size = number + len(lines), [], 0
-            if lines:
-                yield self._batch(partition, number, lines)
+        with files.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
+            rows, size = [], 0
+            for info in self._listed(z)[partition.start : partition.stop]:
+                with z.open(info) as member:
+                    for number, line in enumerate(io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n")):
+                        rows.append((info.filename, number, line.removesuffix("\n").removesuffix("\r")))
+                        size += len(line)
+                        if len(rows) >= BATCH_LINES or size >= BATCH_BYTES:
+                            yield self._batch(partition.archive, rows)
+                            rows, size = [], 0
+            if rows:
+                yield self._batch(partition.archive, rows)
 
     @staticmethod
-    def _batch(p: Member, number: int, lines: list[str]) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_arrays([pa.array([p.archive] * n), pa.array([p.name] * n), pa.array(range(number, number + n), pa.int64()), pa.array(lines, pa.string())], names=["archive", "member", "line_no", "value"])
+    def _batch(archive: str, rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        members, numbers, lines = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([archive] * len(rows)), pa.array(members, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string())], names=["archive", "member", "line_no", "value"])
 
 
 class ZipCorpus(DataSource):

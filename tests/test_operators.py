@@ -279,3 +279,20 @@ def test_hold_out_groups_by_hash_order(spark):
     df = spark.createDataFrame([(f"g{k % 9}",) for k in range(40)] + [(None,)], "g string")
     parts = [r.part for r in sampling.hold_out_groups(df, "g", 4).collect()]
     assert sorted(parts) == ["test"] + ["train"] * 8 + ["valid"]
+
+
+def test_zip_partitions_hold_many_members(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    from strandloom.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(500):
+            z.writestr(f"{k}.txt", f"first {k}\nsecond")
+    rows = archives.read_zip(spark, str(tmp_path), ".txt")
+    assert rows.rdd.getNumPartitions() == 1
+    got = sorted((r.member, r.line_no, r.value) for r in rows.collect())
+    assert got == sorted((f"{k}.txt", n, v) for k in range(500) for n, v in enumerate((f"first {k}", "second")))
+    monkeypatch.setattr(archives, "PARTITION_BYTES", 1600)
+    parts = archives.ZipReader({"path": str(tmp_path)}).partitions()
+    assert 4 <= len(parts) <= 8 and [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[-1].stop == 500
