@@ -296,3 +296,14 @@ def test_zip_partitions_hold_many_members(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(archives, "PARTITION_BYTES", 1600)
     parts = archives.ZipReader({"path": str(tmp_path)}).partitions()
     assert 4 <= len(parts) <= 8 and [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[-1].stop == 500
+
+
+def test_bags_shuffle_texts_once(spark, tmp_path):
+    from strandloom.plans import inputs
+
+    rows = [(1, "a b a\nb"), (1, "a c"), (2, None), (None, "d\td"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = inputs.bags(spark, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.token, r.n) for r in found.collect()) == [(0, "d", 2), (1, "a", 3), (1, "b", 2), (1, "c", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate explode")
