@@ -307,3 +307,13 @@ def test_bags_shuffle_texts_once(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.token, r.n) for r in found.collect()) == [(0, "d", 2), (1, "a", 3), (1, "b", 2), (1, "c", 1)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate explode")
+
+
+def test_merged_labels_shuffle_sequences(spark, tmp_path):
+    from strandloom.plans import catalogue
+
+    rows = [(1, "abcdefgh" * 4, "en"), (1, "abcdefgh", "de"), (2, None, "en"), (3, "hgfedcbazz", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.QUERIES["merge_label_counts"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    assert sorted((r.doc_id, r.lang or "", r.n) for r in found.collect()) == [(1, "de", 2), (1, "en", 14), (3, "", 3)]
