@@ -37,7 +37,8 @@ def with_context(tokens: DataFrame, kernel: list[int], seed: int, minimum: int =
     k = sampling.check_kernel(kernel)
     near = [*range(-k, 0), *range(1, k + 1)]
     named = _neighbours(tokens.where(F.col("length") >= minimum), near, chunk)
-    chosen = named.withColumn("offset", sampling.choose_offset(F.col("pos"), F.col("length"), kernel, draw("context", seed, F.col("sent"), F.col("pos"))))
+    drawn = named.withColumn("_r", draw("context", seed, F.col("sent"), F.col("pos")))  # one column, which all branches of the choice read
+    chosen = drawn.withColumn("offset", sampling.choose_offset(F.col("pos"), F.col("length"), kernel, F.col("_r"))).drop("_r")
     context = F.when(F.lit(False), None)
     for i, o in enumerate(near):
         context = context.when(F.col("offset") == o, F.col(f"_n{i}"))
@@ -63,8 +64,8 @@ def signal(tokens: DataFrame, vocab: DataFrame, kernel: list[int], t: float, see
 def noise(examples: DataFrame, vocab: DataFrame, ratio: int, seed: int) -> DataFrame:
     """(sent, pos, draw, query, context): ratio draws from the unigram counts for each signal example."""
     draws = examples.select("sent", "pos", "query", F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
-    drawn = sampling.draw_outcomes(draws, vocab.select("token", "count"), "noise", seed, F.col("sent"), F.col("pos"), F.col("draw"))
-    return drawn.join(vocab.select(F.col("token").alias("outcome"), F.col("id").alias("context")), "outcome").select("sent", "pos", "draw", "query", "context")
+    drawn = sampling.draw_outcomes(draws, vocab.select("token", "id", "count"), "noise", seed, F.col("sent"), F.col("pos"), F.col("draw"), outcome="id")
+    return drawn.select("sent", "pos", "draw", "query", F.col("outcome").alias("context"))
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -91,9 +92,8 @@ def with_noise(batched: DataFrame, vocab: DataFrame, ratio: int, seed: int, batc
     """
     signal = batched.select(batch, "row_in_batch", F.lit(0).alias("draw"), "query", "context", F.lit(True).alias("is_signal"))
     draws = batched.select(batch, "row_in_batch", "query", F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
-    drawn = sampling.draw_outcomes(draws, vocab.select("token", "count"), "batch-noise", seed, F.col(batch), F.col("row_in_batch"), F.col("draw"))
-    ids = vocab.select(F.col("token").alias("outcome"), F.col("id").alias("context"))
-    noise_rows = drawn.join(ids, "outcome").select(batch, "row_in_batch", "draw", "query", "context", F.lit(False).alias("is_signal"))
+    drawn = sampling.draw_outcomes(draws, vocab.select("token", "id", "count"), "batch-noise", seed, F.col(batch), F.col("row_in_batch"), F.col("draw"), outcome="id")
+    noise_rows = drawn.select(batch, "row_in_batch", "draw", "query", F.col("outcome").alias("context"), F.lit(False).alias("is_signal"))
     return signal.unionByName(noise_rows)
 
 
