@@ -2,8 +2,9 @@
 
 All nodes of a tree's level share one random direction, and each node splits at the median of its rows' projections. Cuts are fitted on a sample by hash of at most about SAMPLE
 vectors, a task a tree; then every vector goes down all trees in one pass. A query goes down the same cuts and meets the rows of its leaf in each tree in cells (see cells), where
-they are ranked by exact cosine similarity; large leaves are several cells. Equal vectors are one row of the index, so no leaf is full of copies that no cut can part; the
-k least ids of each come back in the end.
+they are ranked by exact cosine similarity. Where a tree has no more leaves than there are trees, a cell is a part of the queries and a part of the index, and one task goes through their leaves
+in all trees: vectors are copied once for each part of the other side. Otherwise a cell is a leaf, and large leaves are several. Equal vectors are one row of the index and one query, so no leaf is
+full of copies that no cut can part; the k least ids of each come back in the end.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SAMPLE = 50_000
 
 @dataclass
 class Forest:
-    """vectors (key, first, v), first being the least id; members (key, id), leaves (key, tree, node), cuts of each level (an array of trees x nodes)."""
+    """vectors (key, first, v, n), first being the least id and n a number in order of first; members (key, id), leaves (key, tree, node), cuts of each level (an array of trees x nodes)."""
 
     vectors: DataFrame
     members: DataFrame
@@ -67,19 +68,24 @@ def _fitted(sample: DataFrame, directions: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _leaves(rows: DataFrame, cuts: list[np.ndarray], directions: np.ndarray) -> DataFrame:
-    """rows with tree and node, once a tree: the leaf of their vector v."""
-    depth, trees, dims = directions.shape
-    flat = np.ascontiguousarray(directions.reshape(depth * trees, dims).T)
+def _nodes(units: np.ndarray, cuts: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
+    """The leaf in each tree of unit vectors. Projections are rounded: the row that a cut was taken from falls to the same side in every task."""
+    depth, trees, _ = directions.shape
+    node, at = np.zeros((len(units), trees), np.int64), np.arange(trees)[None, :]
+    for level in range(depth):
+        node = 2 * node + (np.round(units @ directions[level].T, 9) > np.round(cuts[level][at, node], 9))
+    return node
+
+
+def _leaves(rows: DataFrame, cuts: list[np.ndarray], directions: np.ndarray, vec_col: str = "v") -> DataFrame:
+    """rows with tree and node, once a tree: the leaf of their vector."""
+    trees, dims = directions.shape[1:]
 
     def run(v: pa.Array) -> pa.Array:
-        p = (_units(v) @ flat).reshape(len(v), depth, trees) if depth and len(v) else np.zeros((len(v), depth, trees))
-        node, at = np.zeros((len(v), trees), np.int64), np.arange(trees)[None, :]
-        for level in range(depth):
-            node = 2 * node + (p[:, level] > cuts[level][at, node])
+        node = _nodes(_units(v) if len(v) else np.zeros((0, dims)), cuts, directions)
         return pa.ListArray.from_arrays(np.arange(0, (len(v) + 1) * trees, trees, dtype=np.int32), pa.array(node.reshape(-1)))
 
-    node = F.arrow_udf(run, "array<long>")(F.col("v"))
+    node = F.arrow_udf(run, "array<long>")(F.col(vec_col))
     return rows.withColumn("_n", node).select("*", F.posexplode("_n").alias("tree", "node")).drop("_n")
 
 
@@ -89,7 +95,7 @@ def build(index: DataFrame, id_col: str = "id", vec_col: str = "v", trees: int =
     named = index.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     named = named.withColumn("key", F.sha2(F.to_json("v"), 256))
     members = stored(spark, named.select("key", "id"), "members")
-    vectors = stored(spark, named.groupBy("key").agg(F.min("id").alias("first"), F.any_value("v").alias("v")), "vectors")
+    vectors = stored(spark, named.groupBy("key").agg(F.min("id").alias("first"), F.any_value("v").alias("v")).orderBy("first", "key").withColumn("n", F.monotonically_increasing_id()), "vectors")
     size, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     depth = max(0, ceil(log2(max(1, min(size, SAMPLE * leaf)) / leaf)))
     depth = depth if levels is None else min(depth, levels)
@@ -101,18 +107,31 @@ def build(index: DataFrame, id_col: str = "id", vec_col: str = "v", trees: int =
 
 def search(forest: Forest, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", include_self: bool = True, digits: int = 6) -> DataFrame:
     """(query, neighbour, rank, similarity): the best k among what the query meets in its leaves."""
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec_col).alias("v"))
-    most = k if include_self else k + 1
-    parts = max(1, -(-forest.vectors.count() // (cells.PART << len(forest.cuts))))  # medians make leaves of about one size
-    rows = cells.dealt(_leaves(forest.vectors, forest.cuts, forest.directions), "key", "part", parts).withColumnsRenamed({"key": "neighbour", "v": "iv"})
-    at = cells.copied(_leaves(asked, forest.cuts, forest.directions), "part", parts).withColumnRenamed("v", "qv")
-    met = cells.best_matches(at, rows, ["tree", "node", "part"], most, digits=digits, order=["first", "neighbour"])
-    near = met.groupBy("query", F.col("neighbour").alias("key")).agg(F.max("similarity").alias("similarity"))
+    spark, most = queries.sparkSession, k if include_self else k + 1
+    names = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv")).withColumn("key", F.sha2(F.to_json("qv"), 256))
+    asked = stored(spark, names.groupBy("key").agg(F.any_value("qv").alias("qv")).withColumn("query", F.monotonically_increasing_id()), "asked")
+    met = _met(forest, asked.select("query", "qv"), forest.vectors.select(F.col("n").alias("neighbour"), F.col("v").alias("iv")), most, digits)
     order = [F.desc("similarity"), F.col("neighbour")]
-    near = near.withColumn("_r", F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("similarity")))).where(F.col("_r") <= most)
-    least = forest.members.withColumn("_m", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("_m") <= most).select("key", F.col("id").alias("neighbour"))
-    rows = near.join(least, "key").where(F.lit(True) if include_self else F.col("query") != F.col("neighbour"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "neighbour", "rank", "similarity")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= most)
+    least = forest.members.withColumn("_m", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("_m") <= most)
+    least = least.join(forest.vectors.select("key", "n"), "key").select(F.col("n").alias("neighbour"), "id")
+    near = best(best(met).join(least, "neighbour").select("query", F.col("id").alias("neighbour"), "similarity"))
+    found = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("_n"))
+    found = asked.select("key", "query").join(found, "query").select("key", "_n")
+    kept = F.col("_n") if include_self else F.filter("_n", lambda x: x["neighbour"] != F.col("query"))
+    rows = names.select("key", "query").join(found, "key").select("query", F.posexplode(F.slice(kept, 1, k)).alias("_p", "_r"))
+    return rows.select("query", "_r.neighbour", (F.col("_p") + 1).alias("rank"), "_r.similarity")
+
+
+def _met(forest: Forest, asked: DataFrame, rows: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query, neighbour, similarity) of distinct queries and rows: each pair once, the best k of each query and cell."""
+    cuts, directions, n_asked, n_rows = forest.cuts, forest.directions, asked.count(), rows.count()
+    if 1 << len(cuts) <= directions.shape[1]:
+        return cells.best_matches(*cells.grid(asked, rows, n_asked, n_rows), ["_q", "_i"], k, digits=digits, leaves=lambda units: _nodes(units, cuts, directions))
+    parts_q, parts_i = (max(1, -(-n // (cells.PART << len(cuts)))) for n in (n_asked, n_rows))  # medians make leaves of about one size
+    left = cells.copied(cells.dealt(_leaves(asked, cuts, directions, "qv"), "query", "_q", parts_q), "_i", parts_i)
+    right = cells.copied(cells.dealt(_leaves(rows, cuts, directions, "iv"), "neighbour", "_i", parts_i), "_q", parts_q)
+    return cells.best_matches(left, right, ["tree", "node", "_q", "_i"], k, digits=digits).groupBy("query", "neighbour").agg(F.max("similarity").alias("similarity"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

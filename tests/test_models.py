@@ -96,6 +96,35 @@ def test_forest_of_few_rows(spark):
     assert forest.search(forest.build(few.limit(0)), few.where("id = 1"), 5).isEmpty()
 
 
+@pytest.mark.parametrize("levels", [2, 3])
+def test_forest_asked_for_all_rows(spark, monkeypatch, levels):
+    monkeypatch.setattr(cells, "PART", 64)  # several parts of either side; at three levels a cell is a leaf of one tree
+    monkeypatch.setattr(cells, "QUERIES", 7)
+    monkeypatch.setattr(cells, "ROWS", 16)
+    x = np.random.default_rng(8).normal(size=(400, 6))
+    x[100:220] = x[100]  # more copies than a cell holds
+    x[300], x[301] = 0, 2 * x[302]
+    rows = spark.createDataFrame([(i, x[i].tolist() if i != 9 else None) for i in range(400)], "id long, v array<double>").repartition(3)
+    built = forest.build(rows, trees=4, levels=levels)
+    found, others = (forest.search(built, rows, 5, include_self=own).collect() for own in (True, False))
+    leaf = np.full((400, 4), -1)
+    for r in built.leaves.join(built.members, "key").collect():
+        leaf[r.id, r.tree] = r.node
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    s = np.round(u @ u.T, 6)
+    s[300], s[:, 300] = 2, 2  # NaN first
+    meets = (leaf[:, None] == leaf[None]).any(axis=2)
+    meets[9], meets[:, 9] = False, False
+    assert 0.2 < meets.mean() < 0.9
+    for rows_of, left_out in ((found, False), (others, True)):
+        got = {(r.query, r.rank): r.neighbour for r in rows_of}
+        want = {}
+        for q in range(400):
+            near = [n for n in np.lexsort((np.arange(400), -s[q])) if meets[q, n] and not (left_out and n == q)]
+            want |= {(q, r + 1): n for r, n in enumerate(near[:5])}
+        assert got == want and len(rows_of) == len(want)
+
+
 def test_nearest_in_cells_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cells, "PART", 64)  # several cells of either side
     monkeypatch.setattr(cells, "ROWS", 32)
